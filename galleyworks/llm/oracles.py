@@ -12,7 +12,7 @@ WITH RECURSIVE docs AS (
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         [{", ".join(f"{w}.0" for w in WEIGHTS)}]::DOUBLE[][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT] AS weight
+         list_extract([{", ".join(f"{w}.0::DOUBLE" for w in WEIGHTS)}], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT) AS weight
   FROM docs GROUP BY source
 ), total AS (SELECT sum(source_size) * {BUDGET}::DOUBLE AS budget FROM sources),
 fill AS (
