@@ -1,4 +1,345 @@
-"""Named queries of the archive."""
+"""Named queries of the archive over the test tables, and their equivalents in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from galleyworks.functions import text as T
+from galleyworks.functions import visits as V
+from galleyworks.operators import archive as A
+from galleyworks.operators import iprisk
+from galleyworks.session import prepare
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+HARD, SOFT = ["Apache License", "token ="], ["the", "MIT"]
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+HOST = r"regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '')"
+
+
+@query(f"""SELECT page_id, regexp_matches(url, '^(?i:https?)://[^/?#]+') AS valid, starts_with(url, '{T.ARCHIVE_PREFIX}') AS archive, {HOST} AS host FROM pages""")
+def q_url_validate(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.is_article_url(url).alias("valid"), T.is_archive_url(url).alias("archive"), T.source_host(url).alias("host"))
+
+
+@query(f"SELECT {HOST} AS host, count(*) AS n FROM pages GROUP BY 1")
+def q_source_host_counts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(T.source_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, md5(url) AS article_id, '/articles/' || md5(url) AS path, 'https://archive.example/articles/' || md5(url) AS absolute FROM pages""")
+def q_article_ids(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.article_id(url).alias("article_id"), T.detail_path(url).alias("path"), T.absolute_url(T.detail_path(url), "https://archive.example/").alias("absolute"))
+
+
+@query("""WITH u AS (SELECT trim(url) AS url, page_id AS ord FROM pages UNION ALL SELECT trim(url), 1000000000 + page_id FROM pages WHERE page_id % 3 = 0
+          UNION ALL SELECT trim(url) || '?v=2', 2000000000 + page_id FROM pages WHERE page_id % 7 = 0) SELECT url, min(ord) AS ord FROM u GROUP BY url""")
+def q_union_dedupe(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.trim("url").alias("url"), F.col("page_id").alias("ord"))
+    second = p.filter("ord % 3 = 0").select("url", (F.col("ord") + 1_000_000_000).alias("ord"))
+    third = p.filter("ord % 7 = 0").select(F.concat("url", F.lit("?v=2")).alias("url"), (F.col("ord") + 2_000_000_000).alias("ord"))
+    return A.ordered_distinct(p.unionByName(second).unionByName(third), "url", "ord")
+
+
+@query("""WITH c AS (SELECT url, page_id AS ord, page_id % 3 = 0 AS ok FROM pages UNION ALL SELECT url, page_id + 1000000000, page_id % 2 = 0 FROM pages WHERE page_id % 5 = 0)
+          SELECT url, max(ord) AS ord FROM c WHERE ok GROUP BY url""")
+def q_cache_last_wins(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    rows = p.select("url", F.col("page_id").alias("ord"), (F.col("page_id") % 3 == 0).alias("ok")).unionByName(p.filter("page_id % 5 = 0").select("url", (F.col("page_id") + 1_000_000_000).alias("ord"), (F.col("page_id") % 2 == 0).alias("ok")))
+    return A.last_wins(rows.filter("ok").select("url", "ord"), "url", "ord")
+
+
+@query("""SELECT url, CASE WHEN page_id % 3 = 0 THEN 'cache' WHEN page_id % 5 <> 0 THEN 'fetch' ELSE 'missing' END AS origin,
+          CASE WHEN page_id % 3 = 0 THEN 'cached ' || page_id ELSE CASE WHEN page_id % 5 <> 0 THEN 'page ' || page_id ELSE 'error ' || page_id END END AS payload FROM pages""")
+def q_incremental_merge(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("url", "page_id")
+    cache = p.filter("page_id % 3 = 0").select("url", F.lit(True).alias("ok"), F.concat(F.lit("cached "), "page_id").alias("payload"))
+    ok = F.col("page_id") % 5 != 0
+    fetched = p.select("url", ok.alias("ok"), F.concat(F.when(ok, "page ").otherwise("error "), "page_id").alias("payload"))
+    return A.incremental_merge(p.select("url"), cache, fetched)
+
+
+def _sql_text(html: str) -> str:
+    out = html
+    for tag in ("script", "style", "noscript"):
+        out = f"regexp_replace({out}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#x27;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{sign}')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+def _sql_summary(text: str) -> str:
+    return f"CASE WHEN {text} = '' THEN '{T.EMPTY_SUMMARY}' WHEN length({text}) <= {T.SUMMARY_LIMIT} THEN {text} ELSE rtrim(substr({text}, 1, {T.SUMMARY_LIMIT}), '{T.SUMMARY_STRIP}') || '...' END"
+
+
+@query(rf"""WITH t AS (SELECT page_id, url, {_sql_text("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS body, {_sql_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages)
+           SELECT page_id, md5(url) AS article_id, {HOST} AS host, title, length(body) >= {T.LEAST_BODY} AS success, length(body)::BIGINT AS n_chars, md5(body) AS body_md5, {_sql_summary("body")} AS summary FROM t""")
+def q_extract_generic(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select("page_id", "url", T.markup_text(F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1)).alias("body"), T.markup_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    body = F.col("body")
+    return df.select("page_id", T.article_id(F.col("url")).alias("article_id"), T.source_host(F.col("url")).alias("host"), "title", (F.length(body) >= T.LEAST_BODY).alias("success"), F.length(body).cast("long").alias("n_chars"), F.md5(body).alias("body_md5"), T.summary(body).alias("summary"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, 'var\s+t\s*=\s*[''"]([^''"]*)[''"]', 1) AS value FROM pages""")
+def q_script_var(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.script_string(F.col("html"), "t").alias("value"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM documents) SELECT doc_id, {_sql_summary("text")} AS summary FROM t""")
+def q_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
+
+
+_SCORE = lambda c: " + ".join([f"CASE WHEN contains({c}, '{w}') THEN 3 ELSE 0 END" for w in HARD] + [f"CASE WHEN contains({c}, '{w}') THEN 1 ELSE 0 END" for w in SOFT])
+
+
+@query(f"SELECT doc_id, ({_SCORE('text')})::INT AS score FROM documents")
+def q_promo_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", A.promo_score(F.col("text"), HARD, SOFT).alias("score"))
+
+
+@query(rf"""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+  s AS (SELECT *, ({_SCORE("t")}) AS score, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+  g AS (SELECT *, sum(CASE WHEN score = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s),
+  r AS (SELECT *, sum(score) OVER (PARTITION BY doc_id, island ORDER BY i) AS run FROM g)
+  SELECT doc_id, min(CASE WHEN before >= {A.CUT_AFTER} AND (score >= {A.CUT_SCORE} OR run >= {A.CUT_RUN}) THEN i END)::INT AS cut FROM r GROUP BY doc_id""")
+def q_tail_cut(spark, sf_dir):
+    blocks = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", A.tail_cut(blocks, lambda b: A.promo_score(b, HARD, SOFT)).alias("cut"))
+
+
+_RAW = """CASE WHEN event_id % 10 = 0 THEN 'soon' WHEN event_id % 2 = 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+08:00' END"""
+
+
+def _raw_times(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 10 == 0, "soon").when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00")))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", raw.alias("raw"))
+
+
+@query(f"""WITH r AS (SELECT event_id, ts, {_RAW} AS raw FROM events) SELECT event_id, raw,
+  CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 2 = 0 THEN epoch(date_trunc('second', ts))::BIGINT ELSE epoch(date_trunc('second', ts))::BIGINT - 28800 END AS seconds,
+  CASE WHEN event_id % 10 = 0 THEN 'soon' ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS display FROM r""")
+def q_time_parse(spark, sf_dir):
+    raw = F.col("raw")
+    return _raw_times(spark, sf_dir).select("event_id", "raw", F.unix_timestamp(T.article_time(raw)).alias("seconds"), T.display_time(raw).alias("display"))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 2 = 0 THEN epoch(date_trunc('second', ts))::BIGINT ELSE epoch(date_trunc('second', ts))::BIGINT - 28800 END AS s FROM events)
+          SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY s DESC NULLS LAST, event_id)::INT AS position FROM r""")
+def q_sort_articles(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy(T.article_time(F.col("raw")).desc_nulls_last(), "event_id")
+    return _raw_times(spark, sf_dir).select("event_id", F.row_number().over(order).alias("position"))
+
+
+@query(f"""SELECT page_id, replace(replace(replace(replace(replace({HOST} || ' <' || url || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS label FROM pages""")
+def q_labels(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.concat(T.source_host(url), F.lit(" <"), url, F.lit(">"))).alias("label"))
+
+
+@query(f"""SELECT page_id, '{{"@context":"https://schema.org","@type":"Article","headline":"page ' || page_id || '"' || CASE WHEN page_id % 2 = 0 THEN ',"author":"' || {HOST} || '"' ELSE '' END || '}}' AS json FROM pages""")
+def q_json_ld(spark, sf_dir):
+    author = F.when(F.col("page_id") % 2 == 0, T.source_host(F.col("url")))
+    data = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Article").alias("@type"), F.concat(F.lit("page "), "page_id").alias("headline"), author.alias("author"))
+    return table(spark, sf_dir, "pages").select("page_id", F.replace(F.to_json(data), F.lit("<"), F.lit("\\u003c")).alias("json"))
+
+
+@query(f"""SELECT {HOST} AS host, string_agg(md5(url), ',' ORDER BY page_id) AS items, count(*) AS n FROM pages GROUP BY 1""")
+def q_index_list(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("page_id", T.article_id(F.col("url")).alias("id"))))
+    return table(spark, sf_dir, "pages").groupBy(T.source_host(F.col("url")).alias("host")).agg(F.array_join(F.transform(rows, lambda r: r["id"]), ",").alias("items"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT page_id, md5('<html><head><title>' || {HOST} || '</title>' || CASE WHEN page_id % 3 = 0 THEN '<link rel="canonical" href="' || replace(url, '&', '&amp;') || '">' ELSE '' END || '</head></html>') AS digest FROM pages""")
+def q_page_shell(spark, sf_dir):
+    url = F.col("url")
+    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<link rel="canonical" href="'), T.escape_html(url), F.lit('">'))).otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.concat(F.lit("<html><head><title>"), T.source_host(url), F.lit("</title>"), link, F.lit("</head></html>"))).alias("digest"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (page_id % 5 <> 0) AS ok, count(*) FILTER (page_id % 5 = 0) AS failed FROM pages")
+def q_archive_summary(spark, sf_dir):
+    ok = F.count_if(F.col("page_id") % 5 != 0)
+    return table(spark, sf_dir, "pages").agg(F.count("*").alias("n"), ok.alias("ok"), (F.count("*") - ok).alias("failed"))
+
+
+@query("""SELECT p_partkey, p_size AS width, greatest(1, round_even(p_size * (p_retailprice / 1000), 0))::INT AS height FROM part""")
+def q_image_attrs(spark, sf_dir):
+    width = T.positive_int(F.concat("p_size", F.lit("px")))
+    return table(spark, sf_dir, "part").select("p_partkey", width.alias("width"), T.image_height(width, F.col("p_retailprice") / 1000).alias("height"))
+
+
+def visits(spark, sf_dir) -> DataFrame:
+    e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages").select("page_id", T.article_id(F.col("url")).alias("article_id"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    agent = F.when(F.col("event_id") % 7 == 0, "curl/8").when(F.col("event_id") % 7 == 1, "Googlebot").when(F.col("event_id") % 7 == 2, "curlish").otherwise("Mozilla/5.0 (Windows NT 10.0) Chrome/1 Safari/1")
+    e = e.select("event_id", "ts", "user_id", F.concat(F.lit("v"), "user_id").alias("visitor"), F.when(F.col("event_type") == "view", "article").otherwise("site").alias("page"), agent.alias("agent"), F.when(F.col("event_id") % 11 == 0, "prefetch").alias("purpose"), k.alias("k"))
+    df = e.join(p, e["k"] == p["page_id"], "left").drop("k", "page_id")
+    reason = V.ignored_reason(F.col("agent"), F.col("purpose"))
+    return df.select("*", reason.alias("reason"), V.valid_payload(F.col("page"), F.col("article_id")).alias("valid"), V.local_day(F.col("ts")).alias("day"))
+
+
+VISITS = """WITH v AS (SELECT event_id, ts, user_id, 'v' || user_id AS visitor, CASE WHEN event_type = 'view' THEN 'article' ELSE 'site' END AS page, md5(p.url) AS article_id,
+  CASE WHEN event_id % 11 = 0 THEN 'prefetch' WHEN event_id % 7 IN (0, 1) THEN 'bot' ELSE '' END AS reason,
+  event_type <> 'view' OR p.url IS NOT NULL AS valid, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Shanghai' AS DATE) AS day
+  FROM events LEFT JOIN pages p ON p.page_id = CAST(json_extract_string(props, '$.k') AS BIGINT)), c AS (SELECT * FROM v WHERE valid AND reason = '') """
+
+
+def counted_visits(spark, sf_dir) -> DataFrame:
+    return visits(spark, sf_dir).filter("valid AND reason = ''")
+
+
+@query(VISITS + "SELECT event_id, page, reason, valid FROM v")
+def q_visit_classify(spark, sf_dir):
+    return visits(spark, sf_dir).select("event_id", "page", "reason", "valid")
+
+
+@query(VISITS + "SELECT count(*) AS pv FROM c")
+def q_site_pv(spark, sf_dir):
+    return counted_visits(spark, sf_dir).agg(F.count("*").alias("pv"))
+
+
+@query(VISITS + "SELECT CAST(day AS VARCHAR) AS day, count(DISTINCT visitor) AS uv FROM c GROUP BY day")
+def q_daily_uv(spark, sf_dir):
+    return counted_visits(spark, sf_dir).groupBy(F.col("day").cast("string").alias("day")).agg(F.countDistinct("visitor").alias("uv"))
+
+
+@query(VISITS + "SELECT article_id, count(*) AS pv FROM c WHERE page = 'article' GROUP BY article_id")
+def q_article_pv(spark, sf_dir):
+    return counted_visits(spark, sf_dir).filter("page = 'article'").groupBy("article_id").agg(F.count("*").alias("pv"))
+
+
+@query(VISITS + """, f AS (SELECT *, row_number() OVER (PARTITION BY day, visitor ORDER BY ts, event_id) = 1 AS first FROM c)
+  SELECT event_id, count(*) OVER w AS day_pv, sum(first::INT) OVER w AS day_uv FROM f WINDOW w AS (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def q_running_counters(spark, sf_dir):
+    first = F.row_number().over(Window.partitionBy("day", "visitor").orderBy("ts", "event_id")) == 1
+    w = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return counted_visits(spark, sf_dir).withColumn("first", first).select("event_id", F.count("*").over(w).alias("day_pv"), F.sum(F.col("first").cast("int")).over(w).alias("day_uv"))
+
+
+@query("""SELECT page_id FROM pages WHERE trim(url) NOT IN (SELECT trim(url) FROM pages WHERE page_id % 4 = 0)""")
+def q_new_links_anti(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.trim("url").alias("url"))
+    return p.join(p.filter("page_id % 4 = 0").select("url"), "url", "left_anti").select("page_id")
+
+
+@query("SELECT DISTINCT md5('asset' || (k % 400)) AS id FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k % 400 NOT IN (SELECT page_id FROM pages WHERE page_id % 2 = 0)")
+def q_gc_anti(spark, sf_dir):
+    assets = table(spark, sf_dir, "events").select((F.get_json_object("props", "$.k").cast("long") % 400).alias("k")).distinct()
+    active = table(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(F.col("page_id").alias("k"))
+    return assets.join(active, "k", "left_anti").select(F.md5(F.concat(F.lit("asset"), "k")).alias("id"))
+
+
+@query("""WITH c AS (SELECT user_id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 50)::BIGINT AS chunk, event_id FROM events)
+          SELECT user_id, chunk, count(*) AS submitted, min(event_id) AS first_id FROM c GROUP BY 1, 2""")
+def q_submit_chunks(spark, sf_dir):
+    return A.chunks(table(spark, sf_dir, "events").select("user_id", "event_id"), "event_id", 50, "user_id").groupBy("user_id", "chunk").agg(F.count("*").alias("submitted"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT conv_id, turn, role, length(text)::INT AS size FROM conversations")
+def q_history_flatten(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    nested = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("size")))).alias("turns"))
+    return nested.select("conv_id", F.inline("turns"))
+
+
+@query("""WITH t AS (SELECT page_id, '{"content_url":"' || replace(url, '/', '\\/') || '"} {"content_url" : "x' || page_id || '"}' AS raw FROM pages)
+          SELECT page_id, trim(replace(replace(x, '&amp;', '&'), '\\/', '/')) AS link FROM (SELECT page_id, unnest(regexp_extract_all(raw, '"content_url"\\s*:\\s*"([^"]+)"', 1)) AS x FROM t)""")
+def q_link_regex(spark, sf_dir):
+    raw = F.concat(F.lit('{"content_url":"'), F.replace("url", F.lit("/"), F.lit("\\/")), F.lit('"} {"content_url" : "x'), "page_id", F.lit('"}'))
+    found = F.explode(F.regexp_extract_all(raw, F.lit(r'"content_url"\s*:\s*"([^"]+)"'), F.lit(1)))
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("x")).select("page_id", F.trim(F.replace(F.replace("x", F.lit("&amp;"), F.lit("&")), F.lit("\\/"), F.lit("/"))).alias("link"))
+
+
+_IP = "CASE event_id % 8 WHEN 0 THEN '10.' WHEN 1 THEN '127.' WHEN 2 THEN '100.' WHEN 3 THEN '169.' WHEN 4 THEN '172.' WHEN 5 THEN '192.' WHEN 6 THEN '300.' ELSE '8.' END || (user_id % 260) || '.' || (event_id % 256) || '.1'"
+
+
+@query(f"""WITH i AS (SELECT event_id, {_IP} AS ip, event_id % 8 AS k, user_id % 260 AS b FROM events)
+  SELECT event_id, ip, k <> 6 AND b <= 255 AS v4, k <> 6 AND b <= 255 AND (k IN (0, 1) OR (k = 2 AND b BETWEEN 64 AND 127) OR (k = 3 AND b = 254) OR (k = 4 AND b BETWEEN 16 AND 31) OR (k = 5 AND b = 168)) AS private FROM i""")
+def q_ip_predicates(spark, sf_dir):
+    first = F.element_at(F.array(*[F.lit(x) for x in ("10.", "127.", "100.", "169.", "172.", "192.", "300.", "8.")]), (F.col("event_id") % 8 + 1).cast("int"))
+    ip = F.concat(first, F.col("user_id") % 260, F.lit("."), F.col("event_id") % 256, F.lit(".1"))
+    df = table(spark, sf_dir, "events").select("event_id", ip.alias("ip"))
+    return df.select("event_id", "ip", V.is_ipv4(F.col("ip")).alias("v4"), V.is_private_ipv4(F.col("ip")).alias("private"))
+
+
+@query("""SELECT c_custkey, CASE WHEN score IS NULL THEN CASE WHEN reports > 0 THEN true END ELSE score > 0 END AS abusive FROM
+  (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 3 END AS score, c_custkey % 4 AS reports FROM customer)""")
+def q_ip_abuse(spark, sf_dir):
+    score = F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 3)
+    return table(spark, sf_dir, "customer").select("c_custkey", iprisk.abusive(score, F.col("c_custkey") % 4).alias("abusive"))
+
+
+_USAGE = "CASE c_mktsegment WHEN 'BUILDING' THEN 'ISP' WHEN 'AUTOMOBILE' THEN 'DCH' WHEN 'MACHINERY' THEN 'MOB' WHEN 'HOUSEHOLD' THEN 'Data Center/Web Hosting/Transit' ELSE 'ISP/MOB' END"
+
+
+@query(f"SELECT c_custkey, CASE {_USAGE} WHEN 'ISP' THEN true WHEN 'MOB' THEN true WHEN 'ISP/MOB' THEN NULL ELSE false END AS residential FROM customer")
+def q_ip_residential(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", iprisk.residential(F.expr(_USAGE), F.lit("")).alias("residential"))
+
+
+_FLAGS = {"is_tor": 7, "is_proxy": 11, "is_threat": 13, "is_datacenter": 3, "is_bogon": 5}
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 'high' WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'mid' ELSE 'low' END AS risk FROM customer")
+def q_ip_risk(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", iprisk.risk({k: F.col("c_custkey") % n == 0 for k, n in _FLAGS.items()}).alias("risk"))
+
+
+@query("""WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ok' WHEN c_custkey % 3 = 0 THEN 'not_configured' ELSE 'error' END AS a, CASE WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'error' END AS b, CASE WHEN c_custkey % 5 = 0 THEN 'not_configured' ELSE 'ok' END AS c
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+  n AS (SELECT c_custkey, (a = 'ok')::INT + (b = 'ok')::INT + (c = 'ok')::INT AS ok, (a = 'not_configured')::INT + (b = 'not_configured')::INT + (c = 'not_configured')::INT AS nc FROM s)
+  SELECT c_custkey, ok > 0 AS success, CASE WHEN ok = 3 THEN 'all ok' WHEN nc = 3 THEN 'none configured' WHEN ok + nc = 0 THEN 'all failed' WHEN ok = 0 THEN 'failed or not configured' WHEN ok + nc = 3 THEN 'some not configured' WHEN nc = 0 THEN 'some failed' ELSE 'mixed' END AS message FROM n""")
+def q_ip_overall(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    k = F.col("c_custkey")
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left")
+    states = [F.when(k % 2 == 0, "ok").when(k % 3 == 0, "not_configured").otherwise("error"), F.when(F.col("n_nationkey") % 2 == 0, "ok").otherwise("error"), F.when(k % 5 == 0, "not_configured").otherwise("ok")]
+    return joined.select("c_custkey", *iprisk.overall(states))
+
+
+@query("""WITH RECURSIVE t AS (SELECT user_id, epoch(ts)::BIGINT AS s FROM events), m AS (
+  SELECT user_id, min(s) AS s, 1 AS n FROM t GROUP BY user_id
+  UNION ALL SELECT m.user_id, (SELECT min(t.s) FROM t WHERE t.user_id = m.user_id AND t.s >= m.s + 3600), m.n + 1 FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.user_id = m.user_id AND t.s >= m.s + 3600))
+  SELECT user_id, max(n)::BIGINT AS misses FROM m GROUP BY user_id""")
+def q_ip_cache_ttl(spark, sf_dir):
+    times = F.array_sort(F.collect_list(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(times.alias("times"))
+    return e.select("user_id", A.ttl_misses(F.col("times"), 3600).alias("misses"))
+
+
+_AGENT = "CASE event_id % 5 WHEN 0 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Safari/604' WHEN 1 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120' WHEN 2 THEN 'Mozilla/5.0 (X11; Linux) Firefox/120' WHEN 3 THEN 'Mozilla/5.0 (Linux; Android 14) Chrome/120 Safari/537' ELSE 'x' END"
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Safari' WHEN 1 THEN 'Edge' WHEN 2 THEN 'Firefox' WHEN 3 THEN 'Chrome' ELSE 'unknown' END AS browser, CASE event_id % 5 WHEN 0 THEN 'macOS' WHEN 1 THEN 'Windows' WHEN 2 THEN 'Linux' WHEN 3 THEN 'Android' ELSE 'unknown' END AS system FROM events""")
+def q_user_agent(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.expr(_AGENT).alias("ua"))
+    return df.select("event_id", V.first_of(V.BROWSERS, F.col("ua"), "unknown").alias("browser"), V.first_of(V.SYSTEMS, F.col("ua"), "unknown").alias("system"))
+
+
+@query("SELECT doc_id, md5(base64(encode(text))) AS digest, true AS same FROM documents")
+def q_base64_roundtrip(spark, sf_dir):
+    coded = F.base64(F.encode("text", "UTF-8"))
+    plain = F.regexp_replace(coded, r"\s", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(plain).alias("digest"), (F.decode(F.unbase64(plain), "UTF-8") == F.col("text")).alias("same"))
