@@ -35,6 +35,7 @@ from galleyworks.llm.scratch import materialise, small_side
 GAMMA, LEAST_IMPORTANCE = 0.9, 0.3
 #: An element counts in a host's tree if it is on so many of its pages, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.01
+SHORT = 80
 #: Rows of the table of removed elements up to which it is broadcast.
 SMALL = 200_000
 
@@ -216,7 +217,10 @@ class Page:
             if i in children:
                 out[(*place, 0, xxhash.xxh64_intdigest(repr(children[i])) >> 1)] += 1
             if i in own:
-                out[(*place, 1, xxhash.xxh64_intdigest(_DIGITS.sub("0", " ".join(own[i]))) >> 1)] += 1
+                content = " ".join(own[i])
+                if len(content) <= SHORT:  # counts and years in short notices do not make them different
+                    content = _DIGITS.sub("0", content)
+                out[(*place, 1, xxhash.xxh64_intdigest(content) >> 1)] += 1
         return out
 
     def _inside(self, i: int, mark: int) -> bool:

@@ -1,0 +1,195 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from galleyworks.llm import ann, fingerprint, html_extract, mixing, neardup, packing, pii, secret_scan, token_count, toxicity
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, hash string"
+
+
+def docs(spark, rows):
+    """Documents with odd rows among them: nulls everywhere, empties, repeated rows, extra columns with clashing names."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", None) for i, t, s in rows], DOCS)
+
+
+ODD = [(1, None, None), (2, "", "a"), (2, "", "a"), (None, "one two", "b"), (3, "word " * 30000, "b"), (4, "😀 é", None)]
+
+
+def test_html():
+    page = html_extract.Page("<nav>m</nav><article><h1>T &amp; u</h1><p>a <b>b</b>\n c<p>d<br>e</p><div class=ad>x</div><form>f</form></article><div class=comments><p>c</p></div><script>'</p>'</script><footer>z")
+    assert page.text(set()) == "T & u\na b c\nd e"
+
+
+def test_html_style_tree(spark):
+    body = lambda i: f"<div class=top>Welcome here</div><div class=c><p>{' '.join(f'w{(i * 7919 + k * k) % 10007}' for k in range(40))}</p></div><div class=b><p>All rights kept</p></div>"
+    rows = [(i, f"http://a.com/{i}", body(i)) for i in range(30)] + [(100, None, None), (101, "", "")]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[100] == got[101] == "" and all("Welcome" not in got[i] and "rights" not in got[i] and got[i].startswith("w") for i in range(30))
+
+
+def test_packing(spark):
+    df = docs(spark, [*ODD, *[(10 + i, "same text here", f"s{i % 3}") for i in range(9)]])
+    rows = packing.pack(df, capacity=100).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin_id, []).append(r)
+    assert sum(r.n_words for r in rows) == 30000 + 2 + 2 + 27
+    for inside in bins.values():
+        assert sum(r.n_words for r in inside) <= 100 and len({r.cluster for r in inside}) == len(inside) == len({r.source for r in inside})
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_best_fit_against_plain_search():
+    r = random.Random(4)
+    items = [(r.randint(0, 50), r.randint(0, 5), r.randint(0, 20)) for _ in range(400)]
+    items.sort(key=lambda x: -x[0])
+    made = packing.pack_rows(*map(list, zip(*items)), 50)
+    room, inside, want = [], [], []
+    for row, (size, s, c) in enumerate(items):
+        fit = [(room[b], b) for b in range(len(room)) if room[b] > 0 and room[b] >= size and all(s != x and c != y for x, y in inside[b])]
+        b = min(fit)[1] if fit else len(room)
+        if not fit:
+            room.append(50)
+            inside.append([])
+        room[b] -= size
+        inside[b].append((s, c))
+        want.append((row, b))
+    assert [(m[0], m[4]) for m in made] == want
+
+
+def test_toxicity():
+    r = random.Random(2)
+    word = lambda: "".join(r.choice(["an", "er", "th", "on", "re", "ti"]) for _ in range(3))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(300)]
+    y = np.array([i % 3 == 0 for i in range(300)]).astype(int)
+    texts = [t + " worthless idiot" if k else t for t, k in zip(texts, y)]
+    model = toxicity.train(texts[:200], y[:200], least_steps=120, epochs=1)
+    import pyarrow as pa
+
+    score = toxicity.score_batch(pa.array([*texts[200:], "", "anerth worthles idiott"]), model.gram_scores(), model.bias)
+    assert ((score[:100] >= 0.5) == y[200:]).mean() > 0.95 and score[100] < 0.5 and score[101] > score[100]
+
+
+def test_near_duplicates(spark):
+    r = random.Random(3)
+    base = [[f"w{r.randint(0, 5000)}" for _ in range(120)] for _ in range(6)]
+    rows = []
+    for k, words in enumerate(base):
+        k += 100
+        rows += [(10 * k, " ".join(words), "a"), (10 * k + 1, " ".join(words).upper(), "a"), (10 * k + 2, " ".join([*words[:60], "changed", *words[61:]]), "b"), (10 * k + 3, " ".join(words[:60]), "b")]
+    got = {x.doc_id: x for x in neardup.classes(docs(spark, [*ODD[:2], *rows, (99, "a b", None), (98, "a b", None)])).collect() if x.doc_id not in (1, 2)}
+    for k in range(100, 106):
+        assert [got[10 * k + j].class_id for j in range(4)] == [10 * k, 10 * k, 10 * k, 10 * k + 3], k
+        assert got[10 * k].n_links == 1
+    assert got[99].class_id == 98
+    left = neardup.without_copies(docs(spark, [*ODD, *rows]))
+    assert left.columns == docs(spark, []).columns and left.filter("doc_id = 2").count() + left.filter("doc_id = 1").count() == 1
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 70)], "a long, b long")
+    assert {r.id: r.label for r in neardup.components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 60: 50, 70: 50}
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_secrets(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    texts = [t for _, t, _ in ODD] + ["😀 token=abcdefgh1", "token=api_key: abcdefgh12", f"{key} {'Ab3/' * 10} https://s3.example.com/x", "Ab3/" * 10, "token=ab token=abcdefghij" + "0f" * 20, "token=aaaaaaaaaa " * 300]
+    got = {r.doc_id: r for r in secret_scan.digests(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        text = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert "opaque" in got[8].spans and "endpoint" in got[8].spans and got[9].spans == ""
+
+
+def test_mixing(spark):
+    df = docs(spark, [*ODD[1:4], (5, "a b c d " * 40, None), *[(10 + i, "w " * (i % 7 + 1), "abc"[i % 3]) for i in range(200)]])
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 204 and all(r.taken <= 2 * r.size for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault((r.source_size, r.target), []).append(r)
+    assert abs(sum(t for _, t in by) - 1.5 * sum(s for s, _ in by)) < 1e-6
+    for (_, target), own in by.items():
+        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own) / 2 + 1e-9 or target == 0
+    assert mixing.mixed(df).select(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r.taken for r in rows)
+
+
+def test_personal_data(spark):
+    texts = [None, "", "no data here v1.2.3.4.5", "Mail JOE@x.com and joe@x.com", "Mr. John Smith, Frau Müller", "call +1 (487) 555-7209 or 10.2.3.4", "4111 1111 1111 1111 / 4111-1111-1111-1111"]
+    got = [r.text for r in pii.pseudonymise(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert got[:3] == texts[:3]
+    mails = re.findall(r"\S+@\S+", got[3])
+    assert len(set(mails)) == 1 and mails[0].endswith("@example.com")
+    assert re.fullmatch(r"Mr\. [A-Z]\w+ [A-Z]\w+, Frau [A-Z]\w+", got[4]) and "Smith" not in got[4]
+    assert re.fullmatch(r"call \+1 \(\d{3}\) 555-\d{4} or 10\.\d+\.\d+\.\d+", got[5]) and "7209" not in got[5]
+    a, b = got[6].split(" / ")
+    assert a.replace(" ", "") == b.replace("-", "") != "4111111111111111"
+
+
+def test_neighbours(spark):
+    g = np.random.default_rng(1)
+    x = g.normal(size=(600, 16)).astype(np.float32)
+    x[100:300] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (5, x[5].tolist()), (760, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.neighbours(df, df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    hits = 0
+    for q in range(0, 600, 20):
+        want = [int(i) for i in sorted(range(600), key=lambda i: (-s[q, i], i)) if i != q][:20]
+        hits += len(set(want) & {v for v, _ in got[q].values()})
+        assert len(got[q]) == 20 and all(abs(score - s[q, v]) < 1e-9 for v, score in got[q].values())
+    assert hits / 600 >= 0.97 and not {700, 720, 740, 760} & set(got)
+
+
+def test_token_count():
+    pytest.importorskip("sentencepiece")
+    from tokenizers import Tokenizer, models, normalizers
+
+    pieces, whole = token_count.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
+    least = min(s for _, s in pieces)
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "the", "é", "  ", " ", "梦", "\n", "😀", "x▁", "ing", " \t"]) for _ in range(r.randint(0, 40))) for _ in range(500)] + ["word " * 2000]
+    for known in (True, False):
+        model = Tokenizer(models.Unigram([("<unk>", least), *pieces, *([(f"<0x{i:02X}>", least) for i in range(256)] if known else [])], 0, known))
+        model.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+        count = token_count.WordCounter(pieces, known)
+        assert [count.whole(t) for t in texts] == [len(e.ids) for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_fingerprints(spark):
+    rows = [(i, f"{i} " + " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(80)), "a") for i in range(40)] + ODD[:2] + [(7, "repeated id", "a")]
+    got = fingerprint.edited_fingerprints(docs(spark, rows)).collect()
+    order = sorted(((i, t or "") for i, t, _ in rows))
+    want = set()
+    for k, (i, t) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][1], len(t) // 2
+        want.add((i, hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
+    assert {(r.doc_id, r.edited_sha256) for r in got} == want and len(got) == len(rows)
+    text = " ".join(f"w{k * k % 9973}" for k in range(400))
+    a, b = fingerprint.sketches([text, "some words before it " + text])
+    assert fingerprint.likeness(a, b) > 0.8 and fingerprint.likeness(a, a) == 1.0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    frame = source
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, SF)
+        assert frame.columns == source.columns, name
+    packed = corpus_pipeline.run(spark, SF)
+    assert packed.groupBy("bin_id").agg(F.sum("n_words").alias("n")).filter(f"n > {packing.CAPACITY}").isEmpty() and not packed.isEmpty()
