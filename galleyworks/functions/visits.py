@@ -24,7 +24,7 @@ def ignored_reason(user_agent: Column, *headers: Column) -> Column:
 
 def cookies(header: Column) -> Column:
     """Map of a Cookie header; the later of two of one name stays, nameless parts go."""
-    parts = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ";"), F.trim), lambda p: p.rlike("^[^=]+="))
+    parts = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p.rlike("^[^=]+="))
     pairs = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), F.trim(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
