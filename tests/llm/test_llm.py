@@ -68,7 +68,7 @@ def test_toxicity():
     texts = [" ".join(word() for _ in range(60)) for _ in range(300)]
     y = np.array([i % 3 == 0 for i in range(300)]).astype(int)
     texts = [t + " worthless idiot" if k else t for t, k in zip(texts, y)]
-    model = toxicity.train(texts[:200], y[:200], least_steps=120, epochs=1)
+    model = toxicity.train(texts[:200], y[:200])
     import pyarrow as pa
 
     score = toxicity.score_batch(pa.array([*texts[200:], "", "anerth worthles idiott"]), model.gram_scores(), model.bias)
