@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleyworks.functions import client as C
+from galleyworks.functions import markup as M
 from galleyworks.functions import visits as V
+from galleyworks.operators import images
 from galleyworks.plans.queries import ORACLES, query, table
 from galleyworks.sources import files
 from galleyworks.streaming import streams
@@ -111,3 +113,22 @@ def q_stream_cache(spark, sf_dir):
     requests = events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("ip"), F.col("event_id").cast("long").alias("request"), "ts", F.lit(False).alias("debug"))
     looked = streams.run_to_table(streams.cached_lookups(requests), "lookups")
     return looked.filter("NOT hit").groupBy(F.col("ip").cast("long").alias("user_id")).agg(F.count("*").alias("misses"))
+
+
+@query("""SELECT page_id, '<p><img src="/assets/images/' || page_id || '/' || md5('https://i.example/' || page_id || '.png') || '.png" data-w="100" data-ratio="0.5" alt="" loading="lazy" width="100" height="50" data-original-src="https://i.example/' || page_id
+  || '.png" data-src="/assets/images/' || page_id || '/' || md5('https://i.example/' || page_id || '.png') || '.png"/></p>' AS content_html FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id, '<p><img src="https://i.example/' || page_id || '.png" data-w="100" data-ratio="0.5" alt="" loading="lazy" width="100" height="50"/></p>' FROM pages WHERE page_id % 2 = 1""")
+def q_localised_images(spark, sf_dir):
+    source = F.concat(F.lit("https://i.example/"), "page_id", F.lit(".png"))
+    html = F.concat(F.lit('<p><img src="'), source, F.lit('" data-w="100" data-ratio="0.5"></p>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("id"), F.lit(True).alias("success"), html.alias("content_html"))
+    downloads = table(spark, sf_dir, "pages").select(source.alias("source"), F.when(F.col("page_id") % 2 == 0, "image/png").otherwise("text/html").alias("content_type"))
+    return images.localise(pages, downloads).select("page_id", "content_html")
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{M.PREFETCH_MESSAGE}' WHEN 1 THEN '{M.BOT_MESSAGE}' WHEN 2 THEN '{M.ARTICLE_MESSAGE}' ELSE '{M.SITE_MESSAGE}' END
+  || replace('{M.DAY_MESSAGE}', '%s', 'day' || (event_id % 3)) AS message FROM events""")
+def q_visit_messages(spark, sf_dir):
+    k = F.col("event_id") % 4
+    reason = F.when(k == 0, "prefetch").when(k == 1, "bot").otherwise("")
+    return table(spark, sf_dir, "events").select("event_id", M.visit_message(F.when(k == 2, "article").otherwise("site"), k >= 2, reason, F.concat(F.lit("day"), F.col("event_id") % 3)).alias("message"))
