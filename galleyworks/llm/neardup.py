@@ -10,8 +10,8 @@ of a much copied text, whose shingles are all frequent, fall below the threshold
    table of random rows that shingles are hashed to. Every ROWS samples are a band; texts that agree on a band are candidates.
 2. Copies alike word for word are one class from here on: a row per distinct text.
 3. Every bucket (texts of one band value) has two leaders, the first and last by hash; each member is verified against
-   them. Members that no leader took are held against all of their bucket, blocks of a bucket at a time: pairs whose
-   samples promise a link are verified there and then, and only links come out.
+   them. Then all other pairs of a bucket whose two members are not in one class yet are verified, blocks of a bucket
+   at a time; only links come out, and no more of them than join classes of the block.
 4. Verification computes the weighted Jaccard similarity of the whole texts exactly.
 5. Links make classes by label propagation with pointer jumping; the class id is the smallest doc_id in it.
 
@@ -36,8 +36,8 @@ SAMPLES, ROWS = 30, 3
 BANDS = SAMPLES // ROWS
 DF_BUCKETS, DF_PART, DAMPING = 1 << 18, 1 << 10, 32.0
 DRAWS = 1 << 14
-#: Share of samples that must agree for a pair of step 3's second part; members of a block of it; members that share a leader's copy of the text.
-PROMISING, BLOCK, BESIDE = 0.7, 512, 64
+#: Members and mean shingles of a block of step 3's second part; members that share a leader's copy of the text; more than sums of floats can be off.
+BLOCK, BLOCK_SHINGLES, BESIDE, SLACK = 512, 1 << 20, 64, 1e-3
 LEAST = -(1 << 63)
 
 
@@ -115,7 +115,7 @@ def _signer(idf):
             for a, b, part in chunks(batch.column("text")):
                 rows, h, w = weights(part, idf.value)
                 edge = np.searchsorted(rows, np.arange(b - a + 1))
-                bands, marks, keys = np.zeros((b - a, BANDS), np.int64), np.zeros((b - a, SAMPLES), np.uint16), []
+                bands, keys = np.zeros((b - a, BANDS), np.int64), []
                 with np.errstate(over="ignore"):
                     for i in range(b - a):
                         hh, ww = h[edge[i] : edge[i + 1]], w[edge[i] : edge[i + 1]]
@@ -123,11 +123,10 @@ def _signer(idf):
                         keys.append(mix(np.array([np.sum(mix(hh + ww.view(np.uint32).astype(U) * odd[1])) if len(hh) else 1, np.sum(mix(hh * odd[2] + U(len(hh)))) if len(hh) else 1], U)).tobytes())
                         if len(hh):
                             s = _draws[0].sample(hh, ww)
-                            marks[i] = (s & U(0xFFFF)).astype(np.uint16)
                             bands[i] = mix((s.reshape(BANDS, ROWS) * odd).sum(axis=1)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(np.diff(edge) > 0)],
-                    ["doc_id", "key", "bands", "marks", "words"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array(np.diff(edge), pa.int64())],
+                    ["doc_id", "key", "bands", "shingles"],
                 )
 
     return sign
@@ -181,56 +180,65 @@ def _similar(of, own, hh, ww) -> float:
 
 
 def _block_verifier(idf, threshold):
-    """Links of one block of open members with one block of all members of a bucket.
+    """Links between members of one bucket that are of different classes so far: of one block, or of two blocks with each other.
 
-    A pair is looked at in the first band that it shares, and computed exactly if its samples promise a link.
+    A pair is looked at in the first band that it shares, and computed exactly. Classes grow as links are found, so that at most one link less than the members comes out.
     """
 
     def verify(table: pa.Table) -> pa.Table:
-        is_x = np.array(table.column("open"), bool)
-        free = np.array(table.column("is_open"), bool)
-        ids, band = table.column("id").to_numpy(), table.column("band")[0].as_py()
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint16).reshape(-1, SAMPLES)
+        table = table.sort_by("id")
+        ids, band, block = table.column("id").to_numpy(), table.column("band")[0].as_py(), table.column("block").to_numpy()
+        two = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+        of = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
         bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)[:, :band]
-        sets = []
-        for a, b, part in chunks(table.column("text")):
-            rows, h, w = weights(part, idf.value)
-            edge = np.searchsorted(rows, np.arange(b - a + 1))
-            sets += [(h[edge[i] : edge[i + 1]], w[edge[i] : edge[i + 1]]) for i in range(b - a)]
-        y = np.flatnonzero(~is_x)
-        found = []
-        for i in np.flatnonzero(is_x):
-            near = y[(marks[y] == marks[i]).mean(1) >= PROMISING]
-            near = near[(ids[near] != ids[i]) & ~(free[near] & (ids[near] < ids[i])) & ~(bands[near] == bands[i]).any(1)]
-            for j in near:
-                if (s := _similar(*sets[i], *sets[j])) >= threshold:
+        parts = [(a, *weights(part, idf.value)) for a, _, part in chunks(table.column("text"))]
+        row, h, w = (np.concatenate(x) for x in zip(*((a + rows, h, w) for a, rows, h, w in parts), strict=True))
+        code = np.unique(h, return_inverse=True)[1].astype(np.int32)
+        edge = np.searchsorted(row, np.arange(len(ids) + 1))
+        whole, here, found = np.bincount(row, w, len(ids)), np.zeros(len(h), np.float32), []
+        for i in range(len(ids) - 1):
+            later = slice(i + 1, None)
+            # no pair is more alike than its total weights are
+            look = (of[later] != of[i]) & (np.minimum(whole[later], whole[i]) >= (threshold - SLACK) * np.maximum(whole[later], whole[i])) & ~(bands[later] == bands[i]).any(1)
+            if two:
+                look &= block[later] != block[i]
+            if not look.any():
+                continue
+            own, rest = slice(edge[i], edge[i + 1]), slice(edge[i + 1], None)
+            here[code[own]] = w[own]
+            low = np.bincount(row[rest] - i - 1, np.minimum(w[rest], here[code[rest]]), len(ids) - i - 1)
+            here[code[own]] = 0
+            for j in i + 1 + np.flatnonzero(look & (low >= (threshold - SLACK) * (whole[later] + whole[i] - low))):
+                its = slice(edge[j], edge[j + 1])
+                if of[j] != of[i] and (s := _similar(h[own], w[own], h[its], w[its])) >= threshold:
                     found.append((ids[i], ids[j], s))
+                    of[of == of[j]] = of[i]
         a, b, s = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
     return verify
 
 
-def open_links(members: DataFrame, open_ids: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity of open members and any other of their buckets. Every group holds two blocks, however large a bucket is."""
-    open_ids = open_ids.withColumn("is_open", F.lit(True))
-    rows = members.join(open_ids, "id", "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
-    sizes = rows.groupBy("band", "value").agg(F.count_if("is_open").alias("n_open"), F.count("*").alias("n")).filter("n_open > 0 and n > 1")
-    sizes = sizes.select("band", "value", F.ceil(F.col("n_open") / BLOCK).cast("int").alias("open_blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = materialise(rows.join(sizes, ["band", "value"]), "neardup-open")
-    held = materialise(texts.join(rows.select("id").distinct().hint("merge"), "id"), "neardup-open-texts")
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.filter("is_open").withColumn("x", deal("open_blocks")).withColumn("y", numbers("blocks")).withColumn("open", F.lit(True))
-    right = rows.withColumn("y", deal("blocks")).withColumn("x", numbers("open_blocks")).withColumn("open", F.lit(False))
-    columns = ["band", "value", "x", "y", "id", "marks", "bands", "is_open", "open"]
-    both = left.select(*columns).unionByName(right.select(*columns)).join(held.hint("merge"), "id")
+def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, similarity of links between members of a bucket whose classes (labels) differ. Every group holds two blocks, however large a bucket is.
+
+    The leaders of a bucket were held against all of it before; buckets of the same members count once, in their first band.
+    """
+    rows = members.filter("id != low and id != high").drop("low", "high")
+    rows = materialise(rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "neardup-rest")
+    sizes = rows.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("shingles").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("set_"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set2_"))
+    sizes = sizes.filter("least != most").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    sizes = sizes.groupBy("set_", "set2_", "n").agg(F.min(F.struct("band", "value", "blocks")).alias("s")).select("s.*")
+    rows = rows.drop("shingles").join(sizes, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = materialise(rows.select("band", "value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "bands", "label", "block"), "neardup-blocks")
+    both = texts.join(rows.hint("merge"), "id")
     return both.groupBy("band", "value", "x", "y").applyInArrow(_block_verifier(idf, threshold), "a long, b long, similarity double")
 
 
-def links(texts: DataFrame, signed: DataFrame, idf) -> DataFrame:
-    """a, b, similarity: verified links between distinct texts. texts: id, text; signed: id, bands, marks."""
-    members = signed.select("id", "marks", "bands", F.posexplode("bands").alias("band", "value"))
+def links(texts: DataFrame, signed: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity: verified links between distinct texts), (id, label: classes of the linked ones). texts: id, text; signed: id, bands, shingles."""
+    members = signed.select("id", "shingles", "bands", F.posexplode("bands").alias("band", "value"))
     groups = members.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("low"), F.max(F.struct(F.xxhash64("id").alias("o"), "id")).alias("high"), F.count("*").alias("n")).filter("n > 1")
     groups = materialise(groups.select("band", "value", F.col("low.id").alias("low"), F.col("high.id").alias("high")), "neardup-buckets")
     members = materialise(members.join(groups, ["band", "value"]), "neardup-members")
@@ -238,12 +246,17 @@ def links(texts: DataFrame, signed: DataFrame, idf) -> DataFrame:
     # a pair of two leaders comes in both directions: one is enough
     pairs = pairs.groupBy("lead_", F.greatest("lead", "member").alias("other")).agg(F.min("lead").alias("lead")).select("lead", F.when(F.col("lead") == F.col("lead_"), F.col("other")).otherwise(F.col("lead_")).alias("member"))
     found = materialise(verified(materialise(pairs, "neardup-pairs"), texts, idf), "neardup-links")
-    linked = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    open_ids = materialise(members.select("id").distinct().join(linked, "id", "left_anti"), "neardup-unlinked")
-    if open_ids.isEmpty():
-        return found
-    more = open_links(members.drop("low", "high"), open_ids, texts, idf)
-    return materialise(found.unionByName(more), "neardup-all-links")
+    labels = components(found)
+    more = materialise(open_links(members, labels, texts, idf), "neardup-more-links")
+    if more.isEmpty():
+        return found, labels
+    # classes that the later links join
+    of = lambda c: F.coalesce(F.col(f"{c}_label"), F.col(c)).alias(c)
+    named = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = components(more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(of("a"), of("b")))
+    whole = labels.unionByName(joined.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+    whole = whole.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return found.unionByName(more), materialise(whole, "neardup-labels")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,16 +275,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), n_links (verified links of its text to different texts), n_copies (documents of its text), a row per document."""
+    """doc_id, class_id (smallest doc_id of its class), n_links (links of its text to different texts that were found: to leaders of its buckets, and those that joined classes after them; texts of one class are not all compared), n_copies (documents of its text), a row per document."""
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     idf = spark.sparkContext.broadcast(idf_table(docs))
-    signed = materialise(docs.mapInArrow(_signer(idf), "doc_id long, key binary, bands array<long>, marks binary, words boolean"), "neardup-signed")
-    one = signed.groupBy("key").agg(F.min(F.struct("doc_id", "bands", "marks", "words")).alias("s"), F.count("*").alias("n_copies"))
-    one = materialise(one.select("key", F.col("s.doc_id").alias("id"), F.col("s.bands").alias("bands"), F.col("s.marks").alias("marks"), F.col("s.words").alias("words"), "n_copies"), "neardup-texts")
-    edges = links(docs.withColumnRenamed("doc_id", "id"), one.filter("words").select("id", "bands", "marks"), idf)
+    signed = materialise(docs.mapInArrow(_signer(idf), "doc_id long, key binary, bands array<long>, shingles long"), "neardup-signed")
+    one = signed.groupBy("key").agg(F.min(F.struct("doc_id", "bands", "shingles")).alias("s"), F.count("*").alias("n_copies"))
+    one = materialise(one.select("key", F.col("s.doc_id").alias("id"), F.col("s.bands").alias("bands"), F.col("s.shingles").alias("shingles"), "n_copies"), "neardup-texts")
+    edges, labels = links(docs.withColumnRenamed("doc_id", "id"), one.filter("shingles > 0").select("id", "bands", "shingles"), idf)
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    of = one.select("key", "id", "n_copies").join(components(edges), "id", "left").join(degree, "id", "left")
+    of = one.select("key", "id", "n_copies").join(labels, "id", "left").join(degree, "id", "left")
     of = materialise(of.select("key", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "neardup-classes")
     out = signed.select("doc_id", "key").join(of, "key")
     null_id = lambda c: F.when(F.col(c) != LEAST, F.col(c)).alias(c)

@@ -91,6 +91,32 @@ def test_near_duplicates(spark):
     assert left.columns == docs(spark, []).columns and left.filter("doc_id = 2").count() + left.filter("doc_id = 1").count() == 1
 
 
+def test_near_duplicates_beside_leaders(spark):
+    """Variants of one text that differ from each other: classes are those of all pairs that share a band and reach the threshold."""
+    r = random.Random(8)
+    texts = []
+    for k in range(3):
+        base = [f"v{k}x{r.randint(0, 10**6)}" for _ in range(150)]
+        texts += [" ".join(f"n{r.randint(0, 10**6)}" if r.random() < 0.0115 + 0.002 * k else w for w in base) for _ in range(90)]
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    import pyarrow as pa
+
+    class Idf:
+        value = neardup.idf_table(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], ["doc_id", "text", "id"])
+    bands = np.array([b for out in neardup._signer(Idf)([batch]) for b in out.column("bands").to_pylist()])
+    row, h, w = neardup.weights(pa.array(texts, pa.large_string()), Idf.value)
+    sets = [(h[row == i], w[row == i]) for i in range(len(texts))]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((bands[:i] == bands[i]).any(1)):
+            if label[i] != label[j] and neardup._similar(*sets[i], *sets[j]) >= neardup.THRESHOLD:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert [got[i] for i in range(len(texts))] == label and 6 < len(set(label)) < 240
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 70)], "a long, b long")
     assert {r.id: r.label for r in neardup.components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 60: 50, 70: 50}
