@@ -13,10 +13,12 @@ of a much copied text, whose shingles are all frequent, fall below the threshold
    them. Then all other pairs of a bucket whose two members are not in one class yet are verified, blocks of a bucket
    at a time; only links come out, and no more of them than join classes of the block.
 4. Verification computes the weighted Jaccard similarity of the whole texts exactly.
-5. Links make classes by label propagation with pointer jumping; the class id is the smallest doc_id in it.
+5. Links make classes by label propagation with pointer jumping. Texts are named by a 64-bit hash of theirs until here; the
+   class id is the smallest doc_id in it, and null for a class without any.
 
 Texts without words are one class (they are equal); texts of fewer than five words have one shingle of all their words.
-Null texts count as empty; rows may repeat; other columns are not read.
+Null texts count as empty; rows and doc_ids may repeat and be null: classes of different texts that share a doc_id can have
+the same class id, but without_copies tells them apart; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ DF_BUCKETS, DF_PART, DAMPING = 1 << 18, 1 << 10, 32.0
 DRAWS = 1 << 14
 #: Members and mean shingles of a block of step 3's second part; members that share a leader's copy of the text; more than sums of floats can be off.
 BLOCK, BLOCK_SHINGLES, BESIDE, SLACK = 512, 1 << 20, 64, 1e-3
-LEAST = -(1 << 63)
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +126,8 @@ def _signer(idf):
                             s = _draws[0].sample(hh, ww)
                             bands[i] = mix((s.reshape(BANDS, ROWS) * odd).sum(axis=1)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array(np.diff(edge), pa.int64())],
-                    ["doc_id", "key", "bands", "shingles"],
+                    [batch.column("id").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array(np.diff(edge), pa.int64())],
+                    ["id", "doc_id", "key", "bands", "shingles"],
                 )
 
     return sign
@@ -237,11 +238,14 @@ def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, idf, thr
 
 
 def links(texts: DataFrame, signed: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity: verified links between distinct texts), (id, label: classes of the linked ones). texts: id, text; signed: id, bands, shingles."""
+    """(a, b, similarity: verified links between distinct texts), (id, label: classes of the linked ones). texts: id, text, which may repeat; signed: id, bands, shingles."""
     members = signed.select("id", "shingles", "bands", F.posexplode("bands").alias("band", "value"))
     groups = members.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("low"), F.max(F.struct(F.xxhash64("id").alias("o"), "id")).alias("high"), F.count("*").alias("n")).filter("n > 1")
     groups = materialise(groups.select("band", "value", F.col("low.id").alias("low"), F.col("high.id").alias("high")), "neardup-buckets")
     members = materialise(members.join(groups, ["band", "value"]), "neardup-members")
+    # each text once, before the shuffle: copies must not meet in one task
+    texts = texts.groupBy("id").agg(F.first("text").alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    texts = materialise(texts, "neardup-held")
     pairs = members.select("id", F.explode(F.array("low", "high")).alias("lead")).filter("lead != id").select(F.least("lead", "id").alias("lead_"), F.col("lead"), F.col("id").alias("member")).distinct()
     # a pair of two leaders comes in both directions: one is enough
     pairs = pairs.groupBy("lead_", F.greatest("lead", "member").alias("other")).agg(F.min("lead").alias("lead")).select("lead", F.when(F.col("lead") == F.col("lead_"), F.col("other")).otherwise(F.col("lead_")).alias("member"))
@@ -274,31 +278,46 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), n_links (links of its text to different texts that were found: to leaders of its buckets, and those that joined classes after them; texts of one class are not all compared), n_copies (documents of its text), a row per document."""
+def _nodes(documents: DataFrame) -> DataFrame:
+    """id (a hash of the text), doc_id and text of each document. Links and classes are between texts: doc_ids may be null or repeat."""
+    text = F.coalesce("text", F.lit(""))
+    return documents.select(F.xxhash64(text).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """id, doc_id, label (the same for all documents of a class, and for no others), class_id, n_links, n_copies, a row per document."""
     spark = documents.sparkSession
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = _nodes(documents)
     idf = spark.sparkContext.broadcast(idf_table(docs))
-    signed = materialise(docs.mapInArrow(_signer(idf), "doc_id long, key binary, bands array<long>, shingles long"), "neardup-signed")
-    one = signed.groupBy("key").agg(F.min(F.struct("doc_id", "bands", "shingles")).alias("s"), F.count("*").alias("n_copies"))
-    one = materialise(one.select("key", F.col("s.doc_id").alias("id"), F.col("s.bands").alias("bands"), F.col("s.shingles").alias("shingles"), "n_copies"), "neardup-texts")
-    edges, labels = links(docs.withColumnRenamed("doc_id", "id"), one.filter("shingles > 0").select("id", "bands", "shingles"), idf)
+    signed = materialise(docs.mapInArrow(_signer(idf), "id long, doc_id long, key binary, bands array<long>, shingles long"), "neardup-signed")
+    one = signed.groupBy("key").agg(F.min(F.struct("id", "bands", "shingles")).alias("s"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    one = materialise(one.select("key", F.col("s.id").alias("id"), F.col("s.bands").alias("bands"), F.col("s.shingles").alias("shingles"), "least", "n_copies"), "neardup-texts")
+    edges, labels = links(docs.select("id", "text"), one.filter("shingles > 0").select("id", "bands", "shingles"), idf)
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    of = one.select("key", "id", "n_copies").join(labels, "id", "left").join(degree, "id", "left")
-    of = materialise(of.select("key", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "neardup-classes")
-    out = signed.select("doc_id", "key").join(of, "key")
-    null_id = lambda c: F.when(F.col(c) != LEAST, F.col(c)).alias(c)
-    return out.select(null_id("doc_id"), null_id("class_id"), "n_links", "n_copies")
+    of = one.select("key", "id", "least", "n_copies").join(labels, "id", "left").join(degree, "id", "left")
+    of = materialise(of.select("key", F.coalesce("label", "id").alias("label"), "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "neardup-classes")
+    # texts without links have their own least doc_id; only the classes of several texts are gathered
+    several = materialise(of.filter("n_links > 0").groupBy("label").agg(F.min("least").alias("of_class")), "neardup-least")
+    of = of.join(several, "label", "left").select("key", "label", F.coalesce("of_class", "least").alias("class_id"), "n_links", "n_copies")
+    return signed.select("id", "doc_id", "key").join(of, "key").drop("key")
+
+
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its class; null if it has none), n_links (links of its text to different texts that were found: to leaders of its buckets, and those that joined classes after them; texts of one class are not all compared), n_copies (documents of its text), a row per document."""
+    return _classes(documents).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
-    """The documents of the smallest doc_id of each class, with their own columns; of rows that share that id, one."""
-    found = materialise(classes(documents), "neardup-result")
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("rows_"))
-    stay = materialise(stay, "neardup-kept").withColumnRenamed("doc_id", "stay_")
-    kept = documents.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_")))
-    if stay.filter("rows_ > 1").isEmpty():
-        return kept.select(*documents.columns)
-    once = kept.filter("rows_ = 1").select(*documents.columns)
-    more = kept.filter("rows_ > 1").dropDuplicates(["doc_id"]).select(*documents.columns)
+    """One document of each class, with its own columns: that of its smallest doc_id, null last, and then of the smallest hash of its text; of rows alike in both, one."""
+    found = materialise(_classes(documents), "neardup-result")
+    rows = found.groupBy("label", "doc_id", "id").agg(F.count("*").alias("rows_"))
+    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", "id", "rows_")).alias("s"))
+    stay = materialise(stay.select(F.col("s.doc_id").alias("stay_"), F.col("s.id").alias("node_"), F.col("s.rows_").alias("rows_")), "neardup-kept")
+    named = documents.withColumn("text_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    at = (F.col("text_") == F.col("node_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("stay_"))
+    once = named.join(stay.filter("rows_ = 1"), at).select(*documents.columns)
+    repeated = stay.filter("rows_ > 1")
+    if repeated.isEmpty():
+        return once
+    more = named.join(repeated, at).dropDuplicates(["stay_", "text_"]).select(*documents.columns)
     return once.unionByName(more)

@@ -117,6 +117,24 @@ def test_near_duplicates_beside_leaders(spark):
     assert [got[i] for i in range(len(texts))] == label and 6 < len(set(label)) < 240
 
 
+def test_near_duplicates_without_ids(spark):
+    """Different texts that share a null or repeated doc_id stay; copies go."""
+    r = random.Random(5)
+    text = lambda: [f"w{r.randint(0, 10**6)}" for _ in range(60)]
+    own = [" ".join(text()) for _ in range(12)]
+    near = text()
+    near = [" ".join(near), " ".join([*near[:-1], "end"])]
+    rows = [(None, t, "a") for t in own[:5]] + [(7, t, "b") for t in own[5:9]] + [(20 + i, t, "a") for i, t in enumerate(own[9:])]
+    rows += [(None, own[0], "a"), (7, own[5], "a"), (3, own[6], "b"), (None, own[9], "a"), (None, near[0], "a"), (40, near[1], "a"), (None, None, "a"), (None, "", "a")]
+    df = docs(spark, rows)
+    got = [(x.doc_id, x.text or "") for x in neardup.without_copies(df).collect()]
+    want = [(None, t) for t in own[:5]] + [(7, own[5]), (3, own[6]), (7, own[7]), (7, own[8])] + [(20 + i, t) for i, t in enumerate(own[9:])] + [(40, near[1]), (None, "")]
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    found = [(x.doc_id, x.class_id, x.n_copies, x.n_links) for x in neardup.classes(df).collect()]
+    assert len(found) == len(rows) and sorted(x[1:] for x in found if x[0] is None and x[1]) == [(20, 2, 0), (40, 1, 1)] and found.count((3, 3, 2, 0)) == found.count((7, 3, 2, 0)) == 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 70)], "a long, b long")
     assert {r.id: r.label for r in neardup.components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 60: 50, 70: 50}
