@@ -5,7 +5,7 @@ numbers, social security numbers and names after a title. Each value gets a surr
 a key and the value alone (so all mentions of a value in the corpus, whatever their spelling of case or
 spacing, agree) and keeps its form:
 
-- digits are replaced by digits in their places, so that separators, lengths and prefixes (+1, (…)) stay; the exchange 555 of numbers
+- digits are replaced by digits, each drawn by its place among the letters and digits alone, so that separators, lengths and country codes stay and all spellings agree; the exchange 555 of numbers
   reserved for fiction stays; the leading digit of a number stays non-zero where it was, IPv4 addresses move into 10.0.0.0/8;
 - an e-mail address keeps its number of domain labels and gets a local part of pronounceable syllables in the domain example.com;
 - a name after a title is replaced by one of the same gender (by title) and script (Latin, Cyrillic), with a letter suffix taken from the key.
@@ -49,6 +49,10 @@ NAMES = {
 SYLLABLES = ("ba", "be", "bi", "bo", "da", "de", "di", "do", "ka", "ke", "ki", "ko", "la", "le", "li", "lo")
 SYLLABLES_CYRILLIC = ("ба", "бе", "би", "бо", "да", "де", "ди", "до", "ка", "ке", "ки", "ко", "ла", "ле", "ли", "ло")
 
+#: What may stand between the letters and digits of a number; country codes of telephone numbers and of accounts, which stay.
+SEPARATORS = " .()+-"
+KEPT = r"^number:(?:\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|([A-Z]{2})(?=\d))"
+
 KINDS = ("email", "ipv4", "name", "number")
 
 
@@ -64,7 +68,7 @@ def canonical(found: Column, kind: Column) -> Column:
         F.when(kind == "email", F.lower(found))
         .when(kind == "name", F.concat(gender(found), F.lit(":"), F.lower(F.regexp_replace(found, rf"^(?:{FEMALE}|{MALE})\.?\x20", ""))))
         .when(kind == "ipv4", found)
-        .otherwise(F.upper(F.regexp_replace(found, r"[^A-Za-z0-9]", "")))
+        .otherwise(F.upper(F.regexp_replace(found, r"(?!^\+)[^A-Za-z0-9]", "")))
     )
     return F.concat(kind, F.lit(":"), plain)
 
@@ -77,7 +81,7 @@ def entities(found: Column) -> Column:
 
 def surrogates(values: Column, key: str, attempt) -> Column:
     """The surrogate of each of entities(); attempt: from a value to how often it was drawn before."""
-    keyed = F.transform(values, lambda e: F.struct(e["found"].alias("found"), e["kind"].alias("kind"), digest(e["value"], key, attempt(e["value"])).alias("hexes")))
+    keyed = F.transform(values, lambda e: F.struct(e["found"].alias("found"), e["kind"].alias("kind"), e["value"].alias("value"), digest(e["value"], key, attempt(e["value"])).alias("hexes")))
     return F.transform(keyed, surrogate)
 
 
@@ -99,7 +103,7 @@ def pick(words: tuple[str, ...], n: Column) -> Column:
 
 
 def surrogate(entity: Column) -> Column:
-    """The replacement of a mention, of the digest of its value."""
+    """The replacement of a mention, of its value and the digest of it."""
     found, kind, hexes = entity["found"], entity["kind"], entity["hexes"]
     at = lambda i: byte(hexes, F.lit(i))
     email = F.concat(*[pick(SYLLABLES, at(i)) for i in range(4)], F.lit("."), F.substring(hexes, 41, 10), F.lit("@"), F.concat_ws(".", F.when(F.size(F.split(found, r"\.")) > 2, F.lit("mail")), F.lit("example.com")))
@@ -112,20 +116,23 @@ def surrogate(entity: Column) -> Column:
     )
     family = F.initcap(F.when(cyrillic, F.concat(*[pick(SYLLABLES_CYRILLIC, at(i)) for i in range(1, 6)])).otherwise(F.concat(*[pick(SYLLABLES, at(i)) for i in range(1, 6)])))
     name = F.concat(title, F.when(rest.contains(" "), F.concat_ws(" ", first, family)).otherwise(family))
-    kept = F.greatest(F.length(F.regexp_extract(found, r"^(\+\d{1,3}|[A-Z]{2}(?=\d))", 1)), F.lit(0))
+    kept = F.length(F.regexp_extract(entity["value"], KEPT, 1)) + F.length(F.regexp_extract(entity["value"], KEPT, 2))
+    fiction = entity["value"].rlike(r"^number:\+1\d{3}555\d{3,4}$")
     signs = F.filter(F.split(found, ""), lambda c: c != "")
-    number = F.array_join(
-        F.transform(
-            signs,
-            lambda c, i: F.when(i < kept, c)
-            .when(c.between("1", "9"), (byte(hexes, i) % 9 + 1).cast("string"))
-            .when(c == "0", (byte(hexes, i) % 10).cast("string"))
-            .when(c.between("A", "Z"), F.char(byte(hexes, i) % 26 + 65))
-            .otherwise(c),
-        ),
-        "",
-    )
-    number = F.when(found.rlike(r"^\+1 \(\d{3}\) 555-"), F.concat(F.substring(number, 1, 9), F.lit("555"), F.substr(number, F.lit(13)))).otherwise(number)
+    # nth: place among letters and digits, whatever stands between them
+    placed = F.transform(signs, lambda c, i: F.struct(c.alias("c"), (F.length(F.translate(F.substr(found, F.lit(1), i + 1), SEPARATORS, "")) - 1).alias("nth")))
+
+    def drawn(e: Column) -> Column:
+        c, nth = e["c"], e["nth"]
+        return (
+            F.when((nth < kept) | (fiction & nth.between(4, 6)), c)
+            .when(c.between("1", "9"), (byte(hexes, nth) % 9 + 1).cast("string"))
+            .when(c == "0", (byte(hexes, nth) % 10).cast("string"))
+            .when(c.between("A", "Z"), F.char(byte(hexes, nth) % 26 + 65))
+            .otherwise(c)
+        )
+
+    number = F.array_join(F.transform(placed, drawn), "")
     return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "name", name).otherwise(number)
 
 

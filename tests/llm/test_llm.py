@@ -180,6 +180,26 @@ def test_personal_data(spark):
     assert a.replace(" ", "") == b.replace("-", "") != "4111111111111111"
 
 
+def test_personal_data_spelled_with_and_without_separators(spark):
+    groups = [
+        ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+        ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],
+        ["(487) 555-7209", "487-555-7209", "487.555.7209"],
+        ["+1 (487) 555-7209", "+14875557209", "+1 487 555 7209", "+1-487-555-7209"],
+        ["+49 30 1234 5678", "+493012345678", "+49 301 234 5678"],
+    ]
+    rows = [(10 * g + k, f"see {m}", "a") for g, mentions in enumerate(groups) for k, m in enumerate(mentions)]
+    got = {r.doc_id: r.text[4:] for r in pii.pseudonymise(docs(spark, rows)).collect()}
+    plain = lambda t: re.sub("[^A-Z0-9]", "", t)
+    seen = set()
+    for g, mentions in enumerate(groups):
+        made = [got[10 * g + k] for k in range(len(mentions))]
+        assert len({plain(m) for m in made}) == 1 and plain(made[0]) != plain(mentions[0]), made
+        assert [re.sub("[A-Z0-9]", "#", m) for m in made] == [re.sub("[A-Z0-9]", "#", m) for m in mentions]
+        seen.add(plain(made[0]))
+    assert len(seen) == len(groups) and got[10][:2] == "DE" and all(re.fullmatch(r"1\d{3}555\d{4}", plain(got[30 + k])) for k in range(4)) and got[41][:3] == "+49"
+
+
 def test_neighbours(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(600, 16)).astype(np.float32)
