@@ -8,7 +8,7 @@ compatible bin is found, else a bin is opened. A document above the capacity is
 of their own, what is left is packed like a document. No word is dropped.
 
 Sizes are words. Null and empty texts have size 0 and go into the tightest compatible bin. Null sources
-are one source. Rows alike in all columns are packed each for itself (and, as one cluster, apart).
+are one source. Rows alike in all columns are packed each for itself (and, as one cluster, apart), over all shards if there are many.
 Only ids, sizes and keys reach Python; other columns are not read.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyworks.llm.mixing import size_of
+from galleyworks.llm.scratch import materialise
 
 CAPACITY = 2048
 #: Rows of a shard, about.
@@ -105,7 +106,13 @@ def pack(documents: DataFrame, cluster: Column | None = None, capacity: int = CA
     """A row for each piece: doc_id, piece, start, n_words (of the document), source, cluster, bin_id, bin_start (words before it in its bin)."""
     text = F.col("text")
     df = documents.select("doc_id", "source", size_of(text).alias("size"), (text_cluster(text) if cluster is None else cluster.cast("string")).alias("cluster"))
-    df = df.withColumn("tie", F.xxhash64("doc_id", "cluster", "source"))
-    shards = max(1, -(-documents.select("doc_id").count() // shard_rows))
-    df = df.withColumn("shard", F.pmod("tie", F.lit(shards)).cast("int"))
+    df = materialise(df.withColumn("tie", F.xxhash64("doc_id", "cluster", "source")).withColumn("nth", F.monotonically_increasing_id()), "packing-rows")
+    shards = max(1, -(-df.count() // shard_rows))
+    # rows alike beyond a small share of a shard are dealt by their place as well; they are the same, so it does not matter which goes where
+    alike = materialise(df.groupBy("tie").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, shard_rows // 32)).select("tie", F.lit(True).alias("alike")), "packing-alike")
+    dealt = F.col("tie")
+    if not alike.isEmpty():
+        df = df.join(alike, "tie", "left")
+        dealt = F.when(F.col("alike"), F.xxhash64("tie", "nth")).otherwise(dealt)
+    df = df.select("doc_id", "source", "size", "cluster", "tie", F.pmod(dealt, F.lit(shards)).cast("int").alias("shard"))
     return df.groupBy("shard").applyInPandas(_packer(capacity), SCHEMA)

@@ -44,6 +44,15 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_deals_rows_alike(spark):
+    """Many rows alike do not meet in one shard."""
+    rows = packing.pack(docs(spark, [(None, None, "a")] * 3000 + [(i, f"w{i} " * 5, "b") for i in range(200)]), capacity=100, shard_rows=100).collect()
+    shards = {}
+    for x in rows:
+        shards.setdefault(x.bin_id.split("-")[0], []).append(x)
+    assert len(rows) == 3200 and sum(x.n_words for x in rows) == 1000 and max(map(len, shards.values())) < 300
+
+
 def test_best_fit_against_plain_search():
     r = random.Random(4)
     items = [(r.randint(0, 50), r.randint(0, 5), r.randint(0, 20)) for _ in range(400)]
