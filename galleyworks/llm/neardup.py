@@ -1,24 +1,27 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-A text is its five-word shingles, each weighing (1 + ln tf) · idf. Document frequencies are counted over
-all documents in a hashed space of DF_BUCKETS features, so that the table has a fixed size; idf is
-1 + ln((N+1)/(df+1)) / DAMPING: passages that many documents share weigh less, but not so much less that copies
-of a much copied text, whose shingles are all frequent, fall below the threshold for a few words' difference.
+A text is its five-word shingles, each weighing (1 + ln tf) · idf with idf = 1 + ln(N / max(df, N / RARE)). Document
+frequencies are counted over all documents in a hashed space of DF_BUCKETS features; the load that shingles of
+few documents put on every feature (the median) is taken off, so that the df of a shingle that many documents share stays right at any
+size of the corpus. Shingles in fewer than 1 / RARE of the documents weigh alike.
 
 1. Consistent weighted samples: for each of SAMPLES draws a shingle and a quantised weight are picked so that two
-   texts pick alike with a probability of their weighted Jaccard similarity. The draws come from a
-   table of random rows that shingles are hashed to. Every ROWS samples are a band; texts that agree on a band are candidates.
+   texts pick alike with a probability of their weighted Jaccard similarity. Every ROWS samples are a band; texts
+   that agree on a band are candidates. A byte of each sample is kept as a sketch.
 2. Copies alike word for word are one class from here on: a row per distinct text.
-3. Every bucket (texts of one band value) has two leaders, the first and last by hash; each member is verified against
-   them. Then all other pairs of a bucket whose two members are not in one class yet are verified, blocks of a bucket
-   at a time; only links come out, and no more of them than join classes of the block.
-4. Verification computes the weighted Jaccard similarity of the whole texts exactly.
-5. Links make classes by label propagation with pointer jumping. Texts are named by a 64-bit hash of theirs until here; the
+3. Every bucket (texts of one band value) has two leaders, its least and greatest id. Each member is held against its
+   leaders by sketches first; what is promising is verified, first with one leader a member, then with the other
+   leaders of other classes.
+4. All other pairs of a bucket whose two members are not in one class yet: blocks of a bucket meet with their sketches, and members with a
+   promising partner then meet with their texts; only links come out, and no more of them than join classes of the block.
+5. Verification computes the weighted Jaccard similarity of the whole texts exactly. A pair is promising if PROMISING of its SAMPLES sketch bytes
+   agree; at a similarity of 0.8 fewer do so in less than one of 100,000 pairs.
+6. Links make classes by label propagation with pointer jumping. Texts are named by a 64-bit hash of theirs until here; the
    class id is the smallest doc_id in it, and null for a class without any.
 
 Texts without words are one class (they are equal); texts of fewer than five words have one shingle of all their words.
 Null texts count as empty; rows and doc_ids may repeat and be null: classes of different texts that share a doc_id can have
-the same class id, but without_copies tells them apart; other columns are not read.
+the same class id, but without_copies tells them apart; an empty table gives an empty result; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -30,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galleyworks.llm.scratch import materialise
-from galleyworks.llm.textkit import U, chunks, counted, mix, shingles
+from galleyworks.llm.scratch import Tables, materialise, small_side
+from galleyworks.llm.textkit import U, chunks, counted, free_name, mix, shingles
 
 SHINGLE, THRESHOLD = 5, 0.8
-SAMPLES, ROWS = 30, 3
+SAMPLES, ROWS, PROMISING = 56, 4, 31
 BANDS = SAMPLES // ROWS
-DF_BUCKETS, DF_PART, DAMPING = 1 << 18, 1 << 10, 32.0
+DF_BUCKETS, DF_PART, RARE = 1 << 18, 1 << 10, 128
 DRAWS = 1 << 14
-#: Members and mean shingles of a block of step 3's second part; members that share a leader's copy of the text; more than sums of floats can be off.
-BLOCK, BLOCK_SHINGLES, BESIDE, SLACK = 512, 1 << 20, 64, 1e-3
+#: Members of a block of sketches; members and mean shingles of a block of texts; members that share a leader's copy of the text; more than sums of floats can be off.
+SKETCHES, BLOCK, BLOCK_SHINGLES, BESIDE, SLACK = 4096, 512, 1 << 20, 64, 1e-3
+#: Hot leaders up to which their counts are broadcast.
+SMALL = 100_000
+LINK = "a long, b long, similarity double"
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +71,13 @@ def idf_table(texts: DataFrame) -> np.ndarray:
     """idf of each of the DF_BUCKETS features; only this table, of fixed size, reaches the driver."""
     parts = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_document_frequencies, "part int, counts binary")
     rows = {r[0]: r[1] for r in parts.groupBy("part").applyInArrow(_sum_parts, "part int, counts binary").collect()}
-    n = int(np.frombuffer(rows.pop(-1), np.int64)[0]) if rows else 0
-    df = np.concatenate([np.frombuffer(rows[k], np.int64) for k in sorted(rows)]) if rows else np.zeros(DF_BUCKETS, np.int64)
-    return (1 + np.log((n + 1) / (df + 1)) / DAMPING).astype(np.float32)
+    n = max(int(np.frombuffer(rows.pop(-1), np.int64)[0]) if rows else 0, 1)
+    load = np.concatenate([np.frombuffer(rows[k], np.int64) for k in sorted(rows)]) if rows else np.zeros(DF_BUCKETS, np.int64)
+    return idf_of(load - np.median(load), n)
+
+
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return (1 + np.log(n / np.clip(df, n / RARE, n))).astype(np.float32)
 
 
 def weights(part: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,34 +87,40 @@ def weights(part: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Draws:
-    """Random rows of improved consistent weighted sampling: r and c are Gamma(2, 1), beta uniform."""
+    """Random numbers of improved consistent weighted sampling: r and c are Gamma(2, 1), beta uniform.
+
+    Each comes from its own table, by other bits of a shingle's hash: two shingles share all three draws in one of 2^42 cases.
+    """
 
     def __init__(self, seed: int = 5):
         g = np.random.default_rng(seed)
         shape = (DRAWS, SAMPLES)
         self.r = g.gamma(2, 1, shape).astype(np.float32)
         self.beta = g.random(shape, np.float32)
-        self.c_less_r = (np.log(g.gamma(2, 1, shape)) - self.r).astype(np.float32)
+        self.log_c = np.log(g.gamma(2, 1, shape)).astype(np.float32)
 
     def sample(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """SAMPLES 64-bit samples of one text's shingles and weights."""
-        best, out = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, U)
-        for a in range(0, len(h), 4096):
-            hh = h[a : a + 4096]
-            at = ((hh >> U(20)) & U(DRAWS - 1)).astype(np.int64)
-            r, beta = self.r[at], self.beta[at]
-            t = np.floor(np.log(w[a : a + 4096])[:, None] / r + beta)
-            # the last term parts shingles that share a row of draws
-            value = self.c_less_r[at] - r * (t - beta) + ((hh >> U(40)).astype(np.float32) * np.float32(1e-3 / (1 << 24)))[:, None]
+        best, out, every = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, U), np.arange(SAMPLES)
+        m = U(DRAWS - 1)
+        for a in range(0, len(h), 2048):
+            hh = h[a : a + 2048]
+            r, beta = self.r[((hh >> U(20)) & m).astype(np.int64)], self.beta[((hh >> U(34)) & m).astype(np.int64)]
+            t = np.log(w[a : a + 2048])[:, None] / r
+            t += beta
+            np.floor(t, out=t)
+            value = self.log_c[(hh >> U(50)).astype(np.int64)]
+            value -= r * (t - beta + 1)
             k = value.argmin(axis=0)
-            v = value[k, np.arange(SAMPLES)]
+            v = value[k, every]
             less = v < best
             best[less] = v[less]
-            out[less] = mix(hh[k] + t[k, np.arange(SAMPLES)].astype(np.int64).astype(U) * U(0x9E3779B97F4A7C15))[less]
+            out[less] = mix(hh[k] + t[k, every].astype(np.int64).astype(U) * U(0x9E3779B97F4A7C15))[less]
         return out
 
 
 _draws: list[Draws] = []
+SIGNED = "id long, doc_id long, key binary, bands array<long>, sketch binary, whole double, shingles long"
 
 
 def _signer(idf):
@@ -116,7 +132,7 @@ def _signer(idf):
             for a, b, part in chunks(batch.column("text")):
                 rows, h, w = weights(part, idf.value)
                 edge = np.searchsorted(rows, np.arange(b - a + 1))
-                bands, keys = np.zeros((b - a, BANDS), np.int64), []
+                bands, keys, sketch = np.zeros((b - a, BANDS), np.int64), [], np.zeros((b - a, SAMPLES), np.uint8)
                 with np.errstate(over="ignore"):
                     for i in range(b - a):
                         hh, ww = h[edge[i] : edge[i + 1]], w[edge[i] : edge[i + 1]]
@@ -124,15 +140,41 @@ def _signer(idf):
                         keys.append(mix(np.array([np.sum(mix(hh + ww.view(np.uint32).astype(U) * odd[1])) if len(hh) else 1, np.sum(mix(hh * odd[2] + U(len(hh)))) if len(hh) else 1], U)).tobytes())
                         if len(hh):
                             s = _draws[0].sample(hh, ww)
-                            bands[i] = mix((s.reshape(BANDS, ROWS) * odd).sum(axis=1)).view(np.int64)
+                            sketch[i] = (s & U(255)).astype(np.uint8)
+                            bands[i] = mix((s.reshape(BANDS, ROWS) * odd).sum(axis=1) + np.arange(BANDS, dtype=U)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array(np.diff(edge), pa.int64())],
-                    ["id", "doc_id", "key", "bands", "shingles"],
+                    [
+                        batch.column("id").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary()),
+                        pa.array(np.bincount(rows, w, b - a), pa.float64()), pa.array(np.diff(edge), pa.int64()),
+                    ],
+                    ["id", "doc_id", "key", "bands", "sketch", "whole", "shingles"],
                 )
 
     return sign
 
 
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of equal lengths without nulls as rows of bytes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Bytes in which two sketches agree."""
+    return pa.array((_bytes(a, SAMPLES) == _bytes(b, SAMPLES)).sum(1), pa.int32())
+
+
+def promising(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (lead, member) that total weights and sketches do not rule out. texts: id, sketch, whole."""
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("whole").alias(f"{c}_whole"))
+    both = pairs.join(side("lead"), "lead").join(side("member"), "member")
+    a, b = F.col("lead_whole"), F.col("member_whole")
+    both = both.filter(F.least(a, b) >= (THRESHOLD - SLACK) * F.greatest(a, b))
+    agreeing = F.arrow_udf(_agreeing, "int")
+    return both.filter(agreeing("lead_sketch", "member_sketch") >= PROMISING).select("lead", "member")
+
+
 def _verifier(idf, threshold):
     """Rows of one (leader, deal) come together, the leader's own first: link each other one that is alike enough."""
 
@@ -151,7 +193,7 @@ def _verifier(idf, threshold):
                         continue
                     if leads[a + i] != lead:
                         continue  # the leader's text is gone from the input
-                    if (s := _similar(of, own, hh, ww)) >= threshold:
+                    if (s := similar(of, own, hh, ww)) >= threshold:
                         found.append((lead, members[a + i], s))
             if found:
                 x, y, s = zip(*found, strict=True)
@@ -162,15 +204,16 @@ def _verifier(idf, threshold):
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, similarity of the pairs (lead, member) of ids whose texts reach the threshold. Each member's text moves once a pair, a leader's once for BESIDE members."""
-    counts = pairs.groupBy("lead").agg(F.count("*").alias("n"))
-    dealt = pairs.join(counts, "lead").withColumn("deal", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / BESIDE)).cast("int")).select("lead", "member", "deal")
+    counts = pairs.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > BESIDE)
+    counts = small_side(materialise(counts, "neardup-hot-leaders"), SMALL, 32)
+    dealt = pairs.join(counts, "lead", "left").withColumn("deal", F.pmod(F.xxhash64("member"), F.coalesce(F.ceil(F.col("n") / BESIDE), F.lit(1))).cast("int")).select("lead", "member", "deal")
     wanted = dealt.select("lead", "deal", "member", F.lit(False).alias("first")).unionByName(dealt.select("lead", "deal", F.col("lead").alias("member"), F.lit(True).alias("first")).distinct())
     rows = texts.join(wanted.hint("merge"), texts["id"] == wanted["member"]).select("lead", "deal", "member", "first", "text")
     rows = rows.repartition("lead", "deal").sortWithinPartitions("lead", "deal", F.col("first").desc())
-    return rows.mapInArrow(_verifier(idf, threshold), "a long, b long, similarity double")
+    return rows.mapInArrow(_verifier(idf, threshold), LINK)
 
 
-def _similar(of, own, hh, ww) -> float:
+def similar(of, own, hh, ww) -> float:
     """Weighted Jaccard similarity of two texts' sorted shingle hashes and weights."""
     if not len(of) or not len(hh):
         return 0.0
@@ -180,6 +223,28 @@ def _similar(of, own, hh, ww) -> float:
     return low / (float(ww.sum() + own.sum()) - low)
 
 
+def _near_by_sketch(table: pa.Table) -> pa.Table:
+    """band, value, id of the members of one or two blocks of a bucket that have a promising partner of another class there."""
+    band, value = table.column("band")[0], table.column("value")[0]
+    block, two = table.column("block").to_numpy(), table.column("x")[0].as_py() != table.column("y")[0].as_py()
+    label, whole, sketch = table.column("label").to_numpy(), table.column("whole").to_numpy(), _bytes(table.column("sketch"), SAMPLES)
+    keep = np.zeros(len(label), bool)
+    left = np.flatnonzero(block == block.min()) if two else np.arange(len(label))
+    right = np.flatnonzero(block != block.min()) if two else left
+    turned = np.ascontiguousarray(sketch[right].T)
+    for a in range(0, len(left), 256):
+        own = left[a : a + 256]
+        agree = np.zeros((len(own), len(right)), np.uint8)
+        for k in range(SAMPLES):
+            agree += sketch[own, k][:, None] == turned[k][None, :]
+        w, v = whole[own][:, None], whole[right][None, :]
+        near = (agree >= PROMISING) & (label[own][:, None] != label[right][None, :]) & (np.minimum(w, v) >= (THRESHOLD - SLACK) * np.maximum(w, v))
+        keep[own[near.any(1)]] = True
+        keep[right[near.any(0)]] = True
+    ids = table.column("id").filter(pa.array(keep))
+    return pa.table({"band": pa.array([band.as_py()] * len(ids), pa.int32()), "value": pa.array([value.as_py()] * len(ids), pa.int64()), "id": ids})
+
+
 def _block_verifier(idf, threshold):
     """Links between members of one bucket that are of different classes so far: of one block, or of two blocks with each other.
 
@@ -211,7 +276,7 @@ def _block_verifier(idf, threshold):
             here[code[own]] = 0
             for j in i + 1 + np.flatnonzero(look & (low >= (threshold - SLACK) * (whole[later] + whole[i] - low))):
                 its = slice(edge[j], edge[j + 1])
-                if of[j] != of[i] and (s := _similar(h[own], w[own], h[its], w[its])) >= threshold:
+                if of[j] != of[i] and (s := similar(h[own], w[own], h[its], w[its])) >= threshold:
                     found.append((ids[i], ids[j], s))
                     of[of == of[j]] = of[i]
         a, b, s = zip(*found, strict=True) if found else ((), (), ())
@@ -220,62 +285,96 @@ def _block_verifier(idf, threshold):
     return verify
 
 
-def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+def _grid(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (band, value; blocks) once for each pair (x, y) of blocks in which theirs takes part."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).drop("blocks", "other")
+
+
+def open_links(members: DataFrame, labels: DataFrame, one: DataFrame, texts: DataFrame, idf, tables: Tables, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, similarity of links between members of a bucket whose classes (labels) differ. Every group holds two blocks, however large a bucket is.
 
     The leaders of a bucket were held against all of it before; buckets of the same members count once, in their first band.
     """
     rows = members.filter("id != low and id != high").drop("low", "high")
-    rows = materialise(rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "neardup-rest")
-    sizes = rows.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("shingles").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("set_"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set2_"))
-    sizes = sizes.filter("least != most").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    rows = tables.write(rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "neardup-rest")
+    sizes = rows.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("set_"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set2_"))
+    sizes = sizes.filter("least != most").withColumn("blocks", F.ceil(F.col("n") / SKETCHES).cast("int"))
     sizes = sizes.groupBy("set_", "set2_", "n").agg(F.min(F.struct("band", "value", "blocks")).alias("s")).select("s.*")
-    rows = rows.drop("shingles").join(sizes, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = materialise(rows.select("band", "value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "bands", "label", "block"), "neardup-blocks")
-    both = texts.join(rows.hint("merge"), "id")
-    return both.groupBy("band", "value", "x", "y").applyInArrow(_block_verifier(idf, threshold), "a long, b long, similarity double")
-
-
-def links(texts: DataFrame, signed: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity: verified links between distinct texts), (id, label: classes of the linked ones). texts: id, text, which may repeat; signed: id, bands, shingles."""
-    members = signed.select("id", "shingles", "bands", F.posexplode("bands").alias("band", "value"))
-    groups = members.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("low"), F.max(F.struct(F.xxhash64("id").alias("o"), "id")).alias("high"), F.count("*").alias("n")).filter("n > 1")
-    groups = materialise(groups.select("band", "value", F.col("low.id").alias("low"), F.col("high.id").alias("high")), "neardup-buckets")
-    members = materialise(members.join(groups, ["band", "value"]), "neardup-members")
-    # each text once, before the shuffle: copies must not meet in one task
-    texts = texts.groupBy("id").agg(F.first("text").alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
-    texts = materialise(texts, "neardup-held")
-    pairs = members.select("id", F.explode(F.array("low", "high")).alias("lead")).filter("lead != id").select(F.least("lead", "id").alias("lead_"), F.col("lead"), F.col("id").alias("member")).distinct()
-    # a pair of two leaders comes in both directions: one is enough
-    pairs = pairs.groupBy("lead_", F.greatest("lead", "member").alias("other")).agg(F.min("lead").alias("lead")).select("lead", F.when(F.col("lead") == F.col("lead_"), F.col("other")).otherwise(F.col("lead_")).alias("member"))
-    found = materialise(verified(materialise(pairs, "neardup-pairs"), texts, idf), "neardup-links")
-    labels = components(found)
-    more = materialise(open_links(members, labels, texts, idf), "neardup-more-links")
-    if more.isEmpty():
-        return found, labels
-    # classes that the later links join
-    of = lambda c: F.coalesce(F.col(f"{c}_label"), F.col(c)).alias(c)
+    open_ = _grid(rows.join(sizes, ["band", "value"])).join(one.select("id", "sketch", "whole"), "id")
+    near = tables.write(open_.groupBy("band", "value", "x", "y").applyInArrow(_near_by_sketch, "band int, value long, id long").distinct(), "neardup-open")
+    tables.drop(rows)
+    rows = near.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(one.select("id", "bands", "shingles"), "id")
+    sizes = near.join(one.select("id", "shingles"), "id").groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    sizes = sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    both = texts.join(_grid(rows.join(sizes, ["band", "value"])).drop("shingles").hint("merge"), "id")
+    found = tables.write(both.groupBy("band", "value", "x", "y").applyInArrow(_block_verifier(idf, threshold), LINK), "neardup-open-links")
+    tables.drop(near)
+    return found
+
+
+def merged(labels: DataFrame | None, more: DataFrame, tables: Tables) -> DataFrame:
+    """labels (id, label; of all linked ids so far) after further links (a, b)."""
+    if labels is None:
+        return components(more, tables)
     named = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-    joined = components(more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(of("a"), of("b")))
+    of = lambda c: F.coalesce(F.col(f"{c}_label"), F.col(c)).alias(c)
+    joined = components(more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(of("a"), of("b")).filter("a != b"), tables)
     whole = labels.unionByName(joined.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
     whole = whole.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-    return found.unionByName(more), materialise(whole, "neardup-labels")
-
-
-def components(edges: DataFrame) -> DataFrame:
+    whole = tables.write(whole, "neardup-labels")
+    tables.drop(joined, labels)
+    return whole
+
+
+def links(docs: DataFrame, one: DataFrame, idf, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, similarity: verified links between distinct texts), (id, label: classes of the linked ones). docs: id, text, which may repeat; one: id, bands, sketch, whole, shingles of distinct texts."""
+    members = one.select("id", F.posexplode("bands").alias("band", "value"))
+    groups = members.groupBy("band", "value").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = tables.write(members.join(groups, ["band", "value"]), "neardup-members")
+    # a leader among the members of another's bucket comes in both directions: one is enough
+    pairs = members.select(F.explode(F.array("low", "high")).alias("lead"), F.col("id").alias("member")).filter("lead != member")
+    pairs = pairs.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b"), F.when(F.col("lead") < F.col("member"), 0).otherwise(1).alias("turned")).groupBy("a", "b").agg(F.min("turned").alias("turned"))
+    pairs = pairs.select(F.when(F.col("turned") == 0, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(F.col("turned") == 0, F.col("b")).otherwise(F.col("a")).alias("member"))
+    pairs = tables.write(promising(pairs, one), "neardup-pairs")
+    # each text once, before the shuffle: copies must not meet in one task
+    texts = tables.write(docs.groupBy("id").agg(F.first("text").alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "neardup-held")
+    first = pairs.groupBy("member").agg(F.min("lead").alias("lead"))
+    found = tables.write(verified(tables.write(first, "neardup-first"), texts, idf), "neardup-links")
+    labels = merged(None, found, tables)
+    named = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    rest = pairs.join(first.select("member", F.col("lead").alias("done")), "member").filter("lead != done").join(named("lead"), "lead", "left").join(named("member"), "member", "left")
+    rest = tables.write(rest.filter(F.coalesce("lead_label", "lead") != F.coalesce("member_label", "member")).select("lead", "member"), "neardup-second")
+    if not rest.isEmpty():
+        more = tables.write(verified(rest, texts, idf), "neardup-more-links")
+        labels, found = merged(labels, more, tables), found.unionByName(more)
+    tables.drop(rest, pairs)
+    more = open_links(members, labels, one, texts, idf, tables)
+    if not more.isEmpty():
+        labels, found = merged(labels, more, tables), found.unionByName(more)
+    tables.drop(members, texts)
+    return found, labels
+
+
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """id, label (the smallest id that is connected) of every end of an edge (a, b)."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    tables = tables or Tables(edges.sparkSession)
+    both = tables.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    labels = tables.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["id"] == near["a"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        new = materialise(new, "cc-step")
-        jump = new.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        new = materialise(new.join(jump, new["label"] == jump["via"], "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "cc-labels")
-        labels = new.select("id", "label")
-        if new.filter("label != old").isEmpty():
-            return labels
+        step = tables.write(new, "cc-step")
+        jump = step.select(F.col("id").alias("via"), F.col("label").alias("far"))
+        new = tables.write(step.join(jump, step["label"] == jump["via"], "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "cc-labels")
+        done = new.filter("label != old").isEmpty()
+        tables.drop(step, labels)
+        if done:
+            tables.drop(both)
+            out = new.select("id", "label")
+            tables.paths[id(out)] = (out, tables.paths.pop(id(new))[1])
+            return out
+        labels = new
 
 
 def _nodes(documents: DataFrame) -> DataFrame:
@@ -287,18 +386,21 @@ def _nodes(documents: DataFrame) -> DataFrame:
 def _classes(documents: DataFrame) -> DataFrame:
     """id, doc_id, label (the same for all documents of a class, and for no others), class_id, n_links, n_copies, a row per document."""
     spark = documents.sparkSession
+    tables = Tables(spark)
     docs = _nodes(documents)
     idf = spark.sparkContext.broadcast(idf_table(docs))
-    signed = materialise(docs.mapInArrow(_signer(idf), "id long, doc_id long, key binary, bands array<long>, shingles long"), "neardup-signed")
-    one = signed.groupBy("key").agg(F.min(F.struct("id", "bands", "shingles")).alias("s"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    one = materialise(one.select("key", F.col("s.id").alias("id"), F.col("s.bands").alias("bands"), F.col("s.shingles").alias("shingles"), "least", "n_copies"), "neardup-texts")
-    edges, labels = links(docs.select("id", "text"), one.filter("shingles > 0").select("id", "bands", "shingles"), idf)
+    signed = tables.write(docs.mapInArrow(_signer(idf), SIGNED), "neardup-signed")
+    one = signed.groupBy("key").agg(F.min(F.struct("id", "bands", "sketch", "whole", "shingles")).alias("s"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    one = tables.write(one.select("key", "s.*", "least", "n_copies"), "neardup-texts")
+    edges, labels = links(docs.select("id", "text"), one.filter("shingles > 0").select("id", "bands", "sketch", "whole", "shingles"), idf, tables)
     degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of = one.select("key", "id", "least", "n_copies").join(labels, "id", "left").join(degree, "id", "left")
-    of = materialise(of.select("key", F.coalesce("label", "id").alias("label"), "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "neardup-classes")
+    of = tables.write(of.select("key", F.coalesce("label", "id").alias("label"), "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "neardup-classes")
     # texts without links have their own least doc_id; only the classes of several texts are gathered
-    several = materialise(of.filter("n_links > 0").groupBy("label").agg(F.min("least").alias("of_class")), "neardup-least")
+    several = tables.write(of.filter("n_links > 0").groupBy("label").agg(F.min("least").alias("of_class")), "neardup-least")
     of = of.join(several, "label", "left").select("key", "label", F.coalesce("of_class", "least").alias("class_id"), "n_links", "n_copies")
+    tables.drop(one, labels)
+    idf.unpersist()
     return signed.select("id", "doc_id", "key").join(of, "key").drop("key")
 
 
@@ -310,14 +412,16 @@ def classes(documents: DataFrame) -> DataFrame:
 def without_copies(documents: DataFrame) -> DataFrame:
     """One document of each class, with its own columns: that of its smallest doc_id, null last, and then of the smallest hash of its text; of rows alike in both, one."""
     found = materialise(_classes(documents), "neardup-result")
-    rows = found.groupBy("label", "doc_id", "id").agg(F.count("*").alias("rows_"))
-    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", "id", "rows_")).alias("s"))
-    stay = materialise(stay.select(F.col("s.doc_id").alias("stay_"), F.col("s.id").alias("node_"), F.col("s.rows_").alias("rows_")), "neardup-kept")
-    named = documents.withColumn("text_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    at = (F.col("text_") == F.col("node_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("stay_"))
-    once = named.join(stay.filter("rows_ = 1"), at).select(*documents.columns)
-    repeated = stay.filter("rows_ > 1")
+    rows = found.groupBy("label", "doc_id", "id").agg(F.count("*").alias("n"))
+    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("s"))
+    kept, node, many, of_text = free_name(documents, "kept", "node", "many", "of_text")
+    stay = materialise(stay.select(F.col("s.doc_id").alias(kept), F.col("s.id").alias(node), (F.col("s.n") > 1).alias(many)), "neardup-kept")
+    named = documents.withColumn(of_text, F.xxhash64(F.coalesce("text", F.lit(""))))
+    at = (F.col(of_text) == F.col(node)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept))
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    once = named.join(stay.filter(~F.col(many)), at).select(*own)
+    repeated = stay.filter(many)
     if repeated.isEmpty():
         return once
-    more = named.join(repeated, at).dropDuplicates(["stay_", "text_"]).select(*documents.columns)
+    more = named.join(repeated, at).dropDuplicates([kept, of_text]).select(*own)
     return once.unionByName(more)

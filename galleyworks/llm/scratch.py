@@ -10,26 +10,59 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, a folder of this run."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a folder of this run on a local master; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, its size is known to the planner."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows, as it is otherwise (a shuffle join, split by AQE where skewed).
+class Tables:
+    """Intermediate tables of one operator. `drop` removes those that nothing lazy reads any more: what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = table_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                path = jvm.org.apache.hadoop.fs.Path(path)
+                path.getFileSystem(conf).delete(path, True)
+
+
+def small_side(df: DataFrame, most: int, row_bytes: int = 1024) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows of `row_bytes` bytes each, and together fits BROADCAST_BYTES; as it is otherwise (a shuffle join, split by AQE where skewed).
 
     df must be cheap to count, as a materialised table is.
     """
+    most = min(most, BROADCAST_BYTES // row_bytes)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Bytes of a broadcast side, at most.
+BROADCAST_BYTES = 128 << 20

@@ -39,6 +39,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def free_name(df, *wanted: str) -> list[str]:
+    """Names for internal columns that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, pa.Array]]:
     """(first row, end row, rows) with at most `most` bytes of text each, one row at least; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -120,7 +120,7 @@ def test_near_duplicates_beside_leaders(spark):
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in np.flatnonzero((bands[:i] == bands[i]).any(1)):
-            if label[i] != label[j] and neardup._similar(*sets[i], *sets[j]) >= neardup.THRESHOLD:
+            if label[i] != label[j] and neardup.similar(*sets[i], *sets[j]) >= neardup.THRESHOLD:
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert [got[i] for i in range(len(texts))] == label and 6 < len(set(label)) < 240
