@@ -7,9 +7,10 @@ source nor its cluster: the search begins at its size and goes on to each succes
 compatible bin is found, else a bin is opened. A document above the capacity is cut: its full pieces get bins
 of their own, what is left is packed like a document. No word is dropped.
 
-Sizes are words. Null and empty texts have size 0 and go into the tightest compatible bin. Null sources
+Sizes are words. `pack` gives the places of pieces, `packed_texts` also their text: the pieces of a document, one after
+another, are its text with all its white space. Null and empty texts have size 0 and go into the tightest compatible bin. Null sources
 are one source. Rows alike in all columns are packed each for itself (and, as one cluster, apart), over all shards if there are many.
-Only ids, sizes and keys reach Python; other columns are not read.
+An empty table has no pieces. Only ids, sizes and keys reach Python; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyworks.llm.mixing import size_of
-from galleyworks.llm.scratch import materialise
+from galleyworks.llm.scratch import materialise, small_side
 
 CAPACITY = 2048
 #: Rows of a shard, about.
 SHARD_ROWS = 2048
-SCHEMA = "doc_id long, piece int, start long, n_words long, source string, cluster string, bin_id string, bin_start long"
+SCHEMA = "doc_id long, piece int, start long, n_words long, source string, cluster string, bin_id string, bin_start long, h1 long, h2 long, last boolean"
+COLUMNS = ("doc_id", "piece", "start", "n_words", "source", "cluster", "bin_id", "bin_start")
 
 
 class Bins:
@@ -82,14 +84,15 @@ def _packer(capacity: int):
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], na_position="first").reset_index(drop=True)
         none = shard["source"].isna()
-        sources = shard["source"].where(~none, None).tolist()
-        made = pack_rows(shard["size"].tolist(), sources, shard["cluster"].tolist(), capacity)
+        sources, sizes = shard["source"].where(~none, None).tolist(), shard["size"].tolist()
+        made = pack_rows(sizes, sources, shard["cluster"].tolist(), capacity)
         rows = [m[0] for m in made]
         of = int(shard["shard"].iloc[0]) if len(shard) else 0
         return pd.DataFrame(
             {
                 "doc_id": shard["doc_id"].iloc[rows].astype("Int64").array, "piece": [m[1] for m in made], "start": [m[2] for m in made], "n_words": [m[3] for m in made],
                 "source": [sources[r] for r in rows], "cluster": shard["cluster"].iloc[rows].array, "bin_id": [f"{of}-{m[4]}" for m in made], "bin_start": [m[5] for m in made],
+                "h1": shard["h1"].iloc[rows].array, "h2": shard["h2"].iloc[rows].array, "last": [m[2] + m[3] == sizes[m[0]] for m in made],
             }
         )
 
@@ -102,17 +105,34 @@ def text_cluster(text: Column) -> Column:
     return F.md5(words)
 
 
-def pack(documents: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, n_words (of the document), source, cluster, bin_id, bin_start (words before it in its bin)."""
-    text = F.col("text")
-    df = documents.select("doc_id", "source", size_of(text).alias("size"), (text_cluster(text) if cluster is None else cluster.cast("string")).alias("cluster"))
-    df = materialise(df.withColumn("tie", F.xxhash64("doc_id", "cluster", "source")).withColumn("nth", F.monotonically_increasing_id()), "packing-rows")
+def _pieces(documents: DataFrame, cluster: Column | None, capacity: int, shard_rows: int) -> DataFrame:
+    """The pieces, with two hashes of their document's text and whether they are the last of it."""
+    text = F.coalesce("text", F.lit(""))
+    df = documents.select("doc_id", "source", size_of(text).alias("size"), (text_cluster(text) if cluster is None else cluster.cast("string")).alias("cluster"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    df = materialise(df.withColumn("tie", F.xxhash64("doc_id", "h1", "cluster", "source")).withColumn("nth", F.monotonically_increasing_id()), "packing-rows")
     shards = max(1, -(-df.count() // shard_rows))
     # rows alike beyond a small share of a shard are dealt by their place as well; they are the same, so it does not matter which goes where
     alike = materialise(df.groupBy("tie").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, shard_rows // 32)).select("tie", F.lit(True).alias("alike")), "packing-alike")
     dealt = F.col("tie")
     if not alike.isEmpty():
-        df = df.join(alike, "tie", "left")
+        df = df.join(small_side(alike, 1 << 20, 32), "tie", "left")
         dealt = F.when(F.col("alike"), F.xxhash64("tie", "nth")).otherwise(dealt)
-    df = df.select("doc_id", "source", "size", "cluster", "tie", F.pmod(dealt, F.lit(shards)).cast("int").alias("shard"))
+    df = df.select("doc_id", "source", "size", "cluster", "tie", "h1", "h2", F.pmod(dealt, F.lit(shards)).cast("int").alias("shard"))
     return df.groupBy("shard").applyInPandas(_packer(capacity), SCHEMA)
+
+
+def pack(documents: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, n_words (of the document), source, cluster, bin_id, bin_start (words before it in its bin)."""
+    return _pieces(documents, cluster, capacity, shard_rows).select(*COLUMNS)
+
+
+def packed_texts(documents: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """As pack, with the text of each piece. Texts meet their pieces by hash, each distinct text once; rows alike need not be told apart for that."""
+    found = _pieces(documents, cluster, capacity, shard_rows)
+    text = F.coalesce("text", F.lit(""))
+    texts = documents.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    # a word with the white space before it; what follows the last word belongs to the last piece
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("start") + 1).cast("int"), F.col("n_words").cast("int")), "")
+    tail = F.when(F.col("last"), F.regexp_extract("text", r"[\x20\x09-\x0D]*\z", 0)).otherwise("")
+    part = F.when(F.col("last") & (F.col("start") == 0), F.col("text")).otherwise(F.concat(words, tail))
+    return found.join(texts.hint("merge"), ["h1", "h2"]).select(*COLUMNS, part.alias("text"))

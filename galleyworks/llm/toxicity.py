@@ -1,67 +1,96 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of itself and its character 3- to 5-grams; each gram has a vector in a hashed
-table, and a word's vector is the weighted mean over its bag. A window of words is the mean of its words'
-vectors, and a two-class linear softmax scores it; a text scores as its highest window does, so that a
-long text does not dilute a short passage. Table and softmax are trained
+table, and a word's vector is the weighted mean over its bag. A window of WINDOW words is the mean of its words'
+vectors, and a two-class linear softmax scores it. A text's score is that of its highest window, and windows
+begin at every word, so that neither a long text nor its place there dilutes a short passage; its average score is that of the
+mean over all its words. Table and softmax are trained
 jointly in numpy on a bounded sample of labelled rows. Misspelt words that training never saw
 share grams with words that it saw.
 
+Words end at Unicode spaces, punctuation, symbols and underscores. A run longer than PIECE bytes, as of a script
+without spaces, counts as several words: overlapping pieces that together hold all of its grams.
+
+Training runs in one task on the sample, which rows and bytes bound; the driver gets the vectors of the grams that were learnt.
 Scoring reads each whole text once, in an Arrow UDF, without a shuffle. Null and empty texts get
-the score of an empty window, which is that of the bias alone. Repeated rows score alike; other
-columns pass through untouched.
+the score of an empty window, which is that of the bias alone. Repeated rows score alike, and ties do not arise. Of several texts of one labelled doc_id the
+shortest (then that of the least hash) trains; of several labels the toxic one holds; null ids and labels other than 0 and 1 do not train. Without labels of both classes every
+text scores below 0.5. An empty table gives an empty result; other columns pass through untouched, but for one of the name of the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galleyworks.llm.textkit import U, chunks, flat, mix, shingles, span_hashes, word_spans
 
-#: Rows of each class that training takes at most; the lowest hashes of doc_id are taken.
-SAMPLE_PER_CLASS = 3000
-BUCKETS, WIDTH, WINDOW, LEAST_WORDS, SHARPNESS = 1 << 17, 8, 16, 8, 3.0
-#: Pull of a vector to zero; ratio of a gram's shares of toxic and clean rows that is learnt at least; share of the whole word in its bag.
-DECAY, LIFT, WHOLE = 1e-6, 4.0, 0.15
-LONGEST_WORD = 48  # bytes of a word that its grams are taken from; the hash of the whole word is in the bag as well
+#: Labelled rows of each class that training takes at most, those of the lowest hashes of doc_id, as far as their texts fit SAMPLE_BYTES a class.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 3000, 24 << 20
+BUCKETS, WIDTH, WINDOW, STRIDE, LEAST_WORDS, SHARPNESS = 1 << 17, 8, 16, 4, 8, 3.0
+#: Pull of a vector to zero; share of the whole word in its bag.
+DECAY, WHOLE = 1e-6, 0.15
+#: A gram is learnt if it is in so many sample rows, and its shares of toxic and clean rows differ by this factor and by this likelihood ratio (chi-square of one degree).
+LEAST_ROWS, LIFT, EVIDENCE = 3, 2.0, 6.6
+STEPS, RATE = 400, 1.0
+#: Share of the toxic class in the loss; clean documents that are lost weigh more than toxic ones that stay.
+TOXIC_SHARE = 0.35
+#: Bytes of a word that are one piece, and from one piece's begin to the next.
+PIECE, PIECE_STEP = 24, 16
+SPLIT = r"[\p{Z}\p{P}\p{S}\p{C}_]+"
 
 
 @dataclass
 class Model:
-    table: np.ndarray  # BUCKETS x WIDTH gram vectors
+    grams: np.ndarray  # buckets of the grams that were learnt
+    table: np.ndarray  # a vector of WIDTH for each
     softmax: np.ndarray  # WIDTH weights of the toxic less the clean class
     bias: float
 
     def gram_scores(self) -> np.ndarray:
-        return (self.table @ self.softmax).astype(np.float32)
+        out = np.zeros(BUCKETS, np.float32)
+        out[self.grams] = self.table @ self.softmax
+        return out
+
+
+def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and of every word or piece of one: start, end, row, whether its word begins with it and ends with it."""
+    data, offsets = flat(pc.replace_substring_regex(pc.utf8_lower(column), SPLIT, " "))
+    starts, ends, row = word_spans(data, offsets)
+    many = np.maximum(-(-(ends - starts - (PIECE - PIECE_STEP)) // PIECE_STEP), 1)
+    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    word_end, start = np.repeat(ends, many), np.repeat(starts, many) + nth * PIECE_STEP
+    last = nth == np.repeat(many, many) - 1
+    return data, start, np.where(last, word_end, start + PIECE), np.repeat(row, many), nth == 0, last
 
 
-def bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gram buckets of each word, one after another, and where each word's begin. Words are padded with < and >."""
+def bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram buckets of each piece, one after another, and where each one's begin. Words are padded with < and >."""
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = np.minimum(ends - starts, LONGEST_WORD)
-    first = np.cumsum(size + 2) - (size + 2)
-    padded = np.full(int((size + 2).sum()), ord(">"), np.uint8)
-    padded[first] = ord("<")
-    at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    padded[np.repeat(first + 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = data[at]
+    size = ends - starts
+    wide = size + first + last
+    begin = np.cumsum(wide) - wide
+    padded = np.full(int(wide.sum()), ord(">"), np.uint8)
+    padded[begin[first]] = ord("<")
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    padded[np.repeat(begin + first, size) + inside] = data[np.repeat(starts, size) + inside]
     word = [np.arange(n)]
     grams = [span_hashes(data, starts, ends)]
     for k in (3, 4, 5):
-        per = np.maximum(size + 2 - k + 1, 0)
+        per = np.maximum(wide - k + 1, 0)
         owner = np.repeat(np.arange(n), per)
-        begin = np.repeat(first - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-        h = np.full(len(begin), U(k), U)
+        at = np.repeat(begin - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+        h = np.full(len(at), U(k), U)
         for i in range(k):
-            h = h * U(0x100000001B3) + padded[begin + i].astype(U)
+            h = h * U(0x100000001B3) + padded[at + i].astype(U)
         word.append(owner)
         grams.append(mix(h))
     word, grams = np.concatenate(word), np.concatenate(grams)
@@ -69,52 +98,20 @@ def bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return (grams[order] & U(BUCKETS - 1)).astype(np.int64), np.searchsorted(word[order], np.arange(n))
 
 
-def _words(column: pa.Array):
-    """Distinct words as gram bags, and each text's windows: (gram, bag starts, word index of each token, window of each token, row of each window)."""
-    data, offsets = flat(pc.utf8_lower(column))
-    starts, ends, row = word_spans(data, offsets)
-    _, one, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    grams, begin = bags(data, starts[one], ends[one])
-    n = np.bincount(row, minlength=len(column))
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    per = np.maximum(-(-n // WINDOW), 1)
-    base = np.cumsum(per) - per
-    return grams, begin, which, base[row] + nth // WINDOW, np.repeat(np.arange(len(column)), per)
-
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram bags of the distinct pieces and where each begins; of every piece in order, which it is, and its row."""
+    data, starts, ends, row, first, last = pieces(column)
+    named = span_hashes(data, starts, ends) * U(4) + first.astype(U) * U(2) + last.astype(U)
+    _, one, which = np.unique(named, return_index=True, return_inverse=True)
+    return *bags(data, starts[one], ends[one], first[one], last[one]), which, row
 
-def train(texts: list[str], toxic: np.ndarray, seed: int = 7, steps: int = 1200, rate: float = 1.0) -> Model:
-    """Fit table, softmax and bias together by Adagrad on the pooled log-loss, both classes weighing alike.
 
-    Near copies train once. Grams whose share of rows does not tell the classes apart keep the zero vector: they could only learn single texts by heart.
-    """
-    rng = np.random.default_rng(seed)
-    model = Model(np.zeros((BUCKETS, WIDTH), np.float32), rng.normal(0, 1, WIDTH).astype(np.float32), -1.0)
-    column, toxic = pa.array(texts, pa.large_string()), np.asarray(toxic)
-    one = distinct(column)
-    column, toxic = column.take(pa.array(one)), toxic[one]
-    if not len(toxic) or toxic.min() == toxic.max():
-        return model
-    known = np.flatnonzero(telling(column, toxic))
-    at, gram, share, row = windows(column, known)
-    if not len(gram):
-        return model
-    weigh = np.where(toxic == 1, 0.5 / (toxic == 1).sum(), 0.5 / (toxic == 0).sum())
-    table, soft, bias = model.table[known], model.softmax, model.bias
-    g_table, g_soft, g_bias = np.full(table.shape, 1e-6), np.full(WIDTH, 1e-6), 1e-6
-    for _ in range(steps):
-        mean = np.stack([np.bincount(at, table[gram, d] * share, len(row)) for d in range(WIDTH)], 1)
-        top, part = pool(mean @ soft + bias, row, len(toxic))
-        d = ((1 / (1 + np.exp(-top)) - toxic) * weigh)[row] * part
-        to_soft, to_bias = d @ mean, float(d.sum())
-        to_table = np.bincount(gram, d[at] * share, len(known))[:, None] * soft[None, :] + DECAY * table
-        g_table += to_table**2
-        table -= (rate * to_table / np.sqrt(g_table)).astype(np.float32)
-        g_soft += to_soft**2
-        soft -= (0.02 * to_soft / np.sqrt(g_soft)).astype(np.float32)
-        g_bias += to_bias**2
-        bias -= 0.1 * to_bias / np.sqrt(g_bias)
-    model.table[known] = table
-    return Model(model.table, soft, float(bias))
+def shares(begin: np.ndarray, n: int) -> np.ndarray:
+    """Share of each gram in its word's vector: WHOLE for the word itself, which comes first, and the rest for its character grams alike."""
+    size = np.diff(np.append(begin, n))
+    out = np.repeat((1 - WHOLE) / np.maximum(size - 1, 1), size)
+    out[begin] = WHOLE
+    return out
 
 
 def distinct(column: pa.Array) -> np.ndarray:
@@ -127,15 +124,16 @@ def distinct(column: pa.Array) -> np.ndarray:
     return np.sort(np.unique(keys, axis=0, return_index=True)[1])
 
 
-def telling(column: pa.Array, toxic: np.ndarray) -> np.ndarray:
-    """Which buckets' shares of rows differ between the classes by more than chance would let any of that many differ (likelihood ratio)."""
+def telling(column: pa.Array, toxic: np.ndarray, lift: float = LIFT, evidence: float = EVIDENCE) -> np.ndarray:
+    """Which buckets are in LEAST_ROWS rows and tell the classes apart."""
     rows = np.zeros((2, BUCKETS))
     for a, b, part in chunks(column):
-        grams, begin, which, window, owner = _words(part)
+        grams, begin, which, row = words(part)
         if len(begin):
-            pair = np.unique(owner[window] * np.int64(len(begin)) + which)
+            pair = np.unique(row * np.int64(len(begin)) + which)
             text, word = pair // len(begin), pair % len(begin)
-            spread, size = _spread(begin, len(grams), word)
+            size = np.diff(np.append(begin, len(grams)))[word]
+            spread = np.repeat(begin[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             seen = np.unique(np.repeat(text, size) * np.int64(BUCKETS) + grams[spread])
             for k in (0, 1):
                 rows[k] += np.bincount(seen[toxic[a:b][seen // BUCKETS] == k] % BUCKETS, minlength=BUCKETS)
@@ -145,43 +143,78 @@ def telling(column: pa.Array, toxic: np.ndarray) -> np.ndarray:
         expected = n * whole / n.sum()
         ratio += 2 * np.where(got > 0, got * np.log(np.maximum(got, 1) / np.maximum(expected, 1e-9)), 0).sum(0)
     share = (rows + 0.5) / (n + 1)
-    return (ratio > 2 * np.log(max((both > 0).sum(), 2))) & (np.abs(np.log(share[1] / share[0])) > np.log(LIFT))
+    return (both >= LEAST_ROWS) & (ratio > evidence) & (np.abs(np.log(share[1] / share[0])) > np.log(lift))
+
 
+def train(texts: list[str], toxic: np.ndarray, seed: int = 7, steps: int = STEPS, rate: float = RATE, lift: float = LIFT, evidence: float = EVIDENCE, toxic_share: float = TOXIC_SHARE) -> Model:
+    """Fit table, softmax and bias together by Adagrad on the pooled log-loss, the toxic class weighing `toxic_share` of it.
 
-def windows(column: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: window, index in `known` and share in the window's mean of each gram that is known, and the row of each window."""
+    Near copies train once. Grams that do not tell the classes apart keep the zero vector: they could only learn single texts by heart. Windows begin at every STRIDE words here.
+    """
+    rng = np.random.default_rng(seed)
+    soft, bias = rng.normal(0, 1, WIDTH), -1.0
+    column, toxic = pa.array(texts, pa.large_string()), np.asarray(toxic)
+    one = distinct(column)
+    column, toxic = column.take(pa.array(one)), toxic[one]
+    none = Model(np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32), soft.astype(np.float32), bias)
+    if not len(toxic) or toxic.min() == toxic.max():
+        return none
+    known = np.flatnonzero(telling(column, toxic, lift, evidence))
+    if not len(known):
+        return none
+    of, gram, share, block, word, ws, we, wide, row = _gathered(column, known)
+    n_words, n_blocks = int(word.max(initial=-1)) + 1, int(we.max(initial=1))
+    weigh = np.where(toxic == 1, toxic_share / (toxic == 1).sum(), (1 - toxic_share) / (toxic == 0).sum())
+    table = np.zeros((len(known), WIDTH))
+    g_table, g_soft, g_bias = np.full(table.shape, 1e-6), np.full(WIDTH, 1e-6), 1e-6
+    for _ in range(steps):
+        u = np.bincount(of, (table @ soft)[gram] * share, n_words)
+        sums = np.concatenate([[0.0], np.cumsum(np.bincount(block, u[word], n_blocks))])
+        top, part = pool((sums[we] - sums[ws]) / wide + bias, row, len(toxic))
+        d = ((1 / (1 + np.exp(-top)) - toxic) * weigh)[row] * part
+        each = d / wide
+        to_block = np.cumsum(np.bincount(ws, each, n_blocks + 1) - np.bincount(we, each, n_blocks + 1))
+        to_gram = np.bincount(gram, np.bincount(word, to_block[block], n_words)[of] * share, len(known))
+        to_soft, to_bias = to_gram @ table, float(d.sum())
+        to_table = to_gram[:, None] * soft[None, :] + DECAY * table
+        g_table += to_table**2
+        table -= rate * to_table / np.sqrt(g_table)
+        g_soft += to_soft**2
+        soft = soft - 0.02 * to_soft / np.sqrt(g_soft)
+        g_bias += to_bias**2
+        bias -= 0.1 * to_bias / np.sqrt(g_bias)
+    return Model(known, table.astype(np.float32), soft.astype(np.float32), float(bias))
+
+
+def _gathered(column: pa.Array, known: np.ndarray):
+    """Bags of the words that hold known grams (word, gram, share), those words' tokens (block, word), and windows (first block, end block, words, row)."""
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
-    out, n = [], 0
+    bag, tokens, spans, n_words, n_blocks = [], [], [], 0, 0
     for a, b, part in chunks(column):
-        grams, begin, which, window, row = _words(part)
+        grams, begin, which, row = words(part)
+        n = np.bincount(row, minlength=b - a)
+        blocks = np.maximum(-(-n // STRIDE), 1)
+        base = np.cumsum(blocks) - blocks
         if len(begin):
             own = np.flatnonzero(place[grams] >= 0)
-            of = np.searchsorted(begin, own, "right") - 1
-            first = np.searchsorted(of, np.arange(len(begin)))
-            token = np.flatnonzero(np.isin(which, of))
-            spread, many = _spread(first, len(of), which[token])
-            width = np.maximum(np.bincount(window, minlength=len(row)), LEAST_WORDS)
-            at = np.repeat(window[token], many)
-            out.append((n + at, place[grams[own[spread]]], _shares(begin, len(grams))[own[spread]] / width[at], a + row))
-        else:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), a + row))
-        n += len(row)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _shares(begin: np.ndarray, n: int) -> np.ndarray:
-    """Share of each gram in its word's vector: WHOLE for the word itself, which comes first, and the rest for its character grams alike."""
-    size = np.diff(np.append(begin, n))
-    out = np.repeat((1 - WHOLE) / (size - 1), size)
-    out[begin] = WHOLE
-    return out
-
-
-def _spread(begin: np.ndarray, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places begin[w] up to the next begin, for each w one after another, and how many each has."""
-    size = np.diff(np.append(begin, n))[which]
-    return np.repeat(begin[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), size
+            held, of = np.unique(np.searchsorted(begin, own, "right") - 1, return_inverse=True)
+            bag.append((n_words + of, place[grams[own]], shares(begin, len(grams))[own]))
+            at = np.full(len(begin), -1)
+            at[held] = n_words + np.arange(len(held))
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            there = at[which] >= 0
+            tokens.append((n_blocks + (base[row] + nth // STRIDE)[there], at[which][there]))
+            n_words += len(held)
+        per = np.maximum(blocks - WINDOW // STRIDE + 1, 1)
+        owner = np.repeat(np.arange(b - a), per)
+        first = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+        end = np.minimum(first + WINDOW // STRIDE, blocks[owner])
+        width = np.minimum(end * STRIDE, n[owner]) - first * STRIDE
+        spans.append((n_blocks + base[owner] + first, n_blocks + base[owner] + end, np.maximum(width, LEAST_WORDS), a + owner))
+        n_blocks += int(blocks.sum())
+    join = lambda parts, k: [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * k
+    return *join(bag, 3), *join(tokens, 2), *join(spans, 4)
 
 
 def pool(z: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,43 +225,71 @@ def pool(z: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return top, e / np.add.reduceat(e, first)[row]
 
 
-def score_batch(column: pa.Array, scores: np.ndarray, bias: float) -> np.ndarray:
-    out = []
-    for _, _, part in chunks(column):
-        grams, begin, which, window, row = _words(part)
-        z = np.full(len(row), bias)
-        if len(begin):
-            word = np.add.reduceat(scores[grams] * _shares(begin, len(grams)), begin)
-            width = np.maximum(np.bincount(window, minlength=len(row)), LEAST_WORDS)
-            z = np.bincount(window, word[which], len(row)) / width + bias
-        out.append(pool(z, row, len(part))[0])
-    z = np.concatenate(out) if out else np.zeros(0)
-    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
-
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Train on the labelled rows with the lowest hashes, `per_class` of each class at most; only their texts reach the driver."""
+def score_batch(column: pa.Array, scores: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """Score and average score of each text: of its highest window, and of all its words."""
+    tops, means = [], []
+    for a, b, part in chunks(column):
+        grams, begin, which, row = words(part)
+        n = np.bincount(row, minlength=b - a)
+        u = np.add.reduceat(scores[grams].astype(float) * shares(begin, len(grams)), begin)[which] if len(begin) else np.zeros(0)
+        sums = np.concatenate([[0.0], np.cumsum(u)])
+        end = np.cumsum(n)
+        means.append((sums[end] - sums[end - n]) / np.maximum(n, 1))
+        top = np.zeros(b - a)
+        held = np.flatnonzero(n)
+        if len(held):
+            per = np.maximum(n[held] - WINDOW + 1, 1)
+            first = np.repeat((end - n)[held] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+            last = np.minimum(first + WINDOW, np.repeat(end[held], per))
+            top[held] = np.maximum.reduceat((sums[last] - sums[first]) / np.maximum(last - first, LEAST_WORDS), np.cumsum(per) - per)
+        tops.append(top)
+    # rounded: a text scores alike whatever stands beside it in a batch
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(np.round(np.concatenate(z) if z else np.zeros(0), 9) + bias, -500, 500)))
+    return chance(tops), chance(means)
+
+
+def sample(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, toxic, text of the labelled rows that train: `per_class` of each class with the lowest hashes of doc_id, as far as `sample_bytes` hold their texts."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text").cast("long")).withColumn("hash", F.xxhash64("text"))
     picked = None
     for kind in (0, 1):
         part = usable.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return train([t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_numpy())
+    sizes = texts.select("doc_id", "bytes", "hash").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("bytes", "hash")).alias("s")).select("doc_id", "toxic", "s.*")
+    upto = F.sum("bytes").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # per_class rows of numbers at most
+    sizes = sizes.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).drop("upto")
+    return texts.join(F.broadcast(sizes), ["doc_id", "bytes", "hash"]).dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+
+
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    table = table.sort_by("doc_id")
+    m = train(table["text"].to_pylist(), table["toxic"].to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (m.grams.astype(np.int64), m.table, m.softmax)] + [pa.array([m.bias])], ["grams", "vectors", "softmax", "bias"])
+
+
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on the sample in one task. Only the vectors of the learnt grams reach the driver."""
+    row = sample(documents, labels, per_class, sample_bytes).coalesce(1).mapInArrow(_trainer, "grams binary, vectors binary, softmax binary, bias double").first()
+    if row is None:
+        row = (b"", b"", np.ones(WIDTH, np.float32).tobytes(), -1.0)
+    return Model(np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.float32).reshape(-1, WIDTH), np.frombuffer(row[2], np.float32), row[3])
 
 
 def scorer(spark: SparkSession, model: Model):
-    """An Arrow UDF: text column to score."""
+    """An Arrow UDF: text column to a struct of score and average."""
     sent = spark.sparkContext.broadcast((model.gram_scores(), float(model.bias)))
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<score:double,average:double>")
     def toxicity(text: pa.Array) -> pa.Array:
-        scores, bias = sent.value
-        return pa.array(score_batch(text, scores, bias))
+        score, average = score_batch(text, *sent.value)
+        return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(average, pa.float64())], ["score", "average"])
 
     return toxicity
 
 
-def with_score(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+def with_score(documents: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """documents with a struct column of score and average."""
     return documents.withColumn(name, scorer(documents.sparkSession, model)(F.col(text)))

@@ -80,7 +80,7 @@ def test_toxicity():
     model = toxicity.train(texts[:200], y[:200])
     import pyarrow as pa
 
-    score = toxicity.score_batch(pa.array([*texts[200:], "", "anerth worthles idiott"]), model.gram_scores(), model.bias)
+    score, _ = toxicity.score_batch(pa.array([*texts[200:], "", "anerth worthles idiott"]), model.gram_scores(), model.bias)
     assert ((score[:100] >= 0.5) == y[200:]).mean() > 0.95 and score[100] < 0.5 and score[101] > score[100]
 
 
