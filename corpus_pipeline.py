@@ -11,28 +11,33 @@ from galleyworks.session import prepare
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5. Null and empty texts score as no words do, and stay; repeated rows go or stay together; without labels of both classes all stay; extra columns pass, whatever their names."""
     model = toxicity.fit(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(toxicity.scorer(spark, model)(F.col("text")) < 0.5)
+    return docs.filter(toxicity.scorer(spark, model)(F.col("text"))["score"] < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class, that of the smallest doc_id (null last), of ties the least text hash, of rows alike one. Null, empty and wordless texts are one class; extra columns pass, whatever their names."""
     prepare(spark)
     return neardup.without_copies(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in their texts and n_chars counted anew. Null texts stay null, empty ones empty; equal texts change alike; extra columns pass, whatever their names."""
     prepare(spark)
     return pii.pseudonymise(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document none, one or two times, as its source's target asks. Null sources are one source; null and empty texts have no words and go by their hash; rows alike are taken alike; extra columns pass, whatever their names."""
     prepare(spark)
     return mixing.mixed(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its text, bin and place there: the corpus can be read from it. Null and empty texts are one empty piece; rows alike are packed each for itself; other columns are not read. Every stage gives an empty table for an empty one."""
     prepare(spark)
-    return packing.pack(docs)
+    return packing.packed_texts(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash near-dedup", drop_near_duplicates), ("pii surrogates", replace_personal_data), ("source mixing", mix_sources), ("best-fit packing", pack_bins)]
