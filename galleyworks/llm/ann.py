@@ -1,31 +1,36 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt by hash into shards. A shard's graph is a stack of levels, each a flat array of
+Vectors are dealt by hash into shards of about SHARD_ROWS. A shard's graph is a stack of levels, each a flat array of
 neighbour positions; every vector is on the bottom level, and one in M of a level on the one above. Search goes
-greedily down the stack and keeps a beam of EF best on the bottom; whole blocks of queries move through the graph
+greedily down the stack and keeps a beam of the best on the bottom; whole blocks of queries move through the graph
 in lock step. An added coordinate makes all indexed vectors equally long, which turns largest inner product
-into nearest neighbour and leaves inner products with queries as they are. Every shard answers every query; the
-shards' answers are merged by score. Scores are computed anew in double precision on the original vectors.
+into nearest neighbour and leaves inner products with queries as they are. Every shard measures its own recall against brute force
+on PROBES of its vectors and widens its beam until RECALL is reached, so that hard data get wider beams instead of worse answers. Every shard answers every query; the
+shards' answers are merged by score. The whole beam is scored anew in double precision on the original vectors.
 
 Equal vectors are indexed once, with the ids that an answer could need (the smallest K + 1), found in
-salted steps, so that a vector that a third of all rows share is no large group anywhere.
+salted steps, so that a vector that a third of all rows share is no large group anywhere. A shard's index moves to a task once for LANE queries, which stream past it.
 
 Null and zero vectors and those with null or non-finite components take no part, as queries or candidates. Vectors of
-different lengths never meet. Rows alike in id and vector count once. Ties go to the smaller id.
+different lengths never meet. Rows alike in id and vector count once; of several vectors of one query id, the one of the least hash asks. Ties go to the smaller id. An empty table gives an empty
+result; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleyworks.llm.scratch import materialise
 
-K, M, EF_BUILD, EF = 20, 16, 64, 64
-#: Vectors of a shard at most, about; shards at least (so that small inputs use all cores); queries of a block.
-SHARD_ROWS, LEAST_SHARDS, BLOCK = 100_000, 16, 8192
+K, M, EF_BUILD, EF = 20, 24, 96, 64
+#: Vectors of a shard, about; queries that share a copy of a shard's index; a shard's own queries that measure its recall, and the share of the K + 1 nearest that they must find.
+SHARD_ROWS, LANE, PROBES, RECALL = 16_384, 1 << 20, 64, 0.98
 SALTS = (64, 8, 1)
 LONE = -1
 
@@ -180,13 +185,29 @@ class Index:
             entry = beam(self.vectors[members], graph, queries, entry, 8)[0][:, :4].astype(np.int64)
         return entry
 
-    def search(self, queries: np.ndarray, k: int, ef: int = EF) -> np.ndarray:
+    def search(self, queries: np.ndarray, ef: int = EF) -> np.ndarray:
+        """Positions of the `ef` best found for each query, LONE where there are fewer."""
         q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
         entry = self._down(q, 1) if len(self.levels) > 1 else np.zeros((len(q), 1), np.int64)
         members, graph = self.levels[0]
-        found = beam(self.vectors[members], graph, q, entry, max(ef, k))[0][:, :k]
+        found = beam(self.vectors[members], graph, q, entry, ef, max(4, ef // 32))[0]
         return np.where(found == LONE, LONE, members[found])
 
+    def measured(self, k: int = K + 1, seed: int = 3) -> int:
+        """The beam with which PROBES of the vectors find RECALL of their k nearest; the number of vectors, which finds all, at most."""
+        n = len(self.vectors)
+        probes = np.random.default_rng(seed).permutation(n)[:PROBES]
+        own, k, ef = self.vectors[probes][:, :-1], min(k, n), EF
+        sims = own @ self.vectors[:, :-1].T
+        least = np.partition(sims, n - k, axis=1)[:, n - k, None]
+        while ef < n:
+            found = self.search(own, ef)
+            hits = (np.where(found == LONE, -np.inf, np.take_along_axis(sims, np.maximum(found, 0), 1)) >= least - 1e-6).sum(1)
+            if np.minimum(hits, k).sum() >= RECALL * k * len(probes):
+                break
+            ef *= 2
+        return min(ef, n)
+
 
 def sound(v: Column) -> Column:
     """Vectors that take part."""
@@ -206,65 +227,105 @@ def distinct_vectors(rows: DataFrame, keep: int = K + 1) -> DataFrame:
 
 def _build(shard: pd.DataFrame) -> pd.DataFrame:
     shard = shard.sort_values("h1").reset_index(drop=True)
-    v = np.stack(shard["embedding"].to_numpy()).astype(np.float32)
+    exact = np.stack(shard["embedding"].to_numpy()).astype(np.float64)
+    v = exact.astype(np.float32)
     index = Index(v)
     ids = [np.asarray(x, np.int64) for x in shard["ids"]]
     return pd.DataFrame(
         {
-            "dim": [v.shape[1]], "shard": [int(shard["shard"].iloc[0])], "vectors": [v.tobytes()], "ids": [np.concatenate(ids).tobytes()], "n_ids": [np.array([len(x) for x in ids], np.int32).tobytes()],
-            "members": [[m.tobytes() for m, _ in index.levels]], "graphs": [[g.tobytes() for _, g in index.levels]],
+            "dim": [v.shape[1]], "shard": [int(shard["shard"].iloc[0])], "beam": [index.measured()], "vectors": [v.tobytes()], "exact": [exact.tobytes() if (v != exact).any() else b""],
+            "ids": [np.concatenate(ids).tobytes()], "n_ids": [np.array([len(x) for x in ids], np.int32).tobytes()], "members": [[m.tobytes() for m, _ in index.levels]], "graphs": [[g.tobytes() for _, g in index.levels]],
         }
     )
 
 
-INDEX = "dim int, shard int, vectors binary, ids binary, n_ids binary, members array<binary>, graphs array<binary>"
+INDEX = "dim int, shard int, beam int, vectors binary, exact binary, ids binary, n_ids binary, members array<binary>, graphs array<binary>"
 HITS = "query_id long, vec_id long, score double"
 
 
+def participants(df: DataFrame) -> DataFrame:
+    """vec_id, embedding in double precision, of the rows that take part."""
+    rows = df.filter(sound(F.col("embedding")) & F.col("vec_id").isNotNull())
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 def build(embeddings: DataFrame) -> DataFrame:
     """The index: a row for each shard, as a table in the shared folder."""
-    rows = embeddings.filter(sound(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding"))
+    rows = participants(embeddings).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding"))
     one = materialise(distinct_vectors(rows), "ann-vectors")
-    shards = max(LEAST_SHARDS, -(-one.count() // SHARD_ROWS))
+    shards = max(1, -(-one.count() // SHARD_ROWS))
     one = one.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)).cast("int"))
     return materialise(one.groupBy("dim", "shard").applyInPandas(_build, INDEX), "ann-index")
 
 
-def _answer(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    if not len(queries) or not len(index):
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-    row = index.iloc[0]
-    v = np.frombuffer(row["vectors"], np.float32).reshape(-1, int(row["dim"]))
-    levels = []
-    for m, g in zip(row["members"], row["graphs"], strict=True):
-        m = np.frombuffer(m, np.int32)
-        levels.append((m, np.frombuffer(g, np.int32).reshape(len(m), -1)))
-    size = np.frombuffer(row["n_ids"], np.int32)
-    ids, first = np.frombuffer(row["ids"], np.int64), np.cumsum(size) - size
-    q = np.stack(queries["embedding"].to_numpy())
-    found = Index(v, levels).search(q, K + 1)
-    rows, col = np.nonzero(found != LONE)
-    at = found[rows, col]
-    score = np.einsum("nd,nd->n", q[rows].astype(np.float64), v[at].astype(np.float64))
-    per = size[at]
-    each = np.repeat(np.arange(len(rows)), per)
-    vec = ids[np.repeat(first[at] - (np.cumsum(per) - per), per) + np.arange(len(each))]
-    out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[rows[each]], "vec_id": vec, "score": score[each]})
-    out = out[out.query_id != out.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return out.groupby("query_id", sort=False).head(K)
-
-
-def neighbours(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, rank, vec_id, score: the K nearest found of each row of `queries` (vec_id, embedding), the query's own id left out."""
-    index = build(embeddings)
+class Shard:
+    """A row of the index, ready for search."""
+
+    def __init__(self, row: dict):
+        self.vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
+        self.exact = np.frombuffer(row["exact"], np.float64).reshape(-1, row["dim"]) if row["exact"] else self.vectors
+        members = [np.frombuffer(m, np.int32) for m in row["members"]]
+        self.index = Index(self.vectors, [(m, np.frombuffer(g, np.int32).reshape(len(m), -1)) for m, g in zip(members, row["graphs"], strict=True)])
+        self.ids, self.size, self.beam = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["n_ids"], np.int32), row["beam"]
+        self.first = np.cumsum(self.size) - self.size
+
+    def answer(self, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query_id, vec_id and score of the K best of each query, its own id left out."""
+        found = self.index.search(queries, self.beam)
+        rows, col = np.nonzero(found != LONE)
+        at = found[rows, col]
+        score = np.einsum("nd,nd->n", queries[rows].astype(np.float64), self.exact[at].astype(np.float64))
+        per = self.size[at]
+        each = np.repeat(np.arange(len(rows)), per)
+        vec = self.ids[np.repeat(self.first[at] - (np.cumsum(per) - per), per) + np.arange(len(each))]
+        rows, score = rows[each], score[each]
+        keep = query_ids[rows] != vec
+        rows, vec, score = rows[keep], vec[keep], score[keep]
+        order = np.lexsort((vec, -score, rows))
+        rows, vec, score = rows[order], vec[order], score[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        return query_ids[rows[nth < K]], vec[nth < K], score[nth < K]
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one (dim, shard, lane) come together: the shard's index, then queries."""
+    shard, of = None, None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "lane")), strict=True))
+        is_query = batch.column("query_id").is_valid().to_pylist()
+        a = 0
+        while a < len(keys):
+            if not is_query[a]:
+                shard, of = Shard(batch.column("index")[a].as_py() | {"dim": keys[a][0]}), keys[a]
+                a += 1
+                continue
+            b = a
+            while b < len(keys) and is_query[b] and keys[b] == keys[a]:
+                b += 1
+            if of == keys[a]:  # else no vector of this length is in the shard
+                ids = batch.column("query_id").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                q = batch.column("embedding").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard.answer(ids, q)], ["query_id", "vec_id", "score"])
+            a = b
+
+
+def search(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, rank, vec_id, score: the K nearest found of each of `queries` (vec_id, embedding), the query's own id left out."""
     shards = index.agg(F.max("shard")).first()[0]
-    q = queries.filter(sound(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    q = q.dropDuplicates(["query_id"]).withColumn("dim", F.size("embedding"))
-    blocks = max(1, -(-q.count() // BLOCK))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0))))
-    parts = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-    hits = q.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInPandas(_answer, HITS)
+    q = participants(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
+    q = materialise(q.withColumn("dim", F.size("embedding")), "ann-queries")
+    lanes = max(1, -(-q.count() // LANE))
+    q = q.withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0))))
+    whole = F.struct("beam", "vectors", "exact", "ids", "n_ids", "members", "graphs").alias("index")
+    parts = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), whole)
+    rows = parts.unionByName(q, allowMissingColumns=True).select("dim", "shard", "lane", "query_id", "embedding", "index")
+    keys = ["dim", "shard", "lane"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("query_id").asc_nulls_first())
+    hits = rows.mapInArrow(_answers, HITS)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
+
+
+def neighbours(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, rank, vec_id, score: the K nearest found of each row of `queries` (vec_id, embedding) among `embeddings`, the query's own id left out."""
+    return search(build(embeddings), queries)

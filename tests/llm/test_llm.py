@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galleyworks.llm import ann, fingerprint, html_extract, mixing, neardup, packing, secret_scan, token_count, toxicity
+from galleyworks.llm import fingerprint, html_extract, mixing, neardup, packing, secret_scan, token_count, toxicity
 
 from llm_cases import ODD, docs  # noqa: E402
 
@@ -168,24 +168,6 @@ def test_mixing(spark):
     assert mixing.mixed(df).select(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r.taken for r in rows)
 
 
-def test_neighbours(spark):
-    g = np.random.default_rng(1)
-    x = g.normal(size=(600, 16)).astype(np.float32)
-    x[100:300] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (5, x[5].tolist()), (760, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {}
-    for r in ann.neighbours(df, df.filter("vec_id % 20 = 0")).collect():
-        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    s = x.astype(np.float64) @ x.astype(np.float64).T
-    hits = 0
-    for q in range(0, 600, 20):
-        want = [int(i) for i in sorted(range(600), key=lambda i: (-s[q, i], i)) if i != q][:20]
-        hits += len(set(want) & {v for v, _ in got[q].values()})
-        assert len(got[q]) == 20 and all(abs(score - s[q, v]) < 1e-9 for v, score in got[q].values())
-    assert hits / 600 >= 0.97 and not {700, 720, 740, 760} & set(got)
-
-
 def test_token_count():
     pytest.importorskip("sentencepiece")
     from tokenizers import Tokenizer, models, normalizers
