@@ -6,23 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galleyworks.llm import fingerprint, html_extract, mixing, neardup, packing, secret_scan, token_count, toxicity
+from galleyworks.llm import fingerprint, mixing, neardup, packing, secret_scan, token_count, toxicity
 
 from llm_cases import ODD, docs  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-def test_html():
-    page = html_extract.Page("<nav>m</nav><article><h1>T &amp; u</h1><p>a <b>b</b>\n c<p>d<br>e</p><div class=ad>x</div><form>f</form></article><div class=comments><p>c</p></div><script>'</p>'</script><footer>z")
-    assert page.text(set()) == "T & u\na b c\nd e"
-
-
-def test_html_style_tree(spark):
-    body = lambda i: f"<div class=top>Welcome here</div><div class=c><p>{' '.join(f'w{(i * 7919 + k * k) % 10007}' for k in range(40))}</p></div><div class=b><p>All rights kept</p></div>"
-    rows = [(i, f"http://a.com/{i}", body(i)) for i in range(30)] + [(100, None, None), (101, "", "")]
-    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[100] == got[101] == "" and all("Welcome" not in got[i] and "rights" not in got[i] and got[i].startswith("w") for i in range(30))
-
-
 def test_packing(spark):
     df = docs(spark, [*ODD, *[(10 + i, "same text here", f"s{i % 3}") for i in range(9)]])
     rows = packing.pack(df, capacity=100).collect()
