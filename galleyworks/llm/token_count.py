@@ -7,9 +7,12 @@ good paths the one whose last piece is longest stays; a character without a piec
 the lowest score less 10; neighbouring unknown characters fuse; an unknown run counts its UTF-8
 bytes where the vocabulary has all byte pieces.
 
-Scores in the vocabulary must be whole numbers (as ranks are), so that sums are exact and a text
-can be cut wherever no piece can span: before each run of word-begin marks. A cut part is counted once
-and kept in a bounded table. Null and empty texts have 0 tokens. Every text is read whole.
+A text is cut wherever no piece can span: before each run of word-begin marks. A part is counted once
+and kept in a table of bounded size. Sums of whole scores (as ranks are) are exact. With fractional scores
+the library's sums run through the whole text and are rounded on the way; a part keeps the least margin by which any of its choices was made, and a text in which
+rounding could turn a choice is counted in one go, with the sums of the library in its order. So is every text if a piece of the
+vocabulary spans the begin of a word. Null and empty texts have 0 tokens. Every text is read whole; repeated rows count alike;
+an empty table gives an empty result; other columns pass through, but for one of the name of the result.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Parts whose counts a worker keeps.
-KEPT = 1 << 20
+#: Characters of all parts whose counts a worker keeps, and of one that is kept.
+KEPT, LONGEST_KEPT = 1 << 26, 256
+#: More than the relative error of a sum.
+ROUNDING = 2.0**-52
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -39,41 +44,52 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
     return pieces, n_bytes == 256
 
 
-class Counter(dict):
-    """Part of a text to its number of tokens."""
+class WordCounter:
+    """Numbers of tokens of texts in a vocabulary."""
 
     def __init__(self, pieces: list[tuple[str, float]], bytes_known: bool):
         import ahocorasick
 
-        if any(s != int(s) for _, s in pieces):
-            raise ValueError("scores must be whole numbers")
-        if any(MARK in p.lstrip(MARK) for p, _ in pieces):
-            raise ValueError("a piece spans the begin of a word")
+        self.exact = all(s == int(s) for _, s in pieces)
+        self.cuttable = not any(MARK in p.lstrip(MARK) for p, _ in pieces)
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.most = max(abs(self.unknown), *(abs(s) for _, s in pieces))
         self.bytes_known = bytes_known
-
-    def __missing__(self, part: str) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        n = self[part] = self.count(part)
-        return n
-
-    def count(self, text: str) -> int:
-        """Tokens on the best path through text."""
-        n = len(text)
+        self.kept: dict[str, tuple[int, float]] = {}
+        self.room = KEPT
+
+    def part(self, part: str) -> tuple[int, float]:
+        """Tokens and margin of a part, kept for the next time."""
+        if (found := self.kept.get(part)) is None:
+            found = self.count(part)
+            if len(part) <= LONGEST_KEPT:
+                self.room -= len(part) + 1
+                if self.room < 0:
+                    self.kept.clear()
+                    self.room = KEPT
+                self.kept[part] = found
+        return found
+
+    def count(self, text: str) -> tuple[int, float]:
+        """Tokens on the best path through text, and the least margin between a path and another to the same place."""
+        n, margin = len(text), float("inf")
         score, tokens, open_run = [0.0], [0], [False]
         pos, best, at, single = 1, None, 0, False
 
         def close() -> None:
             """Settle the end `pos`, all of whose pieces have been seen, and go to the next."""
-            nonlocal pos, best, at, single
+            nonlocal pos, best, at, single, margin
             unknown = False
-            if not single and (best is None or score[pos - 1] + self.unknown > best):
-                best, at, unknown = score[pos - 1] + self.unknown, pos - 1, True
+            if not single:
+                c = score[pos - 1] + self.unknown
+                if best is not None:
+                    margin = min(margin, abs(c - best))
+                if best is None or c > best:
+                    best, at, unknown = c, pos - 1, True
             if not unknown:
                 tokens.append(tokens[at] + 1)
             elif self.bytes_known:
@@ -88,46 +104,50 @@ class Counter(dict):
             while pos <= last:
                 close()
             c = score[pos - size] + s
-            if best is None or c > best:
+            if best is None:
                 best, at = c, pos - size
+            else:
+                margin = min(margin, abs(c - best))
+                if c > best:
+                    best, at = c, pos - size
             if size == 1:
                 single = True
         while pos <= n:
             close()
-        return tokens[n]
+        return tokens[n], margin
 
     def whole(self, text: str) -> int:
         """Tokens of a text after the mark is put before it and in place of each space."""
         if not text:
             return 0
+        marked = MARK + text.replace(" ", MARK)
+        if not self.cuttable:
+            return self.count(marked)[0]
         if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            return self.marked(MARK + text.replace(" ", MARK))
-        return sum(map(self.__getitem__, text.split(" ")))
-
-    def marked(self, text: str) -> int:
-        """As whole(), for a text with runs of marks: a part is a run and what follows it."""
-        total, a, n = 0, 0, len(text)
-        while a < n:
-            b = a
-            while b < n and text[b] == MARK:
-                b += 1
-            b = text.find(MARK, b)
-            b = n if b < 0 else b
-            part = text[a:b]
-            lone = part[1:] if part[0] == MARK and part[1:2] != MARK and len(part) > 1 else None
-            total += self[lone] if lone is not None else self.count(part)
-            a = b
+            parts = list(runs(marked))
+        else:
+            parts = [MARK + w for w in text.split(" ")]
+        total, least = 0, float("inf")
+        for part in parts:
+            n, margin = self.part(part)
+            total += n
+            least = min(least, margin)
+        if not self.exact and len(parts) > 1 and least <= 4 * len(marked) ** 2 * self.most * ROUNDING:
+            return self.count(marked)[0]
         return total
 
 
-class WordCounter(Counter):
-    """Keys are words without their mark."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        n = self[word] = self.count(MARK + word)
-        return n
+def runs(marked: str):
+    """The parts of a text: a run of marks and what follows it."""
+    a, n = 0, len(marked)
+    while a < n:
+        b = a
+        while b < n and marked[b] == MARK:
+            b += 1
+        b = marked.find(MARK, b)
+        b = n if b < 0 else b
+        yield marked[a:b]
+        a = b
 
 
 _loaded: dict[str, WordCounter] = {}

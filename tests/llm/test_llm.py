@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galleyworks.llm import fingerprint, mixing, neardup, packing, secret_scan, token_count, toxicity
+from galleyworks.llm import fingerprint, mixing, neardup, packing, secret_scan, toxicity
 
 from llm_cases import ODD, docs  # noqa: E402
 
@@ -156,21 +156,6 @@ def test_mixing(spark):
     assert mixing.mixed(df).select(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r.taken for r in rows)
 
 
-def test_token_count():
-    pytest.importorskip("sentencepiece")
-    from tokenizers import Tokenizer, models, normalizers
-
-    pieces, whole = token_count.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
-    least = min(s for _, s in pieces)
-    r = random.Random(3)
-    texts = ["".join(r.choice(["a", "the", "é", "  ", " ", "梦", "\n", "😀", "x▁", "ing", " \t"]) for _ in range(r.randint(0, 40))) for _ in range(500)] + ["word " * 2000]
-    for known in (True, False):
-        model = Tokenizer(models.Unigram([("<unk>", least), *pieces, *([(f"<0x{i:02X}>", least) for i in range(256)] if known else [])], 0, known))
-        model.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
-        count = token_count.WordCounter(pieces, known)
-        assert [count.whole(t) for t in texts] == [len(e.ids) for e in model.encode_batch(texts, add_special_tokens=False)]
-
-
 def test_fingerprints(spark):
     rows = [(i, f"{i} " + " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(80)), "a") for i in range(40)] + ODD[:2] + [(7, "repeated id", "a")]
     got = fingerprint.edited_fingerprints(docs(spark, rows)).collect()
