@@ -11,6 +11,8 @@ are nested: a larger target takes all that a smaller one took.
 Documents are never cut, so a source's taken words are within half of the document at its threshold of the
 target. Null texts have size 0; null sources are one source, last in order; documents of size 0 are
 taken as their hash says and add no words; rows alike in doc_id and text are taken or left together. Reruns agree.
+An empty table gives an empty mix; other columns pass through `mixed`, whatever their names. Sources are ranked by ranges and filled up by sums, so that
+a source of its own for every document is no more than another table.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleyworks.llm.scratch import materialise, small_side
+from galleyworks.llm.textkit import free_name
 
 WEIGHTS = (3, 1, 2)
 #: Words of the mix, as a multiple of all words.
@@ -41,26 +44,30 @@ def hash_of(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, sum(LEVELS) // 4), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size -> with weight and target, by filling up: sources in order of the level at which they are full.
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with nth: the place (from 0) of each row's source by code point, null last; each range of sources counts its own."""
+    spark = sizes.sparkSession
+    rows = sizes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    rows = materialise(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "mix-ranks")
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return rows.join(F.broadcast(counts), "part").withColumn("nth", F.col("at") + F.col("before")).drop("part", "at", "before")
+
 
-    sizes has a row per source; its windows see one row per source, not documents.
-    """
-    every = Window.partitionBy()
-    ranked = sizes.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+def targets(sizes: DataFrame) -> DataFrame:
+    """source, source_size -> with weight and target: sources whose share at the common level reaches their most are full, until none becomes so any more."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (F.col("nth") % len(WEIGHTS) + 1).cast("int"))
-    df = ranked.withColumn("weight", w).withColumn("most", F.col("source_size") * float(MOST_REPEATS)).withColumn("budget", F.sum("source_size").over(every) * BUDGET)
-    order = Window.orderBy(F.col("most") / F.col("weight"), "nth")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    # a source is full if the level of what is left, shared among it and those after it, reaches its own; so are all before it
-    df = df.withColumn("level", level)
-    df = df.withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
-    last = F.max(F.when(F.col("full"), F.struct(F.col("most") / F.col("weight"), F.col("nth")))).over(every)
-    df = df.withColumn("filled", F.coalesce(F.struct(F.col("most") / F.col("weight"), F.col("nth")) <= last, F.lit(False)))
-    final = F.min(F.when(~F.col("filled"), F.struct(F.col("most") / F.col("weight"), F.col("nth"), F.col("level")))).over(every)["level"]
-    return df.select("source", "source_size", "weight", F.when(F.col("filled"), F.col("most")).otherwise(F.col("weight") * final).alias("target"))
+    df = ranked(sizes).withColumn("weight", w).withColumn("most", F.col("source_size") * float(MOST_REPEATS)).drop("nth")
+    df = materialise(df, "mix-weights")
+    budget = float(df.agg(F.sum("source_size")).first()[0] or 0) * BUDGET
+    level, seen = -1.0, -1
+    while True:
+        # full sources stay full: the level only rises
+        full = F.col("most") <= F.lit(level) * F.col("weight")
+        n, used, rest = df.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if n == seen or not rest:
+            return df.select("source", "source_size", "weight", F.when(full, F.col("most")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
+        level, seen = (budget - used) / rest, n
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -120,8 +127,8 @@ def mix(documents: DataFrame) -> DataFrame:
 
 def mixed(documents: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns."""
-    goals = materialise(thresholds(sized := measured(documents), source_targets(sized)), "mix-final").select(F.col("source").alias("of_"), F.col("whole").alias("whole_"), F.col("threshold").alias("threshold_"))
-    own = documents.columns
-    df = documents.join(small_side(goals, SMALL), F.col("source").eqNullSafe(F.col("of_")))
-    times = F.least(F.col("whole_") + (hash_of(F.col("doc_id"), F.col("text")) < F.col("threshold_")).cast("long"), F.lit(MOST_REPEATS)).cast("int")
-    return df.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), times))).select(*own)
+    of, whole, threshold, copy = free_name(documents, "of", "whole", "threshold", "copy")
+    goals = materialise(thresholds(sized := measured(documents), source_targets(sized)), "mix-final").select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    df = documents.join(small_side(goals, SMALL), F.col("source").eqNullSafe(F.col(of)))
+    times = F.least(F.col(whole) + (hash_of(F.col("doc_id"), F.col("text")) < F.col(threshold)).cast("long"), F.lit(MOST_REPEATS)).cast("int")
+    return df.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in documents.columns])

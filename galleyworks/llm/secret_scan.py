@@ -8,9 +8,10 @@ base spans are always reported.
 
 A regular expression function gives matches without their places, so the text is also split by the
 same pattern: places are the running sums of the lengths of what is between and of the matches, both
-of which follow the same leftmost matching. All happens within the row: no shuffle, no join of texts.
-Null texts count as empty and have no spans; repeated rows give repeated results; other columns of
-the input are not read.
+of which follow the same leftmost matching. All happens within the row: no shuffle, no join of texts. Running sums go by blocks, and
+spans look for their partners in blocks that reach into their scope, so that a text with n spans costs n times the root of n.
+Null texts count as empty and have no spans; repeated rows give repeated results; spans of one start are in order of kind; an empty table gives an empty result; other columns of
+the input are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -33,21 +34,40 @@ SCOPE = 400
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def block_size(values: Column) -> Column:
+    return F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+
+
+def sums_before(values: Column) -> Column:
+    """For each of an array of numbers the sum of those before it, by sums of blocks."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+    def by_blocks(v: Column, size: Column) -> Column:
+        blocks = F.transform(F.filter(F.sequence(F.lit(0), F.size(v)), lambda j: j * size < F.size(v)), lambda j: total(F.slice(v, j * size + 1, size)))
+        before = let(blocks, lambda b: F.transform(b, lambda _, j: total(F.slice(b, F.lit(1), j))))
+        return let(before, lambda b: F.transform(v, lambda _, i: F.get(b, F.floor(i / size).cast("int")) + total(F.slice(v, (i - i % size + 1).cast("int"), i % size))))
+
+    return let(values, lambda v: let(block_size(v), lambda size: by_blocks(v, size)))
+
+
 def found(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Spans (start, rank of the kind, end) of the leftmost matches of pattern that `keep`(index) accepts."""
     rank = KINDS.index(kind)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), keep(text).alias("kept") if keep else F.transform(whole, lambda _: F.lit(True)).alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    kept = keep(text) if keep else F.transform(whole, lambda _: F.lit(True))
+    pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), kept.alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.coalesce(x["gap"], F.lit(0))
-        end = at + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(at.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.when(F.coalesce(x["kept"], F.lit(False)), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def placed(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["size"], F.lit(0)))
+        every = let(sums_before(lengths), lambda at: F.transform(p, lambda x, i: F.struct((F.get(at, i) + x["gap"]).cast("int").alias("start"), F.lit(rank).alias("rank"), (F.get(at, i) + x["gap"] + x["size"]).cast("int").alias("end"), x["kept"].alias("kept"))))
+        return F.transform(F.filter(every, lambda x: F.coalesce(x["kept"], F.lit(False))), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(pairs, placed)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -60,16 +80,37 @@ def together(a: Column, b: Column) -> Column:
     return (a["start"] <= b["end"] + SCOPE) & (b["start"] <= a["end"] + SCOPE) & ((a["end"] <= b["start"]) | (b["end"] <= a["start"]))
 
 
+def in_blocks(spans: Column) -> Column:
+    """Spans in order of start, in blocks with their reach."""
+
+    def cut(s: Column, size: Column) -> Column:
+        items = F.transform(F.filter(F.sequence(F.lit(0), F.size(s)), lambda j: j * size < F.size(s)), lambda j: F.slice(s, j * size + 1, size))
+        return F.transform(items, lambda b: F.struct(b.alias("spans"), F.get(b, F.lit(0))["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end")))
+
+    return let(F.array_sort(spans), lambda s: let(block_size(s), lambda size: cut(s, size)))
+
+
+def near(x: Column, blocks: Column, test) -> Column:
+    """Whether a span of in_blocks within SCOPE of x passes test(x, span)."""
+    return F.exists(blocks, lambda b: (b["start"] <= x["end"] + SCOPE) & (x["start"] <= b["end"] + SCOPE) & F.exists(b["spans"], lambda y: test(x, y)))
+
+
 def linked(weak: Column, *needs: Column) -> Column:
     """Weak spans that share their scope with a span of each of `needs`."""
 
-    def holds(x: Column) -> Column:
-        out = F.lit(True)
-        for other in needs:
-            out = out & F.exists(other, lambda y: together(x, y))
-        return out
+    def holding(w: Column, blocks: list[Column], rest: tuple[Column, ...]) -> Column:
+        if rest:
+            return let(in_blocks(rest[0]), lambda b: holding(w, [*blocks, b], rest[1:]))
+
+        def holds(x: Column) -> Column:
+            out = F.lit(True)
+            for b in blocks:
+                out = out & near(x, b, together)
+            return out
+
+        return F.filter(w, holds)
 
-    return F.filter(weak, holds)
+    return F.when(F.size(weak) > 0, holding(weak, [], needs)).otherwise(weak)
 
 
 def rendered(spans: Column) -> Column:
@@ -85,7 +126,8 @@ def scan(documents: DataFrame) -> DataFrame:
     df = df.select("doc_id", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], found(F.col("text"), IDENT, "ident").alias("ident"), found(F.col("text"), OPAQUE, "opaque").alias("opaque_all"), found(F.col("text"), ENDPOINT, "endpoint").alias("endpoint"))
     # a long hex string or assigned value is a base span already
     known = F.concat("assign", "access", "hex")
-    df = df.withColumn("opaque", F.filter("opaque_all", lambda x: ~F.exists(known, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))).drop("opaque_all")
+    apart = let(in_blocks(known), lambda b: F.filter("opaque_all", lambda x: ~near(x, b, lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"]))))
+    df = df.withColumn("opaque", F.when(F.size("opaque_all") > 0, apart).otherwise(F.col("opaque_all"))).drop("opaque_all")
     who = F.concat("access", "ident")
     df = df.withColumn("opaque", linked(F.col("opaque"), who))
     secret = F.concat("assign", "hex", "opaque")
