@@ -300,13 +300,14 @@ def open_links(members: DataFrame, labels: DataFrame, one: DataFrame, texts: Dat
     rows = tables.write(rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "neardup-rest")
     sizes = rows.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("set_"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set2_"))
     sizes = sizes.filter("least != most").withColumn("blocks", F.ceil(F.col("n") / SKETCHES).cast("int"))
-    sizes = sizes.groupBy("set_", "set2_", "n").agg(F.min(F.struct("band", "value", "blocks")).alias("s")).select("s.*")
+    sizes = tables.write(sizes.groupBy("set_", "set2_", "n").agg(F.min(F.struct("band", "value", "blocks")).alias("s")).select("s.*"), "neardup-classless")
     open_ = _grid(rows.join(sizes, ["band", "value"])).join(one.select("id", "sketch", "whole"), "id")
     near = tables.write(open_.groupBy("band", "value", "x", "y").applyInArrow(_near_by_sketch, "band int, value long, id long").distinct(), "neardup-open")
     tables.drop(rows)
     rows = near.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(one.select("id", "bands", "shingles"), "id")
     sizes = near.join(one.select("id", "shingles"), "id").groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
-    sizes = sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # written: the join is then no part of the aggregation's stage, and a bucket of very many members can be split
+    sizes = tables.write(sizes.select("band", "value", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "neardup-sizes")
     both = texts.join(_grid(rows.join(sizes, ["band", "value"])).drop("shingles").hint("merge"), "id")
     found = tables.write(both.groupBy("band", "value", "x", "y").applyInArrow(_block_verifier(idf, threshold), LINK), "neardup-open-links")
     tables.drop(near)
