@@ -1,7 +1,10 @@
-"""Column functions for urls, text, time and markup; all native expressions."""
+"""Column functions for urls, text, time and markup; native expressions but for unescape_all."""
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +59,25 @@ def unescape_html(value: Column) -> Column:
     return value
 
 
-def markup_text(html: Column) -> Column:
-    """Text of markup: script, style and noscript go, tags become spaces."""
+def unescape_all(value: Column) -> Column:
+    """Every named and numeric character reference of HTML5 decoded; beyond the few of unescape_html the standard library's table is needed."""
+
+    def decode(column: pa.Array) -> pa.Array:
+        return pa.array([html.unescape(v) if v and "&" in v else v for v in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(decode, "string")(value)
+
+
+def tagless(markup: Column) -> Column:
+    """Markup with a space for each tag, comment, script, style and noscript; character references stay."""
     for tag in ("script", "style", "noscript"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    html = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    return clean_text(unescape_html(html))
+        markup = F.regexp_replace(markup, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    return F.regexp_replace(F.regexp_replace(markup, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
+
+
+def markup_text(markup: Column) -> Column:
+    """Text of markup: script, style and noscript go, tags become spaces."""
+    return clean_text(unescape_html(tagless(markup)))
 
 
 def summary(text: Column, limit: int = SUMMARY_LIMIT) -> Column:
@@ -93,6 +109,17 @@ def display_time(value: Column) -> Column:
     return F.when(article_time(value).isNull(), value).when(clock != "", F.replace(clock, F.lit("T"), F.lit(" "))).otherwise(F.date_format(article_time(value), "yyyy-MM-dd HH:mm:ss"))
 
 
+def iso_time(value: Column) -> Column:
+    """ISO 8601 of a time in either grammar, in its own offset (Z as +00:00); empty if it is none."""
+    value = F.trim(value)
+    pattern = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?)?(Z|[+-]\d{2}:\d{2})?$"
+    part = lambda i, n=2: F.lpad(F.regexp_extract(value, pattern, i), n, "0")
+    fraction = F.rpad(F.regexp_extract(value, pattern, 7), 6, "0")
+    zone = F.regexp_replace(F.regexp_extract(value, pattern, 8), "^Z$", "+00:00")
+    whole = F.concat(part(1, 4), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""), zone)
+    return F.when(article_time(value).isNotNull(), whole).otherwise("")
+
+
 def positive_int(value: Column) -> Column:
     """First run of digits, if it is above 0."""
     n = F.regexp_extract(value, r"([0-9]+)", 1).try_cast("int")

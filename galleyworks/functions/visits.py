@@ -10,8 +10,9 @@ BOTS = r"(?i)bot|crawler|spider|slurp|bingpreview|facebookexternalhit|python-req
 PREFETCH = r"(?i)prefetch|prerender|preview"
 ARTICLE_ID = r"^[a-f0-9]{32}$"
 ZONE = "Asia/Shanghai"
-BROWSERS = (("Edg/", "Edge"), ("OPR/|Opera", "Opera"), ("Firefox/", "Firefox"), ("Chrome/", "Chrome"), ("Safari/", "Safari"))
-SYSTEMS = (("Windows", "Windows"), ("Mac OS X", "macOS"), ("Android", "Android"), ("iPhone|iPad", "iOS"), ("Linux", "Linux"))
+BROWSERS = ((r"Edg/(\d+)", "Microsoft Edge"), (r"OPR/(\d+)", "Opera"), (r"Chrome/(\d+)", "Chrome"), (r"Firefox/(\d+)", "Firefox"), (r"Version/(\d+).+Safari/", "Safari"))
+SYSTEMS = (("Windows NT 10", "Windows 10/11"), ("Windows NT", "Windows"), ("Mac OS X", "macOS"), ("iPhone|iPad|iPod", "iOS / iPadOS"), ("Android", "Android"), ("Linux", "Linux"))
+COOKIE_AGE = 34560000
 
 
 def ignored_reason(user_agent: Column, *headers: Column) -> Column:
@@ -30,6 +31,28 @@ def cookies(header: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def visitor_id() -> Column:
+    """A new random id."""
+    return F.uuid()
+
+
+def visitor_cookie(request_url: Column, visitor: Column, name: str = "visitor_id") -> Column:
+    """Set-Cookie of a visitor; secure where the request was."""
+    parts = [F.concat(F.lit(f"{name}="), visitor), F.lit("Path=/"), F.lit(f"Max-Age={COOKIE_AGE}"), F.lit("HttpOnly"), F.lit("SameSite=Lax"), F.when(request_url.rlike("^(?i:https):"), "Secure")]
+    return F.concat_ws("; ", *parts)
+
+
+def first_header_value(value: Column) -> Column:
+    """First item of a comma list that is not blank, else empty."""
+    return F.coalesce(F.get(F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != ""), F.lit(0)), F.lit(""))
+
+
+def visitor_ip(headers: Column, trusted: str = "cf-connecting-ip") -> Column:
+    """Address that the trusted header names; forwarded addresses, which clients can set, are not looked at."""
+    lower = F.transform_keys(headers, lambda k, _: F.lower(k))
+    return first_header_value(F.try_element_at(lower, F.lit(trusted)))
+
+
 def local_day(ts: Column) -> Column:
     """Calendar day in ZONE of a UTC time."""
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), ZONE))

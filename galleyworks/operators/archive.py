@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # After so many characters a block of so high a score, or a run of blocks of so high a sum, ends an article.
 CUT_AFTER, CUT_SCORE, CUT_RUN = 1200, 5, 8
+HARD_MARKERS = ["点击直达", "长按识别二维码", "百亿补贴", "同款好物", "拼多多搜", "二维码"]
+SOFT_MARKERS = ["官网价", "大促价", "元起", "补贴", "券包", "会场"]
+BRAND, PRODUCTS = "拼多多", ["iPhone", "MacBook", "茅台"]
 
 
 def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -44,6 +47,14 @@ def promo_score(text: Column, hard: list[str], soft: list[str]) -> Column:
     return score
 
 
+def block_promo_score(text: Column) -> Column:
+    """The score of a block by the archive's markers, 2 more for the brand and 1 for any of the products."""
+    product = F.lit(False)
+    for p in PRODUCTS:
+        product = product | text.contains(p)
+    return promo_score(text, HARD_MARKERS, SOFT_MARKERS) + F.when(text.contains(BRAND), 2).otherwise(0) + F.when(product, 1).otherwise(0)
+
+
 def tail_cut(blocks: Column, score) -> Column:
     """Index (from 0) at which an array of block texts is cut, null if it is not; one fold, no shuffle."""
     start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("run"), F.lit(None).cast("int").alias("cut"))
@@ -71,3 +82,37 @@ def ttl_misses(times: Column, ttl: int) -> Column:
         return F.struct(F.when(miss, t).otherwise(acc["since"]).alias("since"), (acc["n"] + miss.cast("long")).alias("n"))
 
     return F.aggregate(times, start, step, lambda acc: acc["n"])
+
+
+def running_totals(df: DataFrame, keys: list[str], values: dict[str, Column], time: str, tie: str) -> DataFrame:
+    """df with the running sum of each value by (time, tie) within keys, the row's own included.
+
+    Sums of minutes run first, a row for each minute and key; then each minute's rows run among themselves. So no key, and no day, is one task.
+    """
+    minute = F.date_trunc("minute", F.col(time))
+    rows = df.select("*", minute.alias("_minute"), *[v.alias(f"_own_{n}") for n, v in values.items()])
+    minutes = rows.groupBy(*keys, "_minute").agg(*[F.sum(f"_own_{n}").alias(f"_sum_{n}") for n in values])
+    earlier = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_minute").alias("_of_minute"), *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values])
+    at = F.col("_minute").eqNullSafe(F.col("_of_minute"))
+    for k in keys:
+        at = at & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    within = Window.partitionBy(*keys, "_minute").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(minutes, at).select(*df.columns, *[(F.col(f"_before_{n}") + F.sum(f"_own_{n}").over(within)).alias(n) for n in values])
+
+
+def first_visits(visits: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    """The tie of the first of each key by (time, tie); map-side combined."""
+    return visits.groupBy(*keys).agg(F.min(F.struct(time, tie)).alias("f")).select(F.col(f"f.{tie}").alias(tie))
+
+
+def snapshots(visits: DataFrame) -> DataFrame:
+    """visits (event_id, ts, day, visitor, page, article_id, counted) with the counters after each: site_pv of all time, site_uv of the day, article_pv of the article and null for the site's own. Hits that do not count read what the others left."""
+    first = first_visits(visits.filter("counted"), ["day", "visitor"], "ts", "event_id").withColumn("_first", F.lit(1))
+    df = visits.join(first, "event_id", "left")
+    one = F.col("counted").cast("int")
+    df = running_totals(df, [], {"site_pv": one}, "ts", "event_id")
+    df = running_totals(df, ["day"], {"site_uv": F.coalesce("_first", F.lit(0))}, "ts", "event_id")
+    article = F.col("page") == "article"
+    df = running_totals(df.withColumn("_article", F.when(article, F.col("article_id"))), ["_article"], {"article_pv": one}, "ts", "event_id")
+    return df.withColumn("article_pv", F.when(article, F.col("article_pv"))).drop("_first", "_article")

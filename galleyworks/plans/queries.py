@@ -233,9 +233,19 @@ def q_article_pv(spark, sf_dir):
 @query(VISITS + """, f AS (SELECT *, row_number() OVER (PARTITION BY day, visitor ORDER BY ts, event_id) = 1 AS first FROM c)
   SELECT event_id, count(*) OVER w AS day_pv, sum(first::INT) OVER w AS day_uv FROM f WINDOW w AS (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def q_running_counters(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("day", "visitor").orderBy("ts", "event_id")) == 1
-    w = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return counted_visits(spark, sf_dir).withColumn("first", first).select("event_id", F.count("*").over(w).alias("day_pv"), F.sum(F.col("first").cast("int")).over(w).alias("day_uv"))
+    visits = counted_visits(spark, sf_dir)
+    first = A.first_visits(visits, ["day", "visitor"], "ts", "event_id").withColumn("first", F.lit(1))
+    both = visits.join(first, "event_id", "left")
+    return A.running_totals(both, ["day"], {"day_pv": F.lit(1), "day_uv": F.coalesce("first", F.lit(0))}, "ts", "event_id").select("event_id", "day_pv", "day_uv")
+
+
+@query(VISITS + """, h AS (SELECT *, (reason = '')::INT AS counted FROM v WHERE valid),
+  f AS (SELECT *, CASE WHEN counted = 1 AND row_number() OVER (PARTITION BY day, visitor, counted ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS first FROM h)
+  SELECT event_id, sum(counted) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS site_pv, sum(first) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS site_uv,
+  CASE WHEN page = 'article' THEN sum(counted) OVER (PARTITION BY CASE WHEN page = 'article' THEN article_id END ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS article_pv FROM f""")
+def q_stats_snapshot(spark, sf_dir):
+    hits = visits(spark, sf_dir).filter("valid").withColumn("counted", F.col("reason") == "")
+    return A.snapshots(hits).select("event_id", "site_pv", "site_uv", "article_pv")
 
 
 @query("""SELECT page_id FROM pages WHERE trim(url) NOT IN (SELECT trim(url) FROM pages WHERE page_id % 4 = 0)""")
@@ -299,18 +309,20 @@ def q_ip_residential(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", iprisk.residential(F.expr(_USAGE), F.lit("")).alias("residential"))
 
 
-_FLAGS = {"is_tor": 7, "is_proxy": 11, "is_threat": 13, "is_datacenter": 3, "is_bogon": 5}
+_FLAGS = {"is_tor": 7, "is_proxy": 11, "is_threat": 13, "is_datacenter": 3, "is_bogon": 5, "top": 17}
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 'high' WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'mid' ELSE 'low' END AS risk FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0 THEN '高' WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN '中' ELSE '低' END AS risk FROM customer")
 def q_ip_risk(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", iprisk.risk({k: F.col("c_custkey") % n == 0 for k, n in _FLAGS.items()}).alias("risk"))
+    return table(spark, sf_dir, "customer").select("c_custkey", iprisk.risk({k: F.col("c_custkey") % n == 0 for k, n in _FLAGS.items() if k != "top"}, F.col("c_custkey") % _FLAGS["top"] == 0).alias("risk"))
 
 
 @query("""WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ok' WHEN c_custkey % 3 = 0 THEN 'not_configured' ELSE 'error' END AS a, CASE WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'error' END AS b, CASE WHEN c_custkey % 5 = 0 THEN 'not_configured' ELSE 'ok' END AS c
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
   n AS (SELECT c_custkey, (a = 'ok')::INT + (b = 'ok')::INT + (c = 'ok')::INT AS ok, (a = 'not_configured')::INT + (b = 'not_configured')::INT + (c = 'not_configured')::INT AS nc FROM s)
-  SELECT c_custkey, ok > 0 AS success, CASE WHEN ok = 3 THEN 'all ok' WHEN nc = 3 THEN 'none configured' WHEN ok + nc = 0 THEN 'all failed' WHEN ok = 0 THEN 'failed or not configured' WHEN ok + nc = 3 THEN 'some not configured' WHEN nc = 0 THEN 'some failed' ELSE 'mixed' END AS message FROM n""")
+  SELECT c_custkey, ok > 0 AS success, CASE WHEN ok = 3 THEN '已完成当前访问 IP 检测。' WHEN nc = 3 THEN '已识别当前访问 IP，但检测服务尚未配置，当前仅显示访问者 IP。'
+    WHEN ok = 0 AND nc = 0 THEN '已识别当前访问 IP，但检测服务暂时不可用。' WHEN ok = 0 THEN '已识别当前访问 IP，但仅有未配置或失败的检测项：未配置 ' || nc || ' 项，失败 ' || (3 - nc) || ' 项。'
+    ELSE '已识别当前访问 IP，已完成 ' || ok || ' 项检测，另有 ' || CASE WHEN nc = 0 THEN (3 - ok) || ' 项查询失败。' WHEN ok + nc = 3 THEN nc || ' 项未配置。' ELSE nc || ' 项未配置、' || (3 - ok - nc) || ' 项查询失败。' END END AS message FROM n""")
 def q_ip_overall(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     k = F.col("c_custkey")
@@ -329,13 +341,13 @@ def q_ip_cache_ttl(spark, sf_dir):
     return e.select("user_id", A.ttl_misses(F.col("times"), 3600).alias("misses"))
 
 
-_AGENT = "CASE event_id % 5 WHEN 0 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Safari/604' WHEN 1 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120' WHEN 2 THEN 'Mozilla/5.0 (X11; Linux) Firefox/120' WHEN 3 THEN 'Mozilla/5.0 (Linux; Android 14) Chrome/120 Safari/537' ELSE 'x' END"
+_AGENT = "CASE event_id % 5 WHEN 0 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Version/17 Mobile Safari/604' WHEN 1 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120' WHEN 2 THEN 'Mozilla/5.0 (X11; Linux) Firefox/120' WHEN 3 THEN 'Mozilla/5.0 (Linux; Android 14) Chrome/120 Safari/537' ELSE 'x' END"
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Safari' WHEN 1 THEN 'Edge' WHEN 2 THEN 'Firefox' WHEN 3 THEN 'Chrome' ELSE 'unknown' END AS browser, CASE event_id % 5 WHEN 0 THEN 'macOS' WHEN 1 THEN 'Windows' WHEN 2 THEN 'Linux' WHEN 3 THEN 'Android' ELSE 'unknown' END AS system FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Safari' WHEN 1 THEN 'Microsoft Edge' WHEN 2 THEN 'Firefox' WHEN 3 THEN 'Chrome' ELSE '未知' END AS browser, CASE event_id % 5 WHEN 0 THEN 'macOS' WHEN 1 THEN 'Windows 10/11' WHEN 2 THEN 'Linux' WHEN 3 THEN 'Android' ELSE '未知' END AS system FROM events""")
 def q_user_agent(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", F.expr(_AGENT).alias("ua"))
-    return df.select("event_id", V.first_of(V.BROWSERS, F.col("ua"), "unknown").alias("browser"), V.first_of(V.SYSTEMS, F.col("ua"), "unknown").alias("system"))
+    return df.select("event_id", V.first_of(V.BROWSERS, F.col("ua"), "未知").alias("browser"), V.first_of(V.SYSTEMS, F.col("ua"), "未知").alias("system"))
 
 
 @query("SELECT doc_id, md5(base64(encode(text))) AS digest, true AS same FROM documents")

@@ -8,6 +8,7 @@ from galleyworks.functions import text as T
 from galleyworks.functions import visits as V
 from galleyworks.operators import archive as A
 from galleyworks.operators import iprisk
+from galleyworks.plans import article_queries  # noqa: F401, adds its queries
 from galleyworks.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -70,7 +71,8 @@ def test_visits(spark):
     assert values(spark, lambda c: V.ignored_reason(c, F.lit("prefetch")), ["curl/8"]) == ["prefetch"]
     given = ["100.64.0.1", "100.128.0.1", "172.31.0.1", "172.32.0.1", "::1", "fe80::1", "2001:db8::1", "01.2.3.4", "1.2.3.999", "x"]
     assert values(spark, V.is_public_ip, given) == [False, True, False, True, False, False, True, True, False, False]
-    assert values(spark, lambda c: iprisk.residential(c, F.lit("")), ["ISP", "DCH", "Data Center/Web Hosting/Transit", "ISP/MOB"]) == [True, False, False, None]
+    assert values(spark, lambda c: iprisk.residential(c, F.lit("")), ["ISP", "DCH", "Data Center/Web Hosting/Transit", "ISP/MOB", "Web Hosting", " mob "]) == [True, False, False, None, None, True]
+    assert values(spark, lambda c: iprisk.residential(F.lit("ISP"), c), ["Hosting", "Data Centers"]) == [True, False]
 
 
 def test_ttl_and_tail_cut_against_loops(spark):
