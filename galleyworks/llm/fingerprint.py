@@ -12,6 +12,11 @@ sketch); two fingerprints are compared on the highest level on which both have e
 the share of common names among the lowest of their union.
 
 All functions work on many texts at once, laid end to end, and never across their bounds.
+
+Null texts are empty, and empty texts have an empty fingerprint; equal texts have equal ones. Null doc_ids come before all others; rows of one doc_id are in
+order of a hash of their text, then of the text; rows alike follow each other. A doc_id of very many rows (as null may be) is dealt by that hash, and rows
+alike among them are counted, so that it is no group of one task. One row follows itself; an empty table gives an empty result; other columns are not
+read, and may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galleyworks.llm.scratch import small_side
+from galleyworks.llm.scratch import materialise, small_side
 from galleyworks.llm.textkit import U, mix
 
 #: Levels of phrases (about 2.5, 16 and 40 code points), names kept of each, names that make a level comparable.
@@ -127,35 +132,55 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return (block + F.size(F.filter(F.slice(fine, block + 1, step), lambda b: b <= key))).cast("int")
 
 
+#: Parts of one doc_id at most.
+PARTS = 1 << 20
+
+
 def with_next(documents: DataFrame, per_partition: int = 8) -> DataFrame:
-    """documents as (key, text, doc_id, bucket, guest), dealt and sorted so that a row's successor in order of doc_id follows it.
+    """documents as (key, hash, text, doc_id, n, bucket, guest), dealt and sorted so that a row's successor in order of doc_id follows it; n rows are alike.
 
-    Ids are cut at their quantiles into buckets; each bucket also gets, as a guest, the first row of the
-    next one (the last bucket gets the first of all). One shuffle of the text, and no global sort. Null ids come
-    first, rows of one id in order of their text.
+    Ids are cut at their quantiles into buckets, and an id of more rows than a bucket should have into parts by the hash of the text. Each bucket also gets, as a guest, the first row of the
+    next one (the last bucket gets the first of all). One shuffle of the text, and no global sort.
     """
     spark = documents.sparkSession
-    ids = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(1).cast("bigint").alias("n"))
+    ids = rows.select("key", "hash")
     n = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    bounds = sorted(set(cuts)) or [LEAST]
-    firsts = sorted((r[0], r[1]) for r in ids.groupBy(_bucket(F.col("key"), bounds).alias("b")).agg(F.min("key")).collect())  # a row a bucket
-    order = [b for b, _ in firsts]
-    hosts = spark.createDataFrame([(k, order[i - 1]) for i, (_, k) in enumerate(firsts)] or [(LEAST, 0)], "key bigint, host int")
-    rows = documents.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id")
-    ).join(small_side(hosts, 1 << 20), "key", "left")
-    own = F.struct(_bucket(F.col("key"), bounds).alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))
-    rows = rows.withColumn("to", F.explode(F.when(F.col("host").isNotNull(), F.array(own, guest)).otherwise(F.array(own))))
-    rows = rows.select("key", "text", "doc_id", "to.*")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", "key", "text")
+    total, cuts = ids.agg(F.count("*"), F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()
+    share = max(total // n, 1)
+    # ids above twice a bucket's share: n / 2 at most
+    hot = {k: min(-(-c // share), PARTS) for k, c in ids.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > max(2 * share, 64)).collect()}
+    bounds = sorted(set(cuts or []) | set(hot) | {k + 1 for k in hot if k < (1 << 63) - 1}) or [LEAST]
+    bucket = _bucket(F.col("key"), bounds).cast("bigint") * PARTS
+    if hot:
+        parts = spark.createDataFrame(list(hot.items()), "hot bigint, parts bigint")
+        split = lambda df: df.join(F.broadcast(parts), F.col("key") == F.col("hot"), "left")
+        # the upper 31 bits of the hash, in the order of the hash, dealt evenly
+        place = F.coalesce(F.floor((F.shiftright("hash", 33) + (1 << 30)) * F.col("parts") / (1 << 31)), F.lit(0)).cast("bigint")
+        own = lambda df: split(df).withColumn("bucket", bucket + place)
+        whole = split(rows)
+        alike = whole.filter("parts IS NOT NULL").groupBy("key", "hash", "doc_id").agg(F.first("text").alias("text"), F.sum("n").alias("n"))
+        rows = whole.filter("parts IS NULL").select("key", "hash", "text", "doc_id", "n").unionByName(alike)
+    else:
+        own = lambda df: df.withColumn("bucket", bucket)
+    firsts = sorted((r[0], r[1][0], r[1][1]) for r in own(ids).groupBy("bucket").agg(F.min(F.struct("key", "hash"))).collect())  # a row a bucket
+    hosts = spark.createDataFrame([(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)] or [(LEAST, 0, 0)], "key bigint, hash bigint, bucket bigint")
+    guests = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    guests = guests.join(F.broadcast(hosts.select("key", "hash").distinct()), ["key", "hash"]).groupBy("key", "hash").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    guests = materialise(guests, "fingerprint-guests").join(F.broadcast(hosts), ["key", "hash"])
+    both = own(rows).select("key", "hash", "text", "doc_id", "n", "bucket", F.lit(False).alias("guest")).unionByName(guests.select("key", "hash", "text", "doc_id", F.lit(1).cast("bigint").alias("n"), "bucket", F.lit(True).alias("guest")))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "guest", "key", "hash", "text")
+
+
+#: Rows of a batch of results, at most.
+ROWS = 8192
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import sha256
 
-    def finished(docs: list[tuple[int | None, str]], follow: list[str]) -> pa.RecordBatch:
+    def finished(docs: list[tuple[int | None, str]], follow: list[str], times: list[int]) -> Iterator[pa.RecordBatch]:
         edited = []
         for (_, t), nxt in zip(docs, follow, strict=True):
             k = min(len(t) // 2, len(nxt)) if t else 0
@@ -170,7 +195,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             after[i] = s
         if n:
             after[n - 1] = last[0]
-        return pa.RecordBatch.from_pydict(
+        batch = pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array([d for d, _ in docs], pa.int64()), "n_chars": pa.array([len(t) for _, t in docs], pa.int64()),
                 "edited_sha256": [sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
@@ -178,33 +203,44 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "near_edited": pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)], pa.float64()), "near_next": pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)], pa.float64()),
             }
         )
+        if max(times) == 1:
+            yield batch
+            return
+        for i, many in enumerate(times):
+            while many:
+                part = min(many, ROWS)
+                yield batch.take(pa.array([i] * part))
+                many -= part
 
     docs: list[tuple[int | None, str]] = []
     follow: list[str] = []
+    times: list[int] = []
     held, size = None, 0  # held: a row that waits for its successor
     closed = None  # a bucket whose guest came
     for batch in batches:
-        for doc_id, text, bucket, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "guest")), strict=True):
+        for doc_id, text, n, bucket, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "n", "bucket", "guest")), strict=True):
             if guest and closed == bucket:
-                continue  # further rows of the next bucket's first id
+                continue
             if held is not None:
                 docs.append(held)
                 follow.append(text)
+                times.append(1)
                 size += len(held[1])
             held, closed = (None, bucket) if guest else ((doc_id, text), None)
+            if n > 1:  # rows alike: all but the last are followed by the next of them
+                docs.append(held)
+                follow.append(text)
+                times.append(n - 1)
+                size += len(text)
             if size >= CHUNK:
-                yield finished(docs, follow)
-                docs, follow, size = [], [], 0
+                yield from finished(docs, follow, times)
+                docs, follow, times, size = [], [], [], 0
     if docs:
-        yield finished(docs, follow)
+        yield from finished(docs, follow, times)
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
-    """Every document's fingerprint, and that of its text with the latter half taken from the next document.
-
-    Null texts are empty. Empty texts have an empty fingerprint. With one document, it follows itself.
-    Rows of equal doc_id are ordered by their text; other columns are not read.
-    """
+    """Every document's fingerprint, and that of its text with the latter half taken from the next document."""
     return with_next(documents).mapInArrow(_digests, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galleyworks.llm import fingerprint, neardup, packing, toxicity
+from galleyworks.llm import neardup, packing, toxicity
 
 from llm_cases import ODD, docs  # noqa: E402
 
@@ -128,20 +128,6 @@ def test_components(spark):
     assert {r.id: r.label for r in neardup.components(edges).collect()} == {**{i: 0 for i in range(21)}, 50: 50, 60: 50, 70: 50}
 
 
-def test_fingerprints(spark):
-    rows = [(i, f"{i} " + " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(80)), "a") for i in range(40)] + ODD[:2] + [(7, "repeated id", "a")]
-    got = fingerprint.edited_fingerprints(docs(spark, rows)).collect()
-    order = sorted(((i, t or "") for i, t, _ in rows))
-    want = set()
-    for k, (i, t) in enumerate(order):
-        after, n = order[(k + 1) % len(order)][1], len(t) // 2
-        want.add((i, hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
-    assert {(r.doc_id, r.edited_sha256) for r in got} == want and len(got) == len(rows)
-    text = " ".join(f"w{k * k % 9973}" for k in range(400))
-    a, b = fingerprint.sketches([text, "some words before it " + text])
-    assert fingerprint.likeness(a, b) > 0.8 and fingerprint.likeness(a, a) == 1.0
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
