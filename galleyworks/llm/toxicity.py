@@ -42,7 +42,7 @@ STEPS, RATE = 400, 1.0
 #: Share of the toxic class in the loss; clean documents that are lost weigh more than toxic ones that stay.
 TOXIC_SHARE = 0.35
 #: Bytes of a word that are one piece, and from one piece's begin to the next.
-PIECE, PIECE_STEP = 24, 16
+PIECE, PIECE_STEP = 12, 8
 SPLIT = r"[\p{Z}\p{P}\p{S}\p{C}_]+"
 
 
