@@ -21,8 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that this process made and did not remove.
+made: list[str] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables of `made`. What was made of them must be written itself: a lost executor's work is done again from it."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in made:
+            made.remove(p)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -47,12 +61,10 @@ class Tables:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             _, path = self.paths.pop(id(t), (None, None))
             if path:
-                path = jvm.org.apache.hadoop.fs.Path(path)
-                path.getFileSystem(conf).delete(path, True)
+                remove(self.spark, [path])
 
 
 def small_side(df: DataFrame, most: int, row_bytes: int = 1024) -> DataFrame:
