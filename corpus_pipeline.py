@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galleyworks.llm import mixing, neardup, packing, pii, toxicity
-from galleyworks.llm.scratch import materialise
+from galleyworks.llm import mixing, neardup, packing, pii, scratch, toxicity
 from galleyworks.session import prepare
 
 
@@ -46,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; each result is written, and what its stage wrote on the way, and the result before it, is removed then."""
+    docs, before = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        mark = len(scratch.made)
+        docs = scratch.materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        *on_the_way, result = scratch.made[mark:]
+        scratch.remove(spark, before + on_the_way)
+        before = [result]
     return docs
