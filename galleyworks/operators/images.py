@@ -23,6 +23,13 @@ def local_path(article: Column, source: Column, content_type: Column) -> Column:
     return F.when((kind == "") | F.lower(kind).startswith("image/"), F.concat(F.lit(M.LOCAL_IMAGES), article, F.lit("/"), F.md5(source), F.lit("."), extension))
 
 
+def to_download(articles: DataFrame, assets: DataFrame) -> DataFrame:
+    """id, source of the remote images whose (article_id, digest) the stored `assets` lack."""
+    wanted = remote_images(articles).withColumn("digest", F.md5("source"))
+    stored = assets.select(F.col("article_id").alias("id"), "digest").distinct()
+    return wanted.join(stored, ["id", "digest"], "left_anti").select("id", "source").distinct()
+
+
 def localise(articles: DataFrame, downloads: DataFrame) -> DataFrame:
     """articles (id, success, content_html and any more) with the images that `downloads` (source, content_type) has at local addresses.
 

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galleyworks.functions.text import article_time
 from galleyworks.operators.archive import last_wins
 
 
@@ -66,8 +67,21 @@ def cached_articles(rows: DataFrame, order: str) -> DataFrame:
     return last_wins(rows.filter(F.col("success") & (F.coalesce("url", F.lit("")) != "")), "url", order)
 
 
+def read_cache(spark: SparkSession, primary: str, legacy: str, schema: str) -> DataFrame:
+    """Cached articles (of `schema`, which has url, success and ord) in the primary place, or in the legacy one if there is nothing; the last success of each url."""
+    rows = whole_files(spark, primary)
+    if rows.isEmpty():
+        rows = whole_files(spark, legacy)
+    items = F.try_variant_get(F.try_parse_json("value"), "$.articles", "array<variant>")
+    objects = F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    listed = rows.select(F.posexplode(F.transform(objects, lambda x: F.try_variant_get(x, "$", f"struct<{schema}>"))).alias("ord", "a"))
+    return cached_articles(listed.select("ord", "a.*").filter("url IS NOT NULL"), "ord")
+
+
 def write_cache(articles: DataFrame, path: str) -> None:
-    """All articles, failures too; nulls keep their field."""
+    """All articles, failures too, the newest first where there is a publish_time; nulls keep their field."""
+    if "publish_time" in articles.columns:
+        articles = articles.orderBy(article_time(F.col("publish_time")).desc_nulls_last())
     articles.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 

@@ -79,10 +79,23 @@ def submit_new(links: DataFrame, seen: str, submit: Callable[[DataFrame], DataFr
     new = links.select("url").distinct().join(seen_links(spark, seen), "url", "left_anti")
     sent = submit(new).agg(F.sum("n")).first()[0] or 0
     if sent:
-        new.write.mode("append").parquet(seen)
+        new.withColumn("added_at", F.current_timestamp()).write.mode("append").parquet(seen)
+    spark.range(1).select(F.current_timestamp().alias("last_checked_at"), F.lit(sent).cast("long").alias("last_submitted_count")).write.mode("append").parquet(f"{seen.rstrip('/')}-checks")
     return sent
 
 
+def seen_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """url of the links seen, the newest additions first."""
+    if seen_links(spark, path).isEmpty():
+        return seen_links(spark, path)
+    return spark.read.schema("url string, added_at timestamp").parquet(path).orderBy(F.col("added_at").desc_nulls_last(), "url").select("url")
+
+
+def last_check(spark: SparkSession, seen: str) -> DataFrame:
+    """last_checked_at, last_submitted_count of the newest check of the watcher."""
+    return spark.read.parquet(f"{seen.rstrip('/')}-checks").orderBy(F.col("last_checked_at").desc()).limit(1)
+
+
 def watch(links: DataFrame, seen: str, submit: Callable[[DataFrame], DataFrame], checkpoint: str, interval: int | None = None):
     """A running query over a stream of url: every `interval` seconds (at least 60) or, without one, once over what is there."""
     writer = links.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: submit_new(batch, seen, submit))

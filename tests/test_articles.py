@@ -5,8 +5,9 @@ from galleyworks.functions import pages as P
 from galleyworks.functions import text as T
 from galleyworks.functions import visits as V
 from galleyworks.operators import archive as A
-from galleyworks.operators import iprisk
+from galleyworks.operators import images, iprisk
 from galleyworks.sources import files
+from galleyworks.streaming import streams
 
 LONG = "word " * 20
 
@@ -132,3 +133,28 @@ def test_running_totals_over_minutes(spark):
     got = {r.event_id: r.total for r in A.running_totals(df, ["k"], {"total": F.col("v")}, "ts", "event_id").collect()}
     for i, t, k, _ in rows:
         assert got[i] == sum(v for j, u, h, v in rows if h == k and (u, j) <= (t, i))
+
+
+def test_caches(spark, tmp_path):
+    schema = "url string, success boolean, title string"
+    legacy = tmp_path / "legacy.json"
+    legacy.write_text('{"articles":[{"url":"a","success":true,"title":"1"},{"url":"a","success":true,"title":"2"},{"url":"b","success":false},7,{"success":true}]}')
+    rows = files.read_cache(spark, f"file://{tmp_path}/none.json", f"file://{legacy}", schema).collect()
+    assert [(r.url, r.title) for r in rows] == [("a", "2")]
+    df = spark.createDataFrame([(str(i), f"2024-01-{i:02d} 00:00:00" if i else "soon") for i in range(9)], "url string, publish_time string")
+    files.write_cache(df, f"file://{tmp_path}/cache")
+    assert [r.url for r in spark.read.schema("url string").json(f"file://{tmp_path}/cache").collect()] == ["8", "7", "6", "5", "4", "3", "2", "1", "0"]
+
+
+def test_stored_images_are_not_fetched(spark):
+    articles = spark.createDataFrame([("p", True, '<img src="http://i/a.png"><img src="http://i/b.png"><img src="http://i/a.png">')], "id string, success boolean, content_html string")
+    assets = spark.createDataFrame([("p", "http://i/a.png"), ("q", "http://i/b.png")], "article_id string, s string").select("article_id", F.md5("s").alias("digest"))
+    assert [(r.id, r.source) for r in images.to_download(articles, assets).collect()] == [("p", "http://i/b.png")]
+
+
+def test_checks_of_the_watcher(spark, tmp_path):
+    seen, links = f"file://{tmp_path}/seen", lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    submit = lambda new: new.agg(F.count("*").alias("n"))
+    assert streams.seen_in_order(spark, seen).isEmpty() and streams.submit_new(links("a", "b"), seen, submit) == 2 and streams.submit_new(links("b", "c"), seen, submit) == 1
+    assert [r.url for r in streams.seen_in_order(spark, seen).collect()] == ["c", "a", "b"]
+    assert streams.submit_new(links("a"), seen, submit) == 0 and streams.last_check(spark, seen).first().last_submitted_count == 0
