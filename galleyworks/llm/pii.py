@@ -192,15 +192,17 @@ def number(body: Column, hexes: Column, attempt: Column) -> Column:
             .otherwise(F.char(byte(hexes, nth) % 26 + 65))
         )
 
-    made = F.transform(signs, drawn)
-    plain = F.array_join(made, "")
-    card = body.rlike(r"^\d{12,19}$") & (luhn(signs) == 0)
-    short = F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0)))
-    with_luhn = F.concat(F.array_join(short, ""), ((10 - luhn(F.concat(short, F.array(F.lit("0"))))) % 10).cast("string"))
-    account = body.rlike(ACCOUNT) & (mod97(body) == 1)
-    zeroed = F.concat(F.substring(plain, 1, 2), F.lit("00"), F.substr(plain, F.lit(5)))
-    with_97 = F.concat(F.substring(plain, 1, 2), F.lpad((98 - mod97(zeroed)).cast("string"), 2, "0"), F.substr(plain, F.lit(5)))
-    return F.concat(F.when(body.startswith("+"), "+").otherwise(""), F.when(card, with_luhn).when(account, with_97).otherwise(plain))
+    def checked(made: Column) -> Column:
+        plain = F.array_join(made, "")
+        card = body.rlike(r"^\d{12,19}$") & (luhn(signs) == 0)
+        short = F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0)))
+        with_luhn = F.concat(F.array_join(short, ""), ((10 - luhn(F.concat(short, F.array(F.lit("0"))))) % 10).cast("string"))
+        account = body.rlike(ACCOUNT) & (mod97(body) == 1)
+        zeroed = F.concat(F.substring(plain, 1, 2), F.lit("00"), F.substr(plain, F.lit(5)))
+        with_97 = F.concat(F.substring(plain, 1, 2), F.lpad((98 - mod97(zeroed)).cast("string"), 2, "0"), F.substr(plain, F.lit(5)))
+        return F.concat(F.when(body.startswith("+"), "+").otherwise(""), F.when(card, with_luhn).when(account, with_97).otherwise(plain))
+
+    return F.get(F.transform(F.array(F.transform(signs, drawn)), checked), F.lit(0))
 
 
 def rendered(e: Column, s1: Column, s2: Column) -> Column:
@@ -274,11 +276,12 @@ def pseudonymise(documents: DataFrame, key: str = "surrogate-key-1", text: str =
         df = df.withColumn(of, F.when(F.col(found).isNotNull(), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))).join(small_side(again, 100_000), of, "left")
         attempt = lambda v: F.coalesce(F.get(F.filter(F.col(attempts), lambda a: a["value"] == v), F.lit(0))["attempt"], F.lit(0))
 
-    def replaced(e: Column) -> Column:
-        made_of = lambda v: F.when(v.isNotNull(), surrogate(v, digest(v, key, attempt(v)), attempt(v)))
-        return rendered(e, made_of(e["v1"]), made_of(e["v2"]))
-
-    df = df.withColumn(new, F.transform(made, replaced))
+    # in steps: what a later one names more than once is computed once
+    keyed = lambda e: F.struct(e["found"].alias("found"), e["kind"].alias("kind"), *[x for i in "12" for x in (e[f"v{i}"].alias(f"v{i}"), attempt(e[f"v{i}"]).alias(f"a{i}"))])
+    hashed = lambda e: F.struct(e["found"].alias("found"), e["kind"].alias("kind"), *[x for i in "12" for x in (e[f"v{i}"].alias(f"v{i}"), e[f"a{i}"].alias(f"a{i}"), digest(e[f"v{i}"], key, e[f"a{i}"]).alias(f"h{i}"))])
+    drawn_of = lambda e, i: F.when(e[f"v{i}"].isNotNull(), surrogate(e[f"v{i}"], e[f"h{i}"], e[f"a{i}"]))
+    made_of = lambda e: F.struct(e["found"].alias("found"), e["kind"].alias("kind"), drawn_of(e, 1).alias("s1"), drawn_of(e, 2).alias("s2"))
+    df = df.withColumn(new, F.transform(F.transform(F.transform(F.transform(made, keyed), hashed), made_of), lambda e: rendered(e, e["s1"], e["s2"])))
     parts = F.arrays_zip(F.split(F.col(text), F.col(pattern), -1).alias("gap"), F.col(new).alias("new"))
     whole = F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
     df = df.withColumn(text, F.when(F.col(found).isNotNull(), whole).otherwise(F.col(text)))
