@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, dtype=bool)
