@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galleyworks.llm import ann, fingerprint, html_extract, mixing, neardup, packing, pii, secret_scan, token_count, toxicity
+from galleyworks.llm import ann, fingerprint, hard_negatives, html_extract, mixing, neardup, packing, pii, prefix_trie, secret_scan, simhash, token_count, toxicity
 from galleyworks.llm.oracles import ORACLES
 from galleyworks.session import prepare
 
@@ -65,9 +65,26 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.scaled(embeddings.withColumn("label", label)), F.col("vec_id") % 50 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_best_fit_packing, op3_toxicity, op4_minhash_near_dedup, op5_secret_scan, op6_source_mixing, op7_pii_surrogates, op8_nearest_neighbours, op9_token_count, op10_fingerprints)
+    for f in (
+        op1_html_extraction, op2_best_fit_packing, op3_toxicity, op4_minhash_near_dedup, op5_secret_scan, op6_source_mixing, op7_pii_surrogates, op8_nearest_neighbours, op9_token_count, op10_fingerprints,
+        op11_simhash_near_dedup, op12_hard_negatives, op13_prefix_trie,
+    )
 }
 
 __all__ = ["ORACLES", "QUERIES"]
