@@ -243,8 +243,9 @@ def nodes(turns: DataFrame, convs: DataFrame, tables: Tables | None = None) -> D
 
     at_l = rows.select(F.col("idx").alias("l"), F.col("lcp").alias("l_lcp"), "of_left", F.col("len").alias("l_len"), "sha", "suf", (F.col("cum_w") - F.col("w")).alias("w_before"), (F.col("cum_leaf") - F.col("leaf")).alias("leaf_before"))
     at_r = rows.select(F.col("idx").alias("r"), "pre", "cum_w", "cum_leaf")
-    # where an interval ends in another block than it begins, suf and pre are of its two ends
-    least = F.coalesce("lo", F.least("suf", "pre", F.arrow_udf(between, "long")("l", "r")))
+    # an open interval ends with its block, or in another one than it begins in: suf and pre are of its two ends
+    ends_block = F.floor(F.col("l") / size) == F.floor(F.col("r") / size)
+    least = F.coalesce("lo", F.when(ends_block, F.col("suf")).otherwise(F.least("suf", "pre", F.arrow_udf(between, "long")("l", "r"))))
     tree = tree.join(at_l, "l").join(at_r, "r").select(
         "l", "v", "r", "u", least.alias("conv_id"), (F.col("cum_w") - F.col("w_before")).alias("n_convs"), (F.col("cum_leaf") - F.col("leaf_before")).alias("n_leaves"), (F.col("joins") + (F.col("l_len") > F.col("v")).cast("long")).alias("n_children"),
         F.when(F.col("u") > F.col("l_lcp"), F.col("l")).otherwise(F.col("of_left")).alias("of_l"), F.when(F.col("l_len") == F.col("v"), F.col("sha")).otherwise(F.sha2(F.lit(""), 256)).alias("sha"), "l_len", F.col("sha").alias("l_sha"),
