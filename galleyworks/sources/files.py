@@ -1,4 +1,4 @@
-"""Readers and writers of link registries, caches and rendered pages."""
+"""Readers and writers of link documents, caches and rendered pages."""
 
 from __future__ import annotations
 
@@ -88,43 +88,3 @@ def write_cache(articles: DataFrame, path: str) -> None:
 def write_pages(pages: DataFrame, path: str) -> None:
     """article_id, html below one of 256 folders by the id's first two digits, so that a page is found without a scan of all."""
     pages.withColumn("part", F.substring("article_id", 1, 2)).write.mode("overwrite").partitionBy("part").parquet(path)
-
-
-class Registry:
-    """A registry of links as versions below a path; a version is written once, so that of two writers of one version the second begins anew."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def version(self) -> int:
-        """The newest version, 0 for none."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], "url string, created_at string, source string, ord long")
-        return self.spark.read.parquet(f"{self.path}/v{version}")
-
-    def add(self, links: DataFrame, created_at: str, source: str = "submit_page", attempts: int = 3) -> int:
-        """Append those of links (ord, url) that are new, in their order; how many. A conflict begins anew on the then newest version, `attempts` times at most."""
-        for attempt in range(attempts):
-            version = self.version()
-            old = self.read(version)
-            new = links.select(F.trim("url").alias("url"), F.col("ord").cast("long").alias("ord")).filter(F.coalesce("url", F.lit("")) != "").groupBy("url").agg(F.min("ord").alias("ord"))
-            new = new.join(old.select("url"), "url", "left_anti")
-            if new.isEmpty():
-                return 0
-            least, most = new.agg(F.min("ord")).first()[0], old.agg(F.max("ord")).first()[0]
-            placed = new.select("url", F.lit(created_at).alias("created_at"), F.lit(source).alias("source"), (F.col("ord") - least + (most if most is not None else -1) + 1).alias("ord"))
-            try:
-                old.select("url", "created_at", "source", "ord").unionByName(placed).write.mode("errorifexists").parquet(f"{self.path}/v{version + 1}")
-                return new.count()
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_ALREADY_EXISTS" or attempt == attempts - 1:
-                    raise
-        return 0
