@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galleyworks.operators.order import numbered
+
 # After so many characters a block of so high a score, or a run of blocks of so high a sum, ends an article.
 CUT_AFTER, CUT_SCORE, CUT_RUN = 1200, 5, 8
 HARD_MARKERS = ["点击直达", "长按识别二维码", "百亿补贴", "同款好物", "拼多多搜", "二维码"]
@@ -68,6 +70,12 @@ def tail_cut(blocks: Column, score) -> Column:
     return F.aggregate(blocks, start, step, lambda acc: acc["cut"])
 
 
+def positions(articles: DataFrame, time: Column, *tie: str) -> DataFrame:
+    """articles with `position`, from 1 in the archive's order: the newest `time` first, those without one last, equal times by `tie` (an order of its own, or rows of one time come in any order)."""
+    placed = numbered(articles.withColumn("_time", time), F.col("_time").desc_nulls_last(), *tie, name="position", keep=articles.columns)
+    return placed.withColumn("position", F.col("position") + 1)
+
+
 def chunks(df: DataFrame, order: str, size: int, group: str) -> DataFrame:
     """df with `chunk`, numbering batches of `size` rows within a group in order."""
     return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size).cast("long"))
@@ -106,9 +114,15 @@ def first_visits(visits: DataFrame, keys: list[str], time: str, tie: str) -> Dat
     return visits.groupBy(*keys).agg(F.min(F.struct(time, tie)).alias("f")).select(F.col(f"f.{tie}").alias(tie))
 
 
-def snapshots(visits: DataFrame) -> DataFrame:
-    """visits (event_id, ts, day, visitor, page, article_id, counted) with the counters after each: site_pv of all time, site_uv of the day, article_pv of the article and null for the site's own. Hits that do not count read what the others left."""
-    first = first_visits(visits.filter("counted"), ["day", "visitor"], "ts", "event_id").withColumn("_first", F.lit(1))
+def snapshots(visits: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """visits (event_id, ts, day, visitor, page, article_id, counted) with the counters after each: site_pv of all time, site_uv of the day, article_pv of the article and null for the site's own. Hits that do not count read what the others left.
+
+    seen: day, visitor of those that were there before all of visits.
+    """
+    counted = visits.filter("counted")
+    if seen is not None:
+        counted = counted.join(seen, ["day", "visitor"], "left_anti")
+    first = first_visits(counted, ["day", "visitor"], "ts", "event_id").withColumn("_first", F.lit(1))
     df = visits.join(first, "event_id", "left")
     one = F.col("counted").cast("int")
     df = running_totals(df, [], {"site_pv": one}, "ts", "event_id")

@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from galleyworks.shared import new_path
 
 #: How long a visitor's mark and a cached result live.
 MARK_LIFE, RESULT_LIFE = "3 days", 3600
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = tempfile.mkdtemp(prefix="spark-shared-")  # no cluster has named one
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def first_visits(visits: DataFrame) -> DataFrame:
     """The first row of each (day, visitor) of a stream with ts; marks go after MARK_LIFE, as no later row bears their day."""
     return visits.withWatermark("ts", MARK_LIFE).dropDuplicatesWithinWatermark(["day", "visitor"])
@@ -33,32 +27,86 @@ def page_counts(visits: DataFrame) -> DataFrame:
     return visits.groupBy("page", "article_id").agg(F.count("*").alias("pv"))
 
 
-def _lookups(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(frames)).sort_values(["second", "request"], kind="stable")
-    since = state.get[0] if state.exists else None
-    hits = []
-    for second, debug in zip(rows["second"], rows["debug"], strict=True):
-        hit = since is not None and second - since < RESULT_LIFE and not debug
-        hits.append(hit)
-        if not hit:
-            since = int(second)
-    state.update((since,))
-    if state.getCurrentWatermarkMs() < (since + RESULT_LIFE) * 1000:
-        state.setTimeoutTimestamp((since + RESULT_LIFE) * 1000)
-    yield pd.DataFrame({"ip": key[0], "request": rows["request"], "hit": hits})
-
-
-def cached_lookups(requests: DataFrame) -> DataFrame:
-    """ip, request, hit of a stream with ip, request, ts and debug: whether a result less than RESULT_LIFE seconds old was there.
-
-    Only what was looked up anew is written, so hits prolong nothing; debug skips the reading but not the writing.
-    A key's rows of one micro-batch are sorted in memory: bound the batch by the source's own limit.
+NEVER = np.iinfo(np.int64).max
+
+
+def _first_requests(frame: pd.DataFrame) -> np.ndarray:
+    """A row for each second, ascending: second, least request that may be served from the cache, least one that may not (NEVER for none)."""
+    second, request, debug = (frame[c].to_numpy() for c in ("second", "request", "debug"))
+    return _merged(np.stack([second, np.where(debug, NEVER, request), np.where(debug, request, NEVER)], axis=1))
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    start = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+    return np.concatenate([rows[start, :1], np.minimum.reduceat(rows[:, 1:], start)], axis=1)
+
+
+def looked_up(rows: np.ndarray, since: int | None) -> tuple[list[tuple[int, int]], int | None]:
+    """(second, request) of those that find no result, and since when the last result lives. rows: see _first_requests.
+
+    Requests of a second come in their order: one that may not be served from the cache renews the result for those after it.
+    """
+    out, i, renews = [], 0, np.flatnonzero(rows[:, 2] != NEVER)
+    while i < len(rows):
+        if since is not None and rows[i, 0] - since < RESULT_LIFE:
+            # the next second in which the result is too old, or renewed
+            later = int(np.searchsorted(rows[:, 0], since + RESULT_LIFE))
+            k = int(np.searchsorted(renews, i))
+            renewed = int(renews[k]) if k < len(renews) else len(rows)
+            if renewed >= later:
+                i = max(later, i)
+                continue
+            i = renewed
+        elif rows[i, 1] < rows[i, 2]:
+            out.append((int(rows[i, 0]), int(rows[i, 1])))
+        since = max(int(rows[i, 0]), since) if since is not None else int(rows[i, 0])
+        i += 1
+    return out, since
+
+
+class ResultCache(StatefulProcessor):
+    """When the result of a key was written last; the state goes when the result is too old."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.since = handle, handle.getValueState("since", "since long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        told = lambda pairs: pd.DataFrame({"ip": key[0], "request": [r for _, r in pairs], "second": [s for s, _ in pairs]}).astype({"ip": object, "request": "int64", "second": "int64"})
+        held = np.zeros((0, 3), np.int64)
+        for frame in rows:
+            anew = frame[frame["debug"]]
+            if len(anew):
+                yield told(list(zip(anew["second"], anew["request"])))
+            held = _merged(np.concatenate([held, _first_requests(frame)]))
+        before = self.since.get()[0] if self.since.exists() else None
+        missed, since = looked_up(held, before)
+        if since != before:
+            self.since.update((since,))
+            # a result of the past goes at the next batch
+            self.handle.registerTimer(max((since + RESULT_LIFE) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        if missed:
+            yield told(missed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.since.exists() and (self.since.get()[0] + RESULT_LIFE) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.since.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def cached_lookups(requests: DataFrame, late: str = "1 hour") -> DataFrame:
+    """ip, request, second of those requests of a stream (ip, request, ts, debug) that find no result less than RESULT_LIFE seconds old, and so are looked up anew; all others are served from the cache.
+
+    Only what was looked up anew is written, so hits prolong nothing; debug skips the reading but not the writing. The rows of a key and micro-batch are folded in
+    order of time, equal seconds by request; of them a task holds three numbers for each second in which there are any, however many requests come in it.
+    The state, one number a key, is in RocksDB, which the session is set to; rows later than `late` are dropped.
     """
-    rows = requests.withWatermark("ts", "1 hour").select("ip", "request", F.unix_seconds("ts").alias("second"), "debug", "ts")
-    return rows.groupBy("ip").applyInPandasWithState(_lookups, "ip string, request long, hit boolean", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = requests.withWatermark("ts", late).select("ip", F.col("request").cast("long").alias("request"), F.unix_seconds("ts").alias("second"), F.coalesce("debug", F.lit(False)).alias("debug"), "ts")
+    return rows.groupBy("ip").transformWithStateInPandas(ResultCache(), "ip string, request long, second long", "Append", "EventTime")
 
 
 def seen_links(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +153,7 @@ def watch(links: DataFrame, seen: str, submit: Callable[[DataFrame], DataFrame],
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What a stream makes of all that is there now, as a table in the shared folder."""
     spark = stream.sparkSession
-    out = shared_folder(spark, name)
+    out = new_path(spark, name)
     write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")

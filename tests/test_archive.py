@@ -8,7 +8,7 @@ from galleyworks.functions import text as T
 from galleyworks.functions import visits as V
 from galleyworks.operators import archive as A
 from galleyworks.operators import iprisk
-from galleyworks.plans import article_queries  # noqa: F401, adds its queries
+from galleyworks.plans import article_queries, client_queries, store_queries  # noqa: F401, add their queries
 from galleyworks.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
