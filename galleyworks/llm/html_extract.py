@@ -8,9 +8,10 @@ importance (entropies to the base of the number of pages). The importance of a b
 that of the branches below, level by level from the leaves up. A second pass parses each page again and removes branches of low importance.
 
 Marks move an importance before it is held against LEAST_IMPORTANCE: being inside an article raises it, being outside on a page that has one lowers it, and so does a class of which
-some words are those of boilerplate. Elements of fewer than LEAST_PAGES pages have no importance of their own and get UNKNOWN: there the marks decide. Beyond
+some words are those of boilerplate, or, inside an article, all of them. Elements of fewer than LEAST_PAGES pages have no importance of their own, and what is not certain stays: they get UNKNOWN, which all marks
+together do not bring under LEAST_IMPORTANCE, as they shift by LEAST_SHIFT at most. Beyond
 the tree, whatever their importance, go: elements that by tag or role are no text of an article (navigation, footers, forms, hidden ones), and
-those of a class or id all of whose words name boilerplate (adverts and reader comments differ on every page, so that no entropy can tell them from text), unless the article is in them.
+those of a class or id all of whose words name boilerplate, unless the article is in them; inside an article only those of which a word is in ALWAYS (adverts and reader comments differ on every page, so that no entropy can tell them from text).
 
 Only numbers leave the first pass. The importances of a host's elements form one list, which reaches the pages by a broadcast if all lists together
 are small and otherwise by a join on the host and a salt, so that a host of very many pages is dealt over SALTS tasks.
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from galleyworks.llm.scratch import materialise
 
-GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.3, 4
+GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.3, 3
 #: Importance of elements that too few pages have; what marks add: inside an article, outside of the page's article, a class that partly names boilerplate.
-UNKNOWN, INSIDE, OUTSIDE, PARTLY = 0.7, 0.25, -0.45, -0.5
+UNKNOWN, INSIDE, OUTSIDE, PARTLY, LEAST_SHIFT = 1.0, 0.25, -0.45, -0.5, -0.6
 #: Siblings alike that have a place of their own, at each end; depth below which elements count as their ancestor.
 EDGE, DEEPEST = 2, 48
 #: Bytes of all hosts' lists up to which they are broadcast; parts in which a host's pages are dealt otherwise.
@@ -51,11 +52,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NOISE = frozenset(
     "nav navbar navigation menu submenu topbar breadcrumb breadcrumbs sidebar sidenav widget widgets footer masthead ad ads adv advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing sharebar social related recommended recommendations pagination pager skip toolbar copyright disclaimer".split()
 )
+ALWAYS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments commentlist disqus respond replies".split())
 HEADERS = frozenset("header".split())
 #: Words that say nothing about what is in a class or id.
 PLAIN = frozenset("box block container wrapper wrap inner outer content section area item items list row col column top bottom left right middle center first last main site page global large small mobile desktop js is has the for and of on in".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']+|"[^"<]*"|'[^'<]*'|["'])*+)(?:>|(?=<)|\Z))""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']+|"[^"<]*"|'[^'<]*'|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|["'])*+)(?:>|(?=<)|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _WORDS = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
@@ -133,7 +135,7 @@ class Page:
             if name == "body" and any(t == "head" for t, _ in stack):
                 close(1)
             if name in VOID or name not in BLOCK:
-                if name in ("br", "img", "input"):
+                if name == "br":
                     words.append(" ")
                 elif name == "hr":
                     flush()
@@ -173,7 +175,7 @@ class Page:
                         words = [w for w in _WORDS.findall(label) if not w.isdigit()]
                         bad = [w in NOISE or (w in HEADERS and not inside) for w in words]
                         if any(bad):
-                            whole |= all(n or w in PLAIN for n, w in zip(bad, words, strict=True))
+                            whole |= all(n or w in PLAIN for n, w in zip(bad, words, strict=True)) and (not inside or not ALWAYS.isdisjoint(words))
                             part = True
                 elif k == "role":
                     signature += f" role={v}"
@@ -251,7 +253,7 @@ class Page:
         has_main = any(m and not n & 3 for m, n in zip(self.main, self.noise, strict=True))
         kept = [True] * len(self.tag)
         for i in range(1, len(self.tag)):
-            weight = known.get(key[i], UNKNOWN) + PARTLY * bool(self.noise[i] & 4) + (INSIDE if self.main[i] else OUTSIDE if has_main else 0)
+            weight = known.get(key[i], UNKNOWN) + max(LEAST_SHIFT, PARTLY * bool(self.noise[i] & 4) + (INSIDE if self.main[i] else OUTSIDE if has_main else 0))
             weak = self.noise[i] & 1 or weight < LEAST_IMPORTANCE
             kept[i] = kept[self.up[i]] and not self.noise[i] & 2 and not (weak and not held[i])
         # text that no block element holds is outside of any article

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 from llm_cases import clashing
@@ -17,7 +18,7 @@ def extracted(spark, bodies, host="a.com", more=()):
 def test_one_page():
     page = Page("<nav>m</nav><article><h1>T &amp; u</h1><p>a <b>b</b>\n c<p>d<br>e</p><div class=ad>x</div><form>f</form></article><div class=comments><p>c</p></div><script>'</p>'</script><footer>z")
     assert page.text() == "T & u\na b c\nd e"
-    assert Page("<div class='ad-box'>x</div><div class='social-history'><p>y</p></div><p>z <math>1</math></p>").text() == "z 1"
+    assert Page("<div class='ad-box'>x</div><div class='social-history'><p>y</p></div><p>z <math>1</math></p>").text() == "y\nz 1"  # what is not certain stays
     assert Page("<p>" + "long " * 200_000 + "</p>").text() == ("long " * 200_000).strip()
     assert Page("<div>" * 3000 + "deep" + "</div>" * 3000).text() == "deep"
 
@@ -29,8 +30,43 @@ def test_unmarked_boilerplate_goes_and_text_in_odd_classes_stays(spark):
     assert got[100] == got[101] == ""
     for i in range(30):
         assert got[i] == f"{WORDS(i)}\nmore {WORDS(i + 500, 9)}"
-    # one page alone has no tree: marks decide
-    assert got[102] == "Welcome to our site since 1997\nAll rights kept"
+    # one page alone has no tree: what is not certain stays
+    assert got[102] == f"Welcome to our site since 1997\n{WORDS(7)}\nmore {WORDS(507, 9)}\nAll rights kept"
+
+
+def test_small_hosts_keep_their_stories(spark):
+    """The story stays on hosts of any size, and what all pages share goes from three pages on."""
+    body = lambda i: f"<div>Welcome to our site</div><div class='social-history'><p>{WORDS(i)}</p></div><article><p>{WORDS(i + 50)}</p></article>"
+    for n in (1, 2, 3, 4, 9):
+        got = extracted(spark, [body(i) for i in range(n)], host=f"h{n}.com")
+        for i in range(n):
+            story = f"{WORDS(i)}\n{WORDS(i + 50)}"
+            assert got[i] in (story, f"Welcome to our site\n{story}") and (n < 3 or got[i] == story)
+
+
+def test_words_for_boilerplate_inside_an_article():
+    """Share, related and alert can be what an article is about; adverts and comments cannot."""
+    page = Page("<article><p>a</p><div class=share><p>Market share rose</p></div><div class=related><p>b</p></div><section id=alert><p>c</p></section><div class='ad box'>x</div><div class=comments><p>y</p></div></article><div class=share><p>z</p></div>")
+    assert page.text() == "a\nMarket share rose\nb\nc"
+
+
+def test_removal_equals_a_plain_tree(spark):
+    """Which blocks of a small host stay, from importances of whole paths."""
+    bodies = [f"<article><div class=x><p>{WORDS(i)}</p><p>Read more about this every day</p></div></article><div class=t><p>{'Same words here' if i % 2 else 'Other words here'}</p></div><div class=u><p>{WORDS(i + 30)}</p></div>" for i in range(12)]
+    texts = {}
+    for b in bodies:
+        for path, t in zip(("x1", "x2", "t", "u"), re.findall("<p>(.*?)</p>", b)):
+            texts.setdefault(path, []).append(t)
+    spread = {p: -sum(n / 12 * math.log(n / 12, 12) for n in Counter(t).values()) for p, t in texts.items()}
+    shift = {"x1": html_extract.INSIDE, "x2": html_extract.INSIDE, "t": html_extract.OUTSIDE, "u": html_extract.OUTSIDE}
+    stay = [p for p in texts if spread[p] + shift[p] >= html_extract.LEAST_IMPORTANCE]
+    got = extracted(spark, bodies)
+    assert stay == ["x1", "u"] and all(got[i] == "\n".join(texts[p][i] for p in stay) for i in range(12))
+
+
+def test_attributes_and_inline_elements():
+    assert Page('<p title="x < y">hello</p>').text() == "hello" and Page("<p title='a <b> c' class=k>hello</p>").text() == "hello"
+    assert Page('<p title="x>hello</p><a href="y">z</a>').text() == "hello\nz" and Page("<p>foo<img src=a>bar<br>baz</p>").text() == "foobar baz"
 
 
 def test_repeated_notice_in_an_article_goes_and_story_outside_stays(spark):
