@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleyworks.llm.textkit import U, chunks, flat, mix, shingles, span_hashes, word_spans
@@ -248,8 +248,18 @@ def score_batch(column: pa.Array, scores: np.ndarray, bias: float) -> tuple[np.n
     return chance(tops), chance(means)
 
 
+def fitting(rows: list, most: int) -> list[tuple]:
+    """Of rows (doc_id, toxic, bytes, hash, order) those of each class that `most` bytes hold, by order: one that does not fit is passed over. If none fits, the least of a class is there, unless `most` is 0."""
+    out = []
+    for kind in (0, 1):
+        own, left = sorted((r for r in rows if r["toxic"] == kind), key=lambda r: (r["order"], r["doc_id"])), most
+        taken = [r for r in own if r["bytes"] <= left and (left := left - r["bytes"]) >= 0]
+        out += taken or sorted(own, key=lambda r: (r["bytes"], r["order"]))[: most > 0]
+    return [(r["doc_id"], r["toxic"], r["bytes"], r["hash"]) for r in out]
+
+
 def sample(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """doc_id, toxic, text of the labelled rows that train: `per_class` of each class with the lowest hashes of doc_id, as far as `sample_bytes` hold their texts."""
+    """doc_id, toxic, text of the labelled rows that train: `per_class` of each class with the lowest hashes of doc_id, without those that no longer fit in `sample_bytes` of texts; a class with rows is never empty."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text").cast("long")).withColumn("hash", F.xxhash64("text"))
@@ -258,8 +268,8 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
         part = usable.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     sizes = texts.select("doc_id", "bytes", "hash").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("bytes", "hash")).alias("s")).select("doc_id", "toxic", "s.*")
-    upto = F.sum("bytes").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # per_class rows of numbers at most
-    sizes = sizes.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).drop("upto")
+    chosen = fitting(sizes.withColumn("order", F.xxhash64("doc_id")).collect(), sample_bytes)  # per_class rows of numbers a class at most
+    sizes = documents.sparkSession.createDataFrame(chosen, sizes.schema)
     return texts.join(F.broadcast(sizes), ["doc_id", "bytes", "hash"]).dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
 
 

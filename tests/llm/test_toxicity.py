@@ -111,3 +111,12 @@ def test_labels_of_one_class_reject_nothing(spark):
     for rows in ([(i, 1) for i in range(20)], []):
         m = toxicity.fit(d, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert toxicity.with_score(d, m).filter("toxicity.score >= 0.5").isEmpty()
+
+
+def test_a_text_over_the_bound_is_passed_over():
+    """One that does not fit, in front of its class, does not keep the others out; no class is empty."""
+    rows = [{"doc_id": i, "toxic": i % 2, "bytes": 10, "hash": i, "order": i} for i in range(2, 52)] + [{"doc_id": 1, "toxic": 1, "bytes": 10_000, "hash": 1, "order": 0}]
+    kept = toxicity.fitting(rows, 200)
+    assert sum(1 for r in kept if r[1] == 0) == sum(1 for r in kept if r[1] == 1) == 20 and all(r[0] != 1 for r in kept)
+    only = toxicity.fitting([{"doc_id": 1, "toxic": 1, "bytes": 500, "hash": 1, "order": 0}, {"doc_id": 2, "toxic": 1, "bytes": 400, "hash": 1, "order": 1}], 200)
+    assert [r[0] for r in only] == [2] and toxicity.fitting(rows, 0) == []
