@@ -17,6 +17,8 @@ an empty table gives an empty result; other columns pass through, but for one of
 
 from __future__ import annotations
 
+from sys import getsizeof
+
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Characters of all parts whose counts a worker keeps, and of one that is kept.
-KEPT, LONGEST_KEPT = 1 << 26, 256
+#: Bytes of all parts whose counts a worker keeps, what one takes besides its text, and characters of one that is kept.
+KEPT, KEPT_EACH, LONGEST_KEPT = 64 << 20, 240, 256
 #: More than the relative error of a sum.
 ROUNDING = 2.0**-52
 
@@ -67,7 +69,7 @@ class WordCounter:
         if (found := self.kept.get(part)) is None:
             found = self.count(part)
             if len(part) <= LONGEST_KEPT:
-                self.room -= len(part) + 1
+                self.room -= getsizeof(part) + KEPT_EACH
                 if self.room < 0:
                     self.kept.clear()
                     self.room = KEPT

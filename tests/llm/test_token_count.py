@@ -64,3 +64,17 @@ def test_table(spark):
     count = token_count.WordCounter(pieces, known)
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got.collect()) == sorted((i or -1, count.whole(t or "")) for i, t, _ in ODD)
     assert token_count.with_token_count(df.filter("false"), PATH).isEmpty()
+
+
+def test_kept_parts_are_bounded_in_bytes(monkeypatch):
+    """What is kept after very many different parts takes the bytes that are allowed, about."""
+    import tracemalloc
+
+    monkeypatch.setattr(token_count, "KEPT", 4 << 20)
+    counter = token_count.WordCounter([("\u2581", -1.0), ("a", -2.0), ("b", -2.0)], True)
+    tracemalloc.start()
+    for i in range(60_000):
+        counter.whole(f"w{i:07d}")
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1.3 * (4 << 20) and len(counter.kept) < 30_000
