@@ -131,8 +131,11 @@ def packed_texts(documents: DataFrame, cluster: Column | None = None, capacity:
     found = _pieces(documents, cluster, capacity, shard_rows)
     text = F.coalesce("text", F.lit(""))
     texts = documents.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    # a word with the white space before it; what follows the last word belongs to the last piece
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("start") + 1).cast("int"), F.col("n_words").cast("int")), "")
-    tail = F.when(F.col("last"), F.regexp_extract("text", r"[\x20\x09-\x0D]*\z", 0)).otherwise("")
-    part = F.when(F.col("last") & (F.col("start") == 0), F.col("text")).otherwise(F.concat(words, tail))
-    return found.join(texts.hint("merge"), ["h1", "h2"]).select(*COLUMNS, part.alias("text"))
+    # each text is cut once: a word with the white space before it; what follows the last word belongs to the last piece
+    whole = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / capacity) - 1), lambda p: F.array_join(F.slice(w, (p * capacity + 1).cast("int"), F.lit(capacity)), ""))
+    pieces = F.when(size_of(F.col("text")) <= capacity, F.array("text")).otherwise(F.flatten(F.transform(F.array(whole), cut)))
+    texts = materialise(texts.select("h1", "h2", F.posexplode(pieces).alias("nth", "part"), F.regexp_extract("text", r"[\x20\x09-\x0D]*\z", 0).alias("tail")), "packing-texts")
+    part = F.concat("part", F.when(F.col("last") & (F.col("start") > 0), F.col("tail")).otherwise(""))
+    at = (F.floor(F.col("start") / capacity)).cast("int")
+    return found.withColumn("nth", at).join(texts.hint("merge"), ["h1", "h2", "nth"]).select(*COLUMNS, part.alias("text"))

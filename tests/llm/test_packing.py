@@ -74,3 +74,19 @@ def test_a_source_of_a_third_of_all_rows(spark):
     for b in bins.values():
         b.sort(key=lambda x: (x.bin_start, x.n_words))
         assert [x.bin_start for x in b] == [sum(y.n_words for y in b[:k]) for k in range(len(b))]
+
+
+def test_pieces_of_very_long_and_of_shared_texts(spark):
+    """A text of 10^6 words is cut once, not once a piece; a text that very many rows share is joined like others."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    long = " ".join(["w"] * 1_000_000) + "  "
+    rows = spark.createDataFrame([(1, long, "a")], "doc_id long, text string, source string")
+    rows = rows.unionByName(spark.range(3000).select((F.col("id") + 10).alias("doc_id"), F.lit(" one text\n of all ").alias("text"), F.lit("b").alias("source")))
+    began = time.time()
+    got = packing.packed_texts(rows).select("doc_id", "piece", "start", "text").collect()
+    assert time.time() - began < 120
+    assert "".join(r.text for r in sorted((r for r in got if r.doc_id == 1), key=lambda r: r.start)) == long
+    assert len(got) == 3000 + max(r.piece for r in got) + 1 and {r.text for r in got if r.doc_id != 1} == {" one text\n of all "}
