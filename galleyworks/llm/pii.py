@@ -27,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galleyworks.llm import scratch
 from galleyworks.llm.scratch import materialise, small_side
 from galleyworks.llm.textkit import free_name
 
 # Patterns, titles and names.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}(?![\p{L}\p{N}-])"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
@@ -259,8 +260,24 @@ def redrawn(values: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"values clash after {ROUNDS} draws: a range of surrogates is full")
 
 
-def pseudonymise(documents: DataFrame, key: str = "surrogate-key-1", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
-    """documents with every entity of `text` replaced, and `chars` (where there is such a column) counted anew."""
+def pseudonymise(documents: DataFrame, key: str, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+    """documents with every entity of `text` replaced, and `chars` (where there is such a column) counted anew. Who knows the key can find a value's surrogate: keep it secret.
+
+    Tables that hold values on the way are removed when the result is returned or an error raised; the one that the result still reads has keyed hashes of values.
+    """
+    spark, mark, kept = documents.sparkSession, len(scratch.made), []
+    try:
+        return _pseudonymised(documents, key, text, chars, kept)
+    finally:
+        scratch.remove(spark, [p for p in scratch.made[mark:] if p not in kept])
+
+
+def named(value: Column, key: str) -> Column:
+    """A keyed hash of a value."""
+    return F.sha2(F.concat(F.lit(f"{key}#name#"), value), 256)
+
+
+def _pseudonymised(documents: DataFrame, key: str, text: str, chars: str | None, kept: list[str]) -> DataFrame:
     own = documents.columns
     words, pattern, found, made, of, attempts, new = free_name(documents, "words", "pattern", "found", "made", "of", "attempts", "new")
     # the values of each text, once for the corpus: further steps need no second search of the texts
@@ -271,10 +288,11 @@ def pseudonymise(documents: DataFrame, key: str = "surrogate-key-1", text: str =
     attempt = lambda v: F.lit(0)
     if not drawn.isEmpty():
         # texts that hold a redrawn value find its attempt by their hash
-        again = held.select("h1", "h2", F.explode("values").alias("value")).join(small_side(drawn, 100_000, 256), "value").distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("value", "attempt")).alias(attempts))
+        again = held.select("h1", "h2", F.explode("values").alias("value")).join(small_side(drawn, 100_000, 256), "value").distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct(named(F.col("value"), key).alias("value"), "attempt")).alias(attempts))
         again = materialise(again.select(F.struct("h1", "h2").alias(of), attempts), "pii-again")
+        kept.append(scratch.made[-1])
         df = df.withColumn(of, F.when(F.col(found).isNotNull(), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))).join(small_side(again, 100_000), of, "left")
-        attempt = lambda v: F.coalesce(F.get(F.filter(F.col(attempts), lambda a: a["value"] == v), F.lit(0))["attempt"], F.lit(0))
+        attempt = lambda v: F.coalesce(F.get(F.filter(F.col(attempts), lambda a: a["value"] == named(v, key)), F.lit(0))["attempt"], F.lit(0))
 
     # in steps: what a later one names more than once is computed once
     keyed = lambda e: F.struct(e["found"].alias("found"), e["kind"].alias("kind"), *[x for i in "12" for x in (e[f"v{i}"].alias(f"v{i}"), attempt(e[f"v{i}"]).alias(f"a{i}"))])

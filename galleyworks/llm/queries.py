@@ -11,6 +11,8 @@ from galleyworks.llm import ann, fingerprint, hard_negatives, html_extract, mixi
 from galleyworks.llm.oracles import ORACLES
 from galleyworks.session import prepare
 
+#: The key of op7's surrogates over the test tables; a corpus of one's own needs a secret one.
+SURROGATE_KEY = "surrogate-key-1"
 #: The unigram vocabulary of op9; a path on the driver.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -49,7 +51,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

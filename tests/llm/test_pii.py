@@ -5,17 +5,19 @@ import pytest
 from llm_cases import ODD, clashing, docs
 from pyspark.sql import functions as F
 
-from galleyworks.llm import pii
+from galleyworks.llm import pii, scratch
+
+KEY = "a test's key"
 
 
 def replaced(spark, texts, **more):
-    got = pii.pseudonymise(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), **more).collect()
+    got = pii.pseudonymise(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), KEY, **more).collect()
     return [r.text for r in sorted(got, key=lambda r: r.doc_id)]
 
 
 def test_personal_data(spark):
     texts = [None, "", "no data here v1.2.3.4.5", "Mail JOE@x.com and joe@x.com", "Mr. John Smith, Frau Müller", "call +1 (487) 555-7209 or 10.2.3.4", "4111 1111 1111 1111 / 4111-1111-1111-1111"]
-    got = [r.text for r in pii.pseudonymise(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymise(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), KEY).orderBy("doc_id").collect()]
     assert got[:3] == texts[:3]
     mails = re.findall(r"\S+@\S+", got[3])
     assert len(set(mails)) == 1 and mails[0].endswith(".example")
@@ -34,7 +36,7 @@ def test_personal_data_spelled_with_and_without_separators(spark):
         ["+49 30 1234 5678", "+493012345678", "+49 301 234 5678"],
     ]
     rows = [(10 * g + k, f"see {m}", "a") for g, mentions in enumerate(groups) for k, m in enumerate(mentions)]
-    got = {r.doc_id: r.text[4:] for r in pii.pseudonymise(docs(spark, rows)).collect()}
+    got = {r.doc_id: r.text[4:] for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
     plain = lambda t: re.sub("[^A-Z0-9]", "", t)
     seen = set()
     for g, mentions in enumerate(groups):
@@ -108,9 +110,29 @@ def test_surrogates_avoid_real_values(spark):
 
 def test_odd_rows(spark):
     df = clashing(docs(spark, [*ODD, (9, "joe@x.com", "a"), (9, "joe@x.com", "a")]), "of", "words", "pattern", "found", "made", "attempts", "new", "h1", "value")
-    got = pii.pseudonymise(df)
+    got = pii.pseudonymise(df, KEY)
     assert got.columns == df.columns and got.count() == len(ODD) + 2
     rows = got.filter("doc_id = 9").collect()
     assert rows[0] == rows[1] and rows[0].n_chars == len(rows[0].text) and rows[0].found == "own found"
     assert got.filter("doc_id = 3").first().text == "word " * 30000 and got.filter("doc_id = 1").first().text is None
-    assert pii.pseudonymise(df.filter("false")).isEmpty() and got.filter(F.col("text").contains("joe@")).isEmpty()
+    assert pii.pseudonymise(df.filter("false"), KEY).isEmpty() and got.filter(F.col("text").contains("joe@")).isEmpty()
+
+
+def test_nothing_clear_is_left_behind(spark):
+    """After the result is there, no table in the shared folder holds a value, also where values clash and are drawn again."""
+    mails = [f"user{i}@mail.de" for i in range(40)] + [f"10.{i}.{k}.7" for i in range(40) for k in range(30)]
+    df = docs(spark, [(i, f"write to {m} now", "a") for i, m in enumerate(mails)])
+    mark = len(scratch.made)
+    got = [r.text for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+    left = scratch.made[mark:]
+    assert len(set(got)) == len(mails) and not any(m in t for m, t in zip(mails, got))
+    for path in left:
+        held = " ".join(str(r) for r in spark.read.parquet(path).collect())
+        assert "again" in path and not any(m in held or m.split("@")[0] in held for m in mails)
+    with pytest.raises(TypeError):
+        pii.pseudonymise(df)
+
+
+def test_addresses_in_letters_of_all_scripts(spark):
+    got = replaced(spark, ["mail ünal@beispiel.de and иван@почта.рф"])[0]
+    assert "ü" not in got and "nal" not in got and "иван" not in got and got.count("@") == 2
