@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleyworks.llm import mixing, neardup, packing, pii, scratch, toxicity
+from galleyworks.llm.queries import SURROGATE_KEY
 from galleyworks.session import prepare
 
 
@@ -24,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates in their texts and n_chars counted anew. Null texts stay null, empty ones empty; equal texts change alike; extra columns pass, whatever their names."""
     prepare(spark)
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, SURROGATE_KEY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
