@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galleyworks.functions import text as T
@@ -12,13 +12,49 @@ from galleyworks.functions import text as T
 # Wordings and formats.
 ARCHIVE_SOURCE, ARCHIVE_HOST = "微信公众号", "mp.weixin.qq.com"
 ACCOUNT, AUTHOR, SOURCE, PUBLISHED, FETCHED, STATE, FETCH_FAILED, SITE = "公众号", "作者", "来源", "发布时间", "抓取时间", "状态", "抓取失败", "站点"
-NO_SOURCE, SOURCE_TITLE, SEE_SOURCE, NO_SUMMARY = "来源未识别", "原文来源", "查看原文", "阅读全文。"
+NO_SOURCE, SOURCE_TITLE, SEE_SOURCE = "来源未识别", "原文来源", "查看原文"
 UNTITLED, DETAILS, SITE_NAME = "未命名文章", "文章详情", "公开文章归档"
 NO_ARTICLES = "暂无成功归档的文章。请通过管理员提交页添加公开文章链接。"
 HIDDEN_FAILURES = "另有 %d 条链接暂未归档成功，已从公开列表中隐藏。"
 COUNTS = "共 %d 条链接，成功归档 %d 篇"
 DESCRIPTION = "%s 的归档页，保留原文来源与抓取信息。"
 SCHEMA = "https://schema.org"
+INDEX_DESCRIPTION = "手动收录公开文章链接，优先适配微信公众号文章，提供稳定的归档阅读页与原文入口。"
+# Markup of the pages around what an archive fills in (%s).
+HOME_LINK = '      <p><a href="/">返回首页</a></p>\n'
+ARTICLE_COUNTS = """
+      <div class="stats-inline">
+        <span class="meta-item"><span class="meta-key">阅读量</span><span id="article-pv" class="meta-value">加载中...</span></span>
+        <span id="article-stats-status" class="stats-status">正在准备统计...</span>
+      </div>"""
+SOURCE_LINK = ('      <p class="links"><a href="', '" target="_blank" rel="noopener noreferrer">查看原文链接</a></p>\n')
+INDEX_TOP = """    <header class="site-header">
+      <h1 class="site-title">公开文章归档</h1>
+      <p class="site-desc">手动收录公开文章链接，优先适配微信公众号文章，提供更稳定的归档阅读页与原文入口。</p>
+      <div class="toolbar">
+        <span class="meta">共 %d 条链接，成功归档 %d 篇</span>
+        <div class="toolbar-actions">
+          <a class="button secondary" href="/visitor-ip">访问 IP 检测工具</a>
+          <a class="button secondary" href="/submit">管理员入口</a>
+        </div>
+      </div>
+      %s
+    </header>
+    <section class="summary-panel" aria-label="站点概览">
+      <div class="summary-grid">
+        <span class="summary-stat"><strong>%d 条</strong><span>收录</span></span>
+        <span class="summary-stat"><strong>%d 篇</strong><span>归档</span></span>
+        <span class="summary-stat"><strong id="site-pv">-</strong><span>浏览</span></span>
+        <span class="summary-stat"><strong id="site-uv">-</strong><span>今日访客</span></span>
+      </div>
+      <p id="site-stats-status" class="help stats-status">正在准备统计...</p>
+    </section>
+    <section class="panel">
+      <header class="panel-header">
+        <h2 class="section-title">最新归档</h2>
+        <p class="help">首页仅展示成功归档的文章，原文链接会继续保留在详情页中。</p>
+      </header>
+"""
 
 
 @dataclass
@@ -92,7 +128,7 @@ def detail_source_card(a: Article) -> Column:
 
 def article_summary(a: Article, limit: int = T.SUMMARY_LIMIT) -> Column:
     text = T.clean_text(a.content_text)
-    return F.when(text == "", NO_SUMMARY).when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit), F.lit(T.SUMMARY_STRIP)), F.lit("...")))
+    return F.when(text == "", T.EMPTY_SUMMARY).when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit), F.lit(T.SUMMARY_STRIP)), F.lit("...")))
 
 
 def article_data(a: Article, base: str) -> Column:
@@ -142,8 +178,8 @@ def article_page(a: Article, base: str) -> Column:
     source = F.coalesce(F.nullif(a.account_name, F.lit("")), F.nullif(a.source_host, F.lit("")), F.lit(SITE_NAME))
     content = F.when(a.success, a.content_html).otherwise(F.concat(F.lit('<p class="result error">'), T.escape_html(F.coalesce(F.nullif(a.error, F.lit("")), F.lit(FETCH_FAILED))), F.lit("</p>")))
     body = F.concat(
-        F.lit('    <article class="article">\n      <h1 class="site-title">'), T.escape_html(F.coalesce(F.nullif(a.title, F.lit("")), F.lit(UNTITLED))), F.lit('</h1>\n      <div class="meta">\n        '), article_meta(a),
-        F.lit('\n      </div>\n      <div class="source-card">\n        '), detail_source_card(a), F.lit('\n      </div>\n      <div class="article-body">\n'), content, F.lit("\n      </div>\n    </article>"),
+        F.lit('    <article class="article">\n' + HOME_LINK + '      <h1 class="site-title">'), T.escape_html(F.coalesce(F.nullif(a.title, F.lit("")), F.lit(UNTITLED))), F.lit('</h1>\n      <div class="meta">\n        '), article_meta(a),
+        F.lit("\n      </div>\n" + ARTICLE_COUNTS + '\n      <div class="source-card">\n        '), detail_source_card(a), F.lit('\n      </div>\n      <div class="article-body">\n'), content, F.lit("\n      </div>\n" + SOURCE_LINK[0]), T.escape_html(a.url), F.lit(SOURCE_LINK[1] + "    </article>"),
     )
     return page_shell(F.concat_ws(" - ", title, source, F.lit(SITE_NAME)), body, F.format_string(DESCRIPTION, title), T.absolute_url(T.detail_path(a.url), base), "article", F.when(a.success, article_data(a, base)))
 
@@ -152,8 +188,8 @@ def index_item(a: Article) -> Column:
     """One entry of the index."""
     link = T.detail_path(a.url)
     return F.concat(
-        F.lit('      <li class="article-item">\n        <h3><a href="'), link, F.lit('">'), T.escape_html(F.coalesce(F.nullif(a.title, F.lit("")), F.lit(UNTITLED))), F.lit('</a></h3>\n        <span class="source-badge">'), list_source_label(a),
-        F.lit('</span>\n        <div class="article-meta">\n          '), article_meta(a), F.lit('\n        </div>\n        <p class="article-summary"><a href="'), link, F.lit('">'), T.escape_html(article_summary(a)), F.lit("</a></p>\n      </li>"),
+        F.lit('      <li class="article-item">\n        <div class="article-title-row">\n          <h3><a href="'), link, F.lit('">'), T.escape_html(F.coalesce(F.nullif(a.title, F.lit("")), F.lit(UNTITLED))), F.lit('</a></h3>\n          <span class="source-badge">'), list_source_label(a),
+        F.lit("</span>\n        </div>\n        "), F.when(article_meta(a) != "", F.concat(F.lit('<div class="article-meta">\n          '), article_meta(a), F.lit("\n        </div>"))).otherwise(""), F.lit('\n        <p class="article-summary"><a href="'), link, F.lit('">'), T.escape_html(article_summary(a)), F.lit("</a></p>\n      </li>"),
     )
 
 
@@ -176,3 +212,50 @@ def index_pages(articles: DataFrame, base: str, order: str, per_page: int = 1000
     body = F.concat(F.lit(f'    <h1 class="site-title">{SITE_NAME}</h1>\n      <span class="meta">'), F.format_string(COUNTS, "n", "ok"), F.lit("</span>\n"), note, listed)
     data = index_data(F.coalesce("rows", F.array().cast("array<struct<at:bigint,item:string,title:string,url:string>>")), base)
     return pages.select(F.coalesce("page", F.lit(0)).cast("long").alias("page"), page_shell(F.lit(SITE_NAME), body, F.lit(""), T.absolute_url(F.lit("/"), base), "website", data).alias("html"))
+
+
+def index_lines(articles: DataFrame, base: str, position: str) -> DataFrame:
+    """section, at, line: the index over all successful articles as lines of one document, in the order of (section, at). `position` numbers the successful ones from 1 in the archive's order; failed ones are counted only.
+
+    No row holds more than one article: structured data and list are a line for each, between the head and foot that are made once.
+    """
+    spark, a = articles.sparkSession, Article.of(articles)
+    n, ok = articles.agg(F.count("*"), F.count_if(a.success)).first()
+    note = f'<p class="help">{HIDDEN_FAILURES % (n - ok)}</p>' if n > ok else ""
+    data, items = "\ue000", "\ue001"  # where the articles' lines go
+    body = F.lit(INDEX_TOP % (n, ok, note, n, ok) + (items if ok else f'<p class="empty">{NO_ARTICLES}</p>{items}') + "\n    </section>")
+    shell = spark.range(1).select(page_shell(F.lit(SITE_NAME), body, F.lit(INDEX_DESCRIPTION), T.absolute_url(F.lit("/"), base), "website", F.lit(data)).alias("html"), T.absolute_url(F.lit("/"), base).alias("home"))
+    site = F.to_json(F.struct(F.lit(SCHEMA).alias("@context"), F.lit("WebSite").alias("@type"), F.lit(SITE_NAME).alias("name"), F.nullif("home", F.lit("")).alias("url")))
+    parts = F.split("html", f"[{data}{items}]")
+    listed = F.lit(f',{{"@context":"{SCHEMA}","@type":"ItemList","itemListElement":[')
+    ends = F.array(
+        F.struct(F.lit(0).alias("section"), F.concat(parts[0], F.lit("["), F.replace(site, F.lit("<"), F.lit("\\u003c")), listed).alias("line")),
+        F.struct(F.lit(2).alias("section"), F.concat(F.lit("]}]"), parts[1], F.lit('<ul class="article-list">' if ok else "")).alias("line")), F.struct(F.lit(4).alias("section"), F.concat(F.lit("    </ul>" if ok else ""), F.regexp_replace(parts[2], "\n$", "")).alias("line")),
+    )
+    ends = shell.select(F.explode(ends).alias("e")).select("e.section", F.lit(0).cast("long").alias("at"), "e.line")
+    at = F.col(position).cast("long")
+    entry = F.struct(F.lit("ListItem").alias("@type"), at.alias("position"), F.coalesce(F.nullif(a.title, F.lit("")), F.lit(UNTITLED)).alias("name"), F.nullif(T.absolute_url(T.detail_path(a.url), base), F.lit("")).alias("url"))
+    line = F.concat(F.when(at > 1, ",").otherwise(""), F.replace(F.to_json(entry), F.lit("<"), F.lit("\\u003c")))
+    both = F.array(F.struct(F.lit(1).alias("section"), line.alias("line")), F.struct(F.lit(3).alias("section"), index_item(a).alias("line")))
+    return articles.filter(a.success).select(at.alias("at"), F.explode(both).alias("e")).select("e.section", "at", "e.line").unionByName(ends)
+
+
+def write_index(lines: DataFrame, path: str) -> None:
+    """The document as part files below path, which hold it in the order of their names; a range of lines is one file, so no task writes all."""
+    lines.orderBy("section", "at").select("line").write.text(path)
+
+
+def joined_parts(spark: SparkSession, lines_path: str, target: str) -> None:
+    """The part files of write_index as one file, streamed by the file system; nothing is held."""
+    fs_ = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    at = fs_.Path(lines_path)
+    fs = at.getFileSystem(conf)
+    out = fs.create(fs_.Path(target), True)
+    try:
+        for f in sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+            source = fs.open(f)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+    finally:
+        out.close()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 ARCHIVE_PREFIX = "https://mp.weixin.qq.com/"
 SUMMARY_LIMIT, SUMMARY_STRIP = 110, "，。；、,. "
-EMPTY_SUMMARY = "暂无摘要"
+EMPTY_SUMMARY = "阅读全文。"
 IMAGE_TYPES = ("jpg", "jpeg", "png", "gif", "webp")
 LEAST_BODY = 80
 

@@ -148,8 +148,8 @@ _SHELL_END = "'\n  <link rel=\"stylesheet\" href=\"/assets/style.css\">'"
   q AS (SELECT *, {_ESC(f"shown || ' - ' || coalesce(nullif(account, ''), nullif(host, ''), '{P.SITE_NAME}') || ' - {P.SITE_NAME}'")} AS head, {_ESC("shown || '" + P.DESCRIPTION.replace("%s", "") + "'")} AS told FROM p)
   SELECT page_id, md5('<!doctype html>\n<html lang="zh-CN">\n<head>\n  <meta charset="utf-8">\n  <meta name="viewport" content="width=device-width, initial-scale=1">\n  ' || {_META("name", "description", "told")} || '\n  <title>' || head || '</title>\n  <link rel="canonical" href="' || link || '">\n  '
     || {_META("property", "og:type", "'article'")} || '\n  ' || {_META("property", "og:site_name", f"'{P.SITE_NAME}'")} || '\n  ' || {_META("property", "og:title", "head")} || '\n  ' || {_META("property", "og:description", "told")} || '\n  ' || {_META("property", "og:url", "link")} || '\n  <meta name="twitter:card" content="summary">' || {_SHELL_END}
-    || CASE WHEN ok THEN '\n  <script type="application/ld+json">' || replace(data, '<', '\\u003c') || '</script>' ELSE '' END || '\n</head>\n<body>\n  <main class="site">\n    <article class="article">\n      <h1 class="site-title">' || {_ESC(f"CASE WHEN title = '' THEN '{P.UNTITLED}' ELSE title END")} || '</h1>\n      <div class="meta">\n        ' || meta
-    || '\n      </div>\n      <div class="source-card">\n        ' || card || '\n      </div>\n      <div class="article-body">\n' || CASE WHEN ok THEN '<p>body</p>' ELSE '<p class="result error">E&lt;1&gt;</p>' END || '\n      </div>\n    </article>\n  </main>\n\n</body>\n</html>\n') AS digest FROM q""".replace("\\u003c", "\\\\u003c").replace("\\\\u003c", "\\u003c"))
+    || CASE WHEN ok THEN '\n  <script type="application/ld+json">' || replace(data, '<', '\\u003c') || '</script>' ELSE '' END || '\n</head>\n<body>\n  <main class="site">\n    <article class="article">\n      <p><a href="/">返回首页</a></p>\n      <h1 class="site-title">' || {_ESC(f"CASE WHEN title = '' THEN '{P.UNTITLED}' ELSE title END")} || '</h1>\n      <div class="meta">\n        ' || meta
+    || '\n      </div>\n\n      <div class="stats-inline">\n        <span class="meta-item"><span class="meta-key">阅读量</span><span id="article-pv" class="meta-value">加载中...</span></span>\n        <span id="article-stats-status" class="stats-status">正在准备统计...</span>\n      </div>\n      <div class="source-card">\n        ' || card || '\n      </div>\n      <div class="article-body">\n' || CASE WHEN ok THEN '<p>body</p>' ELSE '<p class="result error">E&lt;1&gt;</p>' END || '\n      </div>\n      <p class="links"><a href="' || {_ESC("u")} || '" target="_blank" rel="noopener noreferrer">查看原文链接</a></p>\n    </article>\n  </main>\n\n</body>\n</html>\n') AS digest FROM q""".replace("\\u003c", "\\\\u003c").replace("\\\\u003c", "\\u003c"))
 def q_article_page(spark, sf_dir):
     df = sample_articles(spark, sf_dir)
     return df.select("page_id", F.md5(P.article_page(P.Article.of(df), BASE)).alias("digest"))

@@ -90,7 +90,7 @@ def _sql_text(html: str) -> str:
 
 
 def _sql_summary(text: str) -> str:
-    return f"CASE WHEN {text} = '' THEN '{T.EMPTY_SUMMARY}' WHEN length({text}) <= {T.SUMMARY_LIMIT} THEN {text} ELSE rtrim(substr({text}, 1, {T.SUMMARY_LIMIT}), '{T.SUMMARY_STRIP}') || '...' END"
+    return f"CASE WHEN {text} = '' THEN '阅读全文。' WHEN length({text}) <= {T.SUMMARY_LIMIT} THEN {text} ELSE rtrim(substr({text}, 1, {T.SUMMARY_LIMIT}), '{T.SUMMARY_STRIP}') || '...' END"
 
 
 @query(rf"""WITH t AS (SELECT page_id, url, {_sql_text("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS body, {_sql_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages)

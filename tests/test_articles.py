@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from galleyworks.functions import extract as X
@@ -80,6 +83,38 @@ def test_index(spark):
     assert P.NO_ARTICLES in none and "canonical" not in none
 
 
+def test_index_as_one_document(spark, tmp_path):
+    rows = [(i, f"http://x.com/{i}", f"T<{i}", i % 4 != 3, "") for i in range(10)]
+    df = spark.createDataFrame(rows, "i int, url string, title string, success boolean, content_text string")
+    placed = A.positions(df.filter("success"), F.lit(None).cast("int"), "i").unionByName(df.filter("NOT success").withColumn("position", F.lit(0).cast("long")))
+    lines = P.index_lines(placed.repartition(5), "https://b.example", "position")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # several files, as of a large index
+    P.write_index(lines, f"file://{tmp_path}/parts")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    P.joined_parts(spark, f"file://{tmp_path}/parts", f"file://{tmp_path}/index.html")
+    text = (tmp_path / "index.html").read_text()
+    assert text.startswith("<!doctype html>") and text.endswith("</html>\n") and not text.endswith("\n\n") and len(list((tmp_path / "parts").glob("part-*"))) > 1
+    data = json.loads(text.split('<script type="application/ld+json">')[1].split("</script>")[0])
+    assert [(e["position"], e["name"]) for e in data[1]["itemListElement"]] == [(k + 1, f"T<{i}") for k, i in enumerate(i for i in range(10) if i % 4 != 3)] and data[0]["url"] == "https://b.example/"
+    first = """      </header>
+<ul class="article-list">
+      <li class="article-item">
+        <div class="article-title-row">
+          <h3><a href="/articles/%s">T&lt;0</a></h3>
+          <span class="source-badge">来源 · x.com</span>
+        </div>
+        <div class="article-meta">
+          <span class="meta-item"><span class="meta-key">来源</span><span class="meta-value">x.com</span></span>
+        </div>
+        <p class="article-summary"><a href="/articles/%s">阅读全文。</a></p>
+      </li>
+""" % ((hashlib.md5(b"http://x.com/0").hexdigest(),) * 2)
+    assert first in text and text.count('<li class="article-item">') == 8 and "\n    </ul>\n    </section>\n  </main>" in text
+    assert '<span class="meta">共 10 条链接，成功归档 8 篇</span>' in text and "<strong>8 篇</strong>" in text and '      <p class="help">另有 2 条链接暂未归档成功，已从公开列表中隐藏。</p>\n    </header>' in text
+    none = "\n".join(r.line for r in P.index_lines(placed.filter("false"), "", "position").orderBy("section", "at").collect())
+    assert P.NO_ARTICLES in none and "<ul" not in none and "canonical" not in none
+
+
 def test_risk_answers(spark):
     def result(f, body):
         return spark.createDataFrame([(body,)], "b string").select(f(F.col("b")).alias("r")).first().r
