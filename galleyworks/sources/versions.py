@@ -7,7 +7,6 @@ import json
 import os
 import time
 import uuid
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
