@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import html as hypertext
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyworks.functions import markup as M
+from galleyworks.functions import nodes as N
 from galleyworks.functions import text as T
 from galleyworks.operators import archive as A
 
@@ -19,93 +19,8 @@ AUTHORS = (("name", "author"), ("property", "article:author"))
 TIMES = (("property", "article:published_time"), ("name", "publish_date"), ("name", "pubdate"), ("itemprop", "datePublished"))
 BODIES = ("article", "main article", "[itemprop=articleBody]", ".post-content", ".entry-content", ".article-content", ".article-body", ".rich-text", "main", ".content", "#content", "body")
 UNTITLED, NO_BODY, NO_ARCHIVE_BODY = "未命名文章", "未找到可归档的正文内容", "未找到微信公众号正文内容 #js_content"
+ARCHIVE_BODY, ARCHIVE_TITLE, ARCHIVE_ACCOUNT = "#js_content", "#activity-name", "#js_name"
 ARCHIVE_SOURCE, REQUEST_FAILED = "微信公众号", "请求失败："
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-
-_EMPTY_BLOCK = re.compile(r"(?is)<(section|p|div)(?![\w-])[^>]*>(?:\s|&nbsp;|&#160;|<(?!/?(?:section|p|div|img|video|iframe)(?![\w-]))[^>]*>)*</\1\s*>")
-_TAG = re.compile(r"""(?is)<!--.*?-->|<(/?)([a-z][\w-]*)(?:[^>"']+|"[^"]*"|'[^']*')*>""")
-
-
-def opening(selector: str) -> str:
-    """Pattern of the opening tag that a selector of one step means; its group 1 is the element's name."""
-    value = lambda name, word: rf"""(?=[^>]*\s{name}\s*=\s*(?:"{word}"|'{word}'|{word}(?=[\s/>])))"""
-    if selector.startswith("."):
-        word = re.escape(selector[1:])
-        look = rf"""(?=[^>]*\sclass\s*=\s*(?:"[^">]*(?<![\w-]){word}(?![\w-])|'[^'>]*(?<![\w-]){word}(?![\w-])|{word}(?=[\s/>])))"""
-    elif selector.startswith("#"):
-        look = value("id", re.escape(selector[1:]))
-    elif selector.startswith("["):
-        name, word = selector[1:-1].split("=")
-        look = value(name, re.escape(word))
-    else:
-        return rf"(?is)<({selector})(?![\w-]){M._INSIDE}>"
-    return rf"(?is)<([a-z][\w-]*)(?=\s){look}{M._INSIDE}>"
-
-
-def element(html: Column, selector: str) -> Column:
-    """(tag, name, inner) of the first element that a selector means, null if there is none; elements of its name inside it are passed over. An unclosed one reaches to the end."""
-    if " " in selector:
-        outer, rest = selector.split(" ", 1)
-        return M.let(element(html, outer), lambda e: element(e["inner"], rest))
-
-    def inner(tag: Column, name: Column) -> Column:
-        rest = F.substr(html, F.instr(html, tag) + F.length(tag))
-        pattern = F.concat(F.lit("(?is)</?"), name, F.lit(rf"(?![\w-]){M._INSIDE}>"))
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-
-        def step(acc: Column, t: Column) -> Column:
-            change = F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
-            open_ = acc["depth"] > 0
-            return F.struct((acc["depth"] + F.when(open_, change).otherwise(0)).alias("depth"), (acc["n"] + F.when(open_, 1).otherwise(0)).alias("n"))
-
-        def cut(r: Column) -> Column:
-            tags = F.regexp_extract_all(r, pattern, F.lit(0))
-            kept = lambda t, end: F.array_join(F.transform(F.slice(F.split(r, pattern, -1), F.lit(1), end["n"]), lambda g, i: F.concat(g, F.when(i < end["n"] - 1, F.get(t, i)).otherwise(""))), "")
-            return M.let(tags, lambda t: M.let(F.aggregate(t, start, step), lambda end: F.when(end["depth"] == 0, kept(t, end)).otherwise(r)))
-
-        return M.let(rest, cut)
-
-    tag = F.regexp_extract(html, opening(selector), 0)
-    found = lambda t: M.let(F.lower(F.regexp_extract(t, r"^<([A-Za-z][\w-]*)", 1)), lambda n: F.struct(t.alias("tag"), n.alias("name"), inner(t, n).alias("inner")))
-    return M.let(tag, lambda t: F.when(t != "", found(t)))
-
-
-def _without_empty_blocks(html: str) -> str:
-    before = None
-    while html != before:
-        before, html = html, _EMPTY_BLOCK.sub("", html)
-    return html
-
-
-def without_empty_blocks(html: Column) -> Column:
-    """html without sections, paragraphs and divisions that hold neither text nor a picture, video or frame; also those that become empty by it."""
-    return F.arrow_udf(lambda column: pa.array([None if h is None else _without_empty_blocks(h) for h in column.to_pylist()], pa.string()), "string")(html)
-
-
-def _children(html: str) -> list[dict]:
-    """The nodes at the top of a piece of markup in their order: (html, element: whether it is one or text between)."""
-    out, depth, start = [], 0, 0
-    for m in _TAG.finditer(html):
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if depth == 0 and not m[1]:
-            if html[start : m.start()]:
-                out.append({"html": html[start : m.start()], "element": False})
-            start = m.start()
-        if m[1]:
-            depth = max(depth - 1, 0)
-        elif name not in VOID and not m[0].endswith("/>"):
-            depth += 1
-        if depth == 0:
-            out.append({"html": html[start : m.end()], "element": True})
-            start = m.end()
-    if html[start:]:
-        out.append({"html": html[start:], "element": depth > 0})
-    return out
-
-
-NODES = "array<struct<html:string,element:boolean>>"
 
 
 def _in_arrow(df: DataFrame, changes: dict) -> DataFrame:
@@ -119,11 +34,6 @@ def _in_arrow(df: DataFrame, changes: dict) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def bare(html: Column) -> Column:
-    """html without comments, scripts and styles, in which tags are no tags."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)(?![\w-])[^>]*>.*?</\1\s*>", " ")
-
-
 def publish_time(page: Column) -> Column:
     """UTC time of the seconds in `var ct`; empty if it is no number or beyond the calendar."""
     ct = T.script_string(page, "ct")
@@ -131,64 +41,65 @@ def publish_time(page: Column) -> Column:
     return F.coalesce(F.when(seconds.between(-62135596800, 253402300799), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")), F.lit(""))
 
 
-def tail_pruned(nodes: Column) -> Column:
-    """Markup of children() up to the block at which promotion begins; text between blocks stays."""
+def tail_pruned(parts: Column) -> Column:
+    """Parts (see nodes.edited) up to the block at which promotion begins; text between blocks stays."""
 
-    def pruned(nodes: Column) -> Column:
-        texts = F.transform(F.filter(nodes, lambda n: n["element"]), lambda n: T.clean_text(T.unescape_html(T.tagless(n["html"]))))
-        placed = F.transform(nodes, lambda n, i: F.struct(n["html"].alias("html"), n["element"].alias("element"), F.size(F.filter(F.slice(nodes, F.lit(1), i), lambda x: x["element"])).alias("nth")))
-        kept = lambda cut: F.array_join(F.transform(F.filter(placed, lambda n: ~n["element"] | (n["nth"] < cut)), lambda n: n["html"]), "")
-        return M.let(M.let(texts, lambda t: F.coalesce(A.tail_cut(t, A.block_promo_score), F.size(t))), kept)
+    def pruned(parts: Column) -> Column:
+        texts = F.transform(F.filter(parts, lambda p: p["nth"].isNotNull()), lambda p: F.struct(p["nth"].alias("nth"), T.clean_text(T.unescape_html(T.tagless(p["html"]))).alias("text")))
+        place = lambda t: F.get(t, A.tail_cut(F.transform(t, lambda x: x["text"]), A.block_promo_score))["nth"]
+        return M.let(M.let(texts, place), lambda cut: F.filter(parts, lambda p: cut.isNull() | p["nth"].isNull() | (p["nth"] < cut)))
 
-    return M.let(nodes, pruned)
+    return M.let(parts, pruned)
 
 
 ARTICLE = ("title", "account_name", "publish_time", "content_text", "content_html", "success", "error", "source_name", "source_host")
 
 
 def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with the fields of ARTICLE; archive urls go by ids of the archive's pages, others by the selectors above."""
-    page, u = F.coalesce(F.col(html), F.lit("")), F.col(url)
-    archive = F.coalesce(T.is_archive_url(u), F.lit(False))
-    own = [c for c in pages.columns if c not in ARTICLE]
-    df = pages.select(*[F.col(f"`{c}`") for c in own], bare(page).alias("_bare"))
-    b = F.col("_bare")
-    best = lambda s: M.let(element(b, s), lambda e: F.when(F.length(T.clean_text(T.unescape_html(T.tagless(e["inner"])))) >= T.LEAST_BODY, e))
-    df = df.withColumn("_body", F.when(archive, element(b, "#js_content")).otherwise(F.coalesce(*[best(s) for s in BODIES])))
-    of_id = lambda i: M.let(element(b, i), lambda e: F.coalesce(T.tagless(e["inner"]), F.lit("")))
-    timed = T.clean_text(F.coalesce(M.let(M.attributes(F.regexp_extract(b, r"(?is)<time(?=\s)(?=[^>]*\sdatetime\s*=)[^>]*>", 0)), lambda a: a["content"]), F.lit("")))
+    """pages with the fields of ARTICLE; archive urls go by ids of the archive's pages, others by the selectors above. A page is parsed once, into its table of elements (see nodes.nodes)."""
+    page, archive = F.coalesce(F.col(html), F.lit("")), F.coalesce(T.is_archive_url(F.col(url)), F.lit(False))
+    own = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ARTICLE]).alias("_own")  # so that no name clashes
+    df = N.with_nodes(pages.select(own, F.col(url).alias("_url"), page.alias("_page"), archive.alias("_archive")), "_page", "_nodes")
+    u, page, archive, nodes = F.col("_url"), F.col("_page"), F.col("_archive"), F.col("_nodes")
+    clear = lambda n: T.clean_text(T.unescape_html(T.tagless(N.inside(page, n))))
+    best = lambda s: M.let(N.select_one(nodes, s), lambda n: F.when(F.length(clear(n)) >= T.LEAST_BODY, n))
+    of = lambda s: F.coalesce(M.let(N.select_one(nodes, s), lambda n: T.tagless(N.inside(page, n))), F.lit(""))
+    times = N.meta_content(nodes, *TIMES)
+    timed = T.clean_text(F.coalesce(F.try_element_at(F.filter(nodes, lambda n: (n["name"] == "time") & F.map_contains_key(n["attributes"], "datetime")), F.lit(1))["attributes"]["content"], F.lit("")))
     found = {
-        "_archive": archive, "_tag": F.col("_body.tag"), "_name": F.col("_body.name"), "_inner": M.clean_html(F.col("_body.inner"), u), "_title": F.when(archive, of_id("#activity-name")).otherwise(""), "_account": F.when(archive, of_id("#js_name")).otherwise(""),
-        "_head": F.regexp_extract(b, r"(?is)<title(?![\w-])[^>]*>(.*?)</title\s*>", 1), "_metas": F.when(archive, M.meta_content(b, TITLES[0])).otherwise(M.meta_content(b, *TITLES)), "_author": M.meta_content(b, *AUTHORS),
-        "_time": F.when(archive, publish_time(page)).otherwise(F.when(M.meta_content(b, *TIMES) != "", M.meta_content(b, *TIMES)).otherwise(timed)), "_nickname": T.script_string(page, "nickname"),
+        "_body": F.when(archive, N.select_one(nodes, ARCHIVE_BODY)).otherwise(F.coalesce(*[best(s) for s in BODIES])), "_title": F.when(archive, of(ARCHIVE_TITLE)).otherwise(""), "_account": F.when(archive, of(ARCHIVE_ACCOUNT)).otherwise(""),
+        "_head": F.when(archive, "").otherwise(of("title")), "_metas": F.when(archive, N.meta_content(nodes, TITLES[0])).otherwise(N.meta_content(nodes, *TITLES)), "_author": N.meta_content(nodes, *AUTHORS),
+        "_time": F.when(archive, publish_time(page)).otherwise(M.let(times, lambda t: F.when(t != "", t).otherwise(timed))), "_nickname": T.script_string(page, "nickname"),
     }
-    df = df.select(*[F.col(f"`{c}`") for c in own], *[c.alias(n) for n, c in found.items()])
-    df = _in_arrow(df.withColumn("_nodes", F.when(F.col("_inner").isNotNull(), F.array(F.struct(F.col("_inner").alias("html"), F.lit(False).alias("element")))).cast(NODES)), {"_nodes": lambda n: _children(_without_empty_blocks(n[0]["html"]))})
+    df = df.select("_own", "_url", "_page", "_archive", "_nodes", *[c.alias(n) for n, c in found.items()])
+    body = F.col("_body")
+    tops = F.filter(nodes, lambda n: (n["depth"] == body["depth"] + 1) & (n["start"] >= body["inner"]) & (n["end"] <= body["inner_end"]))
+    edits = N.cleaning(nodes, u, body["inner"], body["inner_end"])
+    df = df.select("_own", "_url", "_archive", *found, "_page", body["inner"].alias("_from"), body["inner_end"].alias("_to"), edits.alias("_edits"), N.spans(tops).alias("_tops"))
+    df = N.with_edited(df, ("_page", "_from", "_to", "_edits", "_tops"), "_parts").drop("_page", "_from", "_to", "_edits", "_tops")
     # archive pages lose their promotional tail
-    whole = M.let(F.col("_nodes"), lambda n: F.array_join(F.transform(n, lambda x: x["html"]), ""))
-    df = df.withColumn("_inner", F.when(F.col("_archive"), tail_pruned(F.col("_nodes"))).otherwise(whole)).drop("_nodes").withColumn("_text", T.tagless(F.col("_inner")))
-    decoded = {c: hypertext.unescape for c in ("_title", "_account", "_head", "_text")}
-    df = _in_arrow(df, decoded | {"_inner": _without_empty_blocks})
+    df = df.withColumn("_inner", N.joined(F.when(archive, tail_pruned(F.col("_parts"))).otherwise(F.col("_parts")))).drop("_parts").withColumn("_text", T.tagless("_inner"))
+    df = _in_arrow(df, {c: hypertext.unescape for c in ("_title", "_account", "_head", "_text")})
     first = lambda *values: F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
     clean = lambda c: T.clean_text(F.coalesce(c, F.lit("")))
-    success, host = F.col("_tag").isNotNull(), T.source_host(u)
+    success, host = body.isNotNull(), T.source_host(u)
     values = {
-        "title": first(clean("_title"), F.col("_metas"), F.when(F.col("_archive"), "").otherwise(clean("_head")), F.lit(UNTITLED)),
+        "title": first(clean("_title"), F.col("_metas"), clean("_head"), F.lit(UNTITLED)),
         "account_name": F.when(F.col("_archive"), first(clean("_account"), F.col("_nickname"))).otherwise(F.col("_author")),
         "publish_time": F.col("_time"),
         "content_text": F.when(success, clean("_text")).otherwise(""),
-        "content_html": F.when(success, F.concat(F.regexp_replace(F.col("_tag"), r"(?is)\shidden(?=[\s/>])", ""), "_inner", F.lit("</"), "_name", F.lit(">"))).otherwise(""),
+        "content_html": F.when(success, F.concat(M.shown(body["tag"]), "_inner", F.lit("</"), body["name"], F.lit(">"))).otherwise(""),
         "success": success,
         "error": F.when(success, "").when(F.col("_archive"), NO_ARCHIVE_BODY).otherwise(NO_BODY),
         "source_name": F.when(F.col("_archive"), ARCHIVE_SOURCE).otherwise(host),
         "source_host": host,
     }
-    return df.select(*[F.col(f"`{c}`") for c in own], *[values[n].alias(n) for n in ARTICLE])
+    return df.select("_own.*", *[values[n].alias(n) for n in ARTICLE])
 
 
 def fetched(links: DataFrame, responses: DataFrame, fetched_at: Column) -> DataFrame:
-    """The thirteen fields of an article for every link (url): of its response (url, html, error), or a failure that names the error. One row for each link, never an exception."""
-    rows = links.select("url").join(responses.select("url", "html", "error").withColumnRenamed("error", "fault"), "url", "left")
+    """The thirteen fields of an article for every link (url): of its response (url, html, error), or a failure that names the error. One row for each link, never an exception; of a link's responses one without an error counts (the first by its text)."""
+    rows = links.select("url").join(A.one_answer(responses, "url", "html").withColumnRenamed("error", "fault"), "url", "left")
     made = articles(rows)
     bad = F.col("html").isNull() | F.col("fault").isNotNull()
     own = {n: F.when(bad, F.lit("")).otherwise(F.col(n)).alias(n) for n in ("title", "account_name", "source_name", "publish_time", "content_text", "content_html")}

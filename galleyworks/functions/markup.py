@@ -52,14 +52,18 @@ def rewritten(html: Column, pattern: str, change: Callable[[Column], Column]) ->
     return F.array_join(F.zip_with(between, F.transform(found, change), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def meta_content(html: Column, *selectors: tuple[str, str]) -> Column:
-    """Content of the first meta element, in the order of the (attribute, value) selectors, that has any; else empty."""
-    metas = F.transform(F.regexp_extract_all(html, F.lit(tags("meta")), F.lit(0)), attributes)
+def first_content(metas: Column, *selectors: tuple[str, str]) -> Column:
+    """Content of the first of the meta elements' attributes, in the order of the (attribute, value) selectors, that has any; else empty."""
     first = lambda all_, name, value: F.try_element_at(F.filter(all_, lambda m: m[name] == value), F.lit(1))
     content = lambda all_, name, value: F.nullif(T.clean_text(F.coalesce(first(all_, name, value)["content"], F.lit(""))), F.lit(""))
     return let(metas, lambda m: F.coalesce(*[content(m, n, v) for n, v in selectors], F.lit("")))
 
 
+def meta_content(html: Column, *selectors: tuple[str, str]) -> Column:
+    """first_content of the meta elements in a piece of markup."""
+    return first_content(F.transform(F.regexp_extract_all(html, F.lit(tags("meta")), F.lit(0)), attributes), *selectors)
+
+
 def image_source(values: Column) -> Column:
     """First of the image's addresses that is not empty, else null."""
     return F.coalesce(*[F.nullif(values[name], F.lit("")) for name in IMAGE_SOURCES])
@@ -103,22 +107,9 @@ def joined_url(base: Column, href: Column) -> Column:
     return let(href, seen)
 
 
-def clean_html(html: Column, base: Column) -> Column:
-    """Content markup without scripts, widgets, empty sections and paragraphs and wrapped mini-program links; nothing hidden, images completed, addresses absolute."""
-    for name in ("script", "style", "noscript", *WIDGETS):
-        html = F.regexp_replace(html, rf"(?is)<{name}(?![\w-]){_INSIDE}>.*?</{name}\s*>", "")
-    html = F.regexp_replace(html, rf"(?is)<(section|p)(?![\w-]){_INSIDE}></\1\s*>", "")
-    html = F.regexp_replace(html, rf"""(?is)<a\s(?=[^>]*class\s*=\s*["'][^"'>]*\b(?:{LINK_CLASSES})\b){_INSIDE}>(.*?)</a\s*>""", "$1")
-    shown = lambda t: F.regexp_replace(t, r"""(?is)\shidden(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>])""", "")
-    html = rewritten(html, r"""(?is)<[a-z][\w-]*\s(?=[^>]*\bhidden\b)""" + _INSIDE + ">", shown)
-
-    none = F.create_map().cast("map<string,string>")
-    with_source = lambda v: F.map_concat(v, F.when(image_source(v).isNotNull(), F.create_map(F.lit("src"), joined_url(base, image_source(v)))).otherwise(none))
-    image = lambda t: let(let(attributes(t), with_source), lambda v: opening_tag("img", image_attributes(v), "/"))
-    html = rewritten(html, tags("img"), image)
-    linked = lambda v: opening_tag("a", F.map_concat(v, F.create_map(F.lit("href"), joined_url(base, v["href"]))))
-    link = lambda t: let(attributes(t), lambda v: F.when(F.map_contains_key(v, "href"), linked(v)).otherwise(t))
-    return rewritten(html, tags("a"), link)
+def shown(tag: Column) -> Column:
+    """An opening tag without its attribute `hidden`."""
+    return F.regexp_replace(tag, r"""(?is)\shidden(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>])""", "")
 
 
 def extension_of_type(content_type: Column) -> Column:

@@ -70,6 +70,12 @@ def tail_cut(blocks: Column, score) -> Column:
     return F.aggregate(blocks, start, step, lambda acc: acc["cut"])
 
 
+def one_answer(answers: DataFrame, key: str, body: str) -> DataFrame:
+    """key, body, error: one row for each key, one with a body and without an error before others, then the first by its text."""
+    best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), F.col(body).isNull().alias("none"), F.col(body).alias("body"), F.col("error").alias("error"))).alias("best")
+    return answers.groupBy(key).agg(best).select(key, F.col("best.body").alias(body), "best.error")
+
+
 def positions(articles: DataFrame, time: Column, *tie: str) -> DataFrame:
     """articles with `position`, from 1 in the archive's order: the newest `time` first, those without one last, equal times by `tie` (an order of its own, or rows of one time come in any order)."""
     placed = numbered(articles.withColumn("_time", time), F.col("_time").desc_nulls_last(), *tie, name="position", keep=articles.columns)

@@ -142,7 +142,7 @@ def lookups(addresses: DataFrame, answers: dict[str, DataFrame | None], debug: b
     """addresses (with ip) with a check for each provider (status, provider, label, summary), success, message and summary.
 
     answers: for each provider its table (ip, body, error), or None where it is not configured; an address without an answer, or with an error, is an
-    error of that provider alone. Each is a left join on ip, one row for each; with `debug`, checks carry the raw body.
+    error of that provider alone. Each is a left join on ip, one row for each, also where a table repeats an ip; with `debug`, checks carry the raw body.
     """
     df = addresses
     for name, (provider, key) in PROVIDERS.items():
@@ -151,7 +151,7 @@ def lookups(addresses: DataFrame, answers: dict[str, DataFrame | None], debug: b
         if table is None:
             df = df.withColumn(name, fields("not_configured", F.lit(NOT_CONFIGURED), F.lit(f"未配置 {key}，当前仅显示访问者 IP。")))
             continue
-        df = df.join(table.select("ip", F.struct("body", "error").alias(f"{name}_answer")), "ip", "left")
+        df = df.join(A.one_answer(table, "ip", "body").select("ip", F.struct("body", "error").alias(f"{name}_answer")), "ip", "left")
         answer = F.col(f"{name}_answer")
         made = RESULTS[name](answer["body"])
         failed = fields("error", F.lit(FAILED), F.coalesce(answer["error"], F.lit(FAILED)))

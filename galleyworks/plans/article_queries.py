@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galleyworks.functions import extract as X
+from galleyworks.functions import nodes as N
 from galleyworks.functions import pages as P
 from galleyworks.functions import text as T
 from galleyworks.functions import visits as V
@@ -87,7 +88,22 @@ def q_block_promo_score(spark, sf_dir):
 @query("""SELECT page_id, '<div><p>x' || page_id || '</p><p><img src="a"></p></div>' AS html FROM pages""")
 def q_empty_blocks(spark, sf_dir):
     html = F.concat(F.lit("<div><section><div> <p>&nbsp;</p></div><span></span></section><p>x"), "page_id", F.lit('</p><p><b> </b></p><p><img src="a"></p></div>'))
-    return table(spark, sf_dir, "pages").select("page_id", X.without_empty_blocks(html).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", N.without_empty_blocks(html).alias("html"))
+
+
+#: What stands in every article for its clean-up, and what becomes of it; @ is the page's number.
+UNCLEAN = """<section><mp-common-miniprogram><div>w<mp-common-miniprogram>w</mp-common-miniprogram>w</div></mp-common-miniprogram> </section><p title="a > b">k@, and as much text as a body needs to be taken for one, whatever else stands in this article.</p><div hidden data-x='1'>s<script>var a = "</p>";</script></div><section><div> <p>&nbsp;</p></div></section><!-- c -->
+<a class="x weapp_text_link" href="z">in@</a><a href="../q/@?a=1&amp;b=2">t</a><section><img data-src="/i/@.png" data-w="100" data-ratio="0.5"></section><noscript><p>n</p></noscript>"""
+CLEAN = """<p title="a > b">k@, and as much text as a body needs to be taken for one, whatever else stands in this article.</p><div data-x='1'>s</div><!-- c -->
+in@<a href="https://h.example/q/@?a=1&amp;b=2">t</a><section><img data-src="/i/@.png" data-w="100" data-ratio="0.5" src="https://h.example/i/@.png" alt="" loading="lazy" width="100" height="50"/></section>"""
+
+
+@query(f"""SELECT page_id, a || replace('{CLEAN.replace("'", "''")}', '@', page_id::VARCHAR) || '</article>' AS content_html, length(a) > 9 AS has_text
+  FROM (SELECT page_id, regexp_extract(html, '(?s)<article>.*?(?:</article>|$)', 0).replace('</article>', '') AS a FROM pages)""")
+def q_content_html(spark, sf_dir):
+    more = F.concat(F.replace(F.lit(UNCLEAN), F.lit("@"), F.col("page_id").cast("string")), F.lit("</article>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://h.example/d/"), "page_id").alias("url"), F.replace("html", F.lit("</article>"), more).alias("html"))
+    return X.articles(pages).select("page_id", "content_html", F.length("content_text").__gt__(9).alias("has_text"))
 
 
 @query("""SELECT page_id, 'é ' || page_id || ' € ≠ A 𝄞 & <' AS text FROM pages""")

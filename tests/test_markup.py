@@ -4,6 +4,7 @@ from urllib.parse import urljoin
 from pyspark.sql import functions as F
 
 from galleyworks.functions import markup as M
+from galleyworks.functions import nodes as N
 from galleyworks.operators import images
 from galleyworks.session import prepare
 from tests.test_archive import values
@@ -21,7 +22,7 @@ def test_clean_html(spark):
     prepare(spark)
     html = """<div hidden id=a><script>x</script><p class="q"></p><mp-sponsor-ad>ad</mp-sponsor-ad><a class="weapp_text_link" href="z">in</a><img data-src="i.png?a=1&amp;b=2" data-w="944" data-ratio="1.3368644067796611"><a href='/k'>t</a></div>"""
     want = '<div id=a>in<img data-src="i.png?a=1&amp;b=2" data-w="944" data-ratio="1.3368644067796611" src="http://h/p/i.png?a=1&amp;b=2" alt="" loading="lazy" width="944" height="1262"/><a href="http://h/k">t</a></div>'
-    assert values(spark, lambda c: M.clean_html(c, F.lit("http://h/p/x")), [html, "", None]) == [want, "", None]
+    assert values(spark, lambda c: N.cleaned(c, F.lit("http://h/p/x")), [html, "", None]) == [want, "", None]
 
 
 def test_localise(spark):
