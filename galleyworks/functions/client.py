@@ -110,6 +110,22 @@ def network_type(usage: Column, category: Column, connection: Column, label: Col
     return F.when(F.size(given) > 0, F.array_join(given, " / ")).otherwise(F.coalesce(F.nullif(label, F.lit("")), F.lit(UNKNOWN)))
 
 
+def primary_isp(residential: Column, abuse: Column) -> Column:
+    """The provider that the usage lookup names, else that of the abuse lookup."""
+    return F.coalesce(F.nullif(residential, F.lit("")), F.nullif(abuse, F.lit("")), F.lit(UNKNOWN))
+
+
+def primary_asn(residential: Column) -> Column:
+    return text_or(residential)
+
+
+def stat_number(value: Column) -> Column:
+    """A number in groups of three digits with three decimals at most; - if it is missing or not finite."""
+    number = value.cast("double")
+    shown = F.regexp_replace(F.format_number(F.round(number, 3), 3), r"\.?0+$", "")
+    return F.when(F.abs(number) < float("inf"), F.regexp_replace(shown, "^-0$", "0")).otherwise("-")
+
+
 def ip_protocol(ip: Column) -> Column:
     ip = F.trim(F.coalesce(ip, F.lit("")))
     return F.when(ip.contains(":"), "IPv6").when(ip.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "IPv4").otherwise(UNKNOWN)

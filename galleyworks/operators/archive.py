@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galleyworks.functions import text as T
 from galleyworks.operators.order import numbered
 
 # After so many characters a block of so high a score, or a run of blocks of so high a sum, ends an article.
@@ -76,6 +77,12 @@ def one_answer(answers: DataFrame, key: str, body: str) -> DataFrame:
     return answers.groupBy(key).agg(best).select(key, F.col("best.body").alias(body), "best.error")
 
 
+def article_report(articles: DataFrame, counts: DataFrame, url: str = "url") -> DataFrame:
+    """articles with `article_id` and `pv`, the reads that `counts` (article_id, pv; one row an id) has of them, 0 if none. Counts of ids that no article has stay out; articles that share a url share their reads; columns of these two names are replaced."""
+    made = articles.drop("pv").withColumn("article_id", T.article_id(F.col(url)))
+    return made.join(counts.select("article_id", F.col("pv").alias("pv")), "article_id", "left").withColumn("pv", F.coalesce("pv", F.lit(0)))
+
+
 def positions(articles: DataFrame, time: Column, *tie: str) -> DataFrame:
     """articles with `position`, from 1 in the archive's order: the newest `time` first, those without one last, equal times by `tie` (an order of its own, or rows of one time come in any order)."""
     placed = numbered(articles.withColumn("_time", time), F.col("_time").desc_nulls_last(), *tie, name="position", keep=articles.columns)

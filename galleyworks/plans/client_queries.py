@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from galleyworks.functions import client as C
 from galleyworks.functions import markup as M
 from galleyworks.functions import visits as V
+from galleyworks.operators import archive as A
 from galleyworks.operators import images
-from galleyworks.plans.queries import ORACLES, query, table
+from galleyworks.plans.queries import ORACLES, VISITS, counted_visits, query, table
 from galleyworks.sources import files
 from galleyworks.streaming import streams
 
@@ -132,3 +133,12 @@ def q_visit_messages(spark, sf_dir):
     k = F.col("event_id") % 4
     reason = F.when(k == 0, "prefetch").when(k == 1, "bot").otherwise("")
     return table(spark, sf_dir, "events").select("event_id", M.visit_message(F.when(k == 2, "article").otherwise("site"), k >= 2, reason, F.concat(F.lit("day"), F.col("event_id") % 3)).alias("message"))
+
+
+@query(VISITS + """, n AS (SELECT article_id, count(*) AS pv FROM c WHERE page = 'article' GROUP BY article_id)
+  SELECT page_id, coalesce(pv, 0) AS pv, format('{:,}', coalesce(pv, 0) * 1000 + page_id) || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.5' ELSE '.125' END AS shown FROM pages LEFT JOIN n ON n.article_id = md5(url)""")
+def q_article_report(spark, sf_dir):
+    counts = counted_visits(spark, sf_dir).filter("page = 'article'").groupBy("article_id").agg(F.count("*").alias("pv"))
+    df = A.article_report(table(spark, sf_dir, "pages").select("page_id", "url"), counts)
+    part = F.when(F.col("page_id") % 3 == 0, 0.0).when(F.col("page_id") % 3 == 1, 0.5).otherwise(0.125)
+    return df.select("page_id", "pv", C.stat_number(F.col("pv") * 1000 + F.col("page_id") + part).alias("shown"))

@@ -110,3 +110,12 @@ def test_watch_submits_each_link_once(spark, server, tmp_path):
     with pytest.raises(PySparkException):
         streams.submit_new(spark.createDataFrame([("https://c",)], "url string"), str(tmp_path / "seen"), lambda new: history.submitted(new, address, "wrong"))
     assert spark.read.parquet(str(tmp_path / "seen")).count() == 121
+
+
+def test_primary_network_and_numbers(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = lambda v: F.lit(v).cast("string")
+    assert [one(C.primary_isp(lit(a), lit(b))) for a, b in (("A", "B"), ("", "B"), (None, None))] == ["A", "B", C.UNKNOWN]
+    assert [one(C.primary_asn(lit(a))) for a in (" AS1 ", "", None)] == ["AS1", C.UNKNOWN, C.UNKNOWN]
+    number = lambda v: one(C.stat_number(F.lit(v).cast("double")))
+    assert [number(v) for v in (0, 1000, 1234567.5, -1200.1239, 100.0, -0.0001, None, float("nan"), float("inf"))] == ["0", "1,000", "1,234,567.5", "-1,200.124", "100", "0", "-", "-", "-"]
