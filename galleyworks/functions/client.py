@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from galleyworks.functions import markup as M
 from galleyworks.functions import text as T
 
 # Fixed values.
@@ -19,28 +16,36 @@ MOST_LINKS = 50
 HISTORY = "struct<list:array<struct<app_msg_ext_info:struct<content_url:string,multi_app_msg_item_list:array<struct<content_url:string>>>>>>"
 
 
-@F.pandas_udf(StringType())
-def url_join(base: pd.Series, href: pd.Series) -> pd.Series:
+def url_join(base: Column, href: Column) -> Column:
     """href resolved against base; null if either is null, href as it is where the two cannot be joined."""
+    return F.when(base.isNotNull() & href.isNotNull(), M.joined_url(base, href))
+
+
+def decoded(part: Column) -> Column:
+    """A name or value of a query as text; a % that begins no escape stays."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
 
-    def join(b, h):
-        try:
-            return urljoin(b, h)
-        except ValueError:
-            return h
 
-    return pd.Series([None if b is None or h is None else join(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+def encoded(part: Column) -> Column:
+    """Text as a name or value of a query."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-@F.pandas_udf(StringType())
-def update_query(url: pd.Series, key: pd.Series, value: pd.Series) -> pd.Series:
-    """url with a query parameter set: in its old place if it was there, else last; of repeated names the last value stays."""
+def update_query(url: Column, key: Column, value: Column) -> Column:
+    """url with a query parameter set: in its old place if it was there, else last; of repeated names the last value stays. Null if url or key is null; a null value is empty."""
+    scheme = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    front = F.concat(F.lower(scheme), F.substr(F.regexp_extract(url, r"^[^?#]*", 0), F.length(scheme) + 1))
+    parts = F.filter(F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    pair = lambda p: F.struct(decoded(F.regexp_extract(p, "(?s)^[^=]*", 0)).alias("name"), decoded(F.regexp_extract(p, "(?s)=(.*)$", 1)).alias("value"))
+    pairs = F.concat(F.transform(parts, pair), F.array(F.struct(key.alias("name"), F.coalesce(value, F.lit("")).alias("value"))))
 
-    def update(u, k, v):
-        parts = urlsplit(u)
-        return urlunsplit(parts._replace(query=urlencode(dict(parse_qsl(parts.query, keep_blank_values=True)) | {k: v})))
+    def written(pairs: Column) -> Column:
+        last = lambda n: F.element_at(F.filter(pairs, lambda p: p["name"] == n), -1)["value"]
+        names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+        return F.array_join(F.transform(names, lambda n: F.concat(encoded(n), F.lit("="), encoded(last(n)))), "&")
 
-    return pd.Series([None if u is None or k is None else update(u, k, v or "") for u, k, v in zip(url, key, value, strict=True)], dtype=object)
+    fragment = F.regexp_extract(url, "(?s)#.+$", 0)
+    return F.when(url.isNotNull() & key.isNotNull(), F.concat(front, F.lit("?"), M.let(pairs, written), fragment))
 
 
 def decode_archive_url(url: Column) -> Column:

@@ -17,12 +17,16 @@ from galleyworks.streaming import streams
 
 @query("SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') || '/x/' || page_id AS joined FROM pages")
 def q_url_join(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", C.url_join("url", F.concat(F.lit("/x/"), "page_id")).alias("joined"))
+    return table(spark, sf_dir, "pages").select("page_id", C.url_join(F.col("url"), F.concat(F.lit("/x/"), "page_id")).alias("joined"))
 
 
-@query("SELECT page_id, 'https://h.example/p?a=1&offset=' || page_id || '&b=' AS url FROM pages")
+@query(
+    "SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) || '?' || CASE WHEN split_part(split_part(url, '#', 1), '?', 2) = '' THEN '' ELSE split_part(split_part(url, '#', 1), '?', 2) || '&' END "
+    "|| 'offset=' || page_id || '&title=' || replace(replace(title, ' ', '+'), '&', '%26') || CASE WHEN contains(url, '#') THEN '#' || split_part(url, '#', 2) ELSE '' END AS url FROM (SELECT page_id, url, 'a & b ' || page_id AS title FROM pages)"
+)
 def q_update_query(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", C.update_query(F.lit("https://h.example/p?a=1&offset=0&b="), F.lit("offset"), F.col("page_id").cast("string")).alias("url"))
+    pages = table(spark, sf_dir, "pages").withColumn("next", C.update_query(F.col("url"), F.lit("offset"), F.col("page_id").cast("string")))
+    return pages.select("page_id", C.update_query(F.col("next"), F.lit("title"), F.concat(F.lit("a & b "), "page_id")).alias("url"))
 
 
 @query("SELECT page_id, 0 AS ord, trim(url) AS url FROM pages UNION ALL SELECT page_id, 1, 'v' || page_id FROM pages")

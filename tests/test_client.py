@@ -1,7 +1,7 @@
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, parse_qsl, urlencode, urlsplit, urlunsplit
 
 import duckdb
 import pytest
@@ -37,6 +37,21 @@ def test_small_functions(spark):
     assert values(spark, C.candidate_address, ["a 1 udp 2 1.2.3.4 9 typ host", "a 1 udp 2 x y.local typ", "a b typ", "typ", "", None]) == ["1.2.3.4", "y.local", "b", "", "", ""]
 
 
+def test_update_query_equals_the_standard_library(spark):
+    def plain(url, key, value):
+        parts = urlsplit(url)
+        return urlunsplit(parts._replace(query=urlencode(dict(parse_qsl(parts.query, keep_blank_values=True)) | {key: value})))
+
+    urls = [
+        "https://h/p", "https://h/p?", "HTTPS://h/P?a=1#f", "h/p?a=1&offset=0&b=", "?offset=3&offset=4&x", "https://h/p?a=1&a=2&b=3#", "https://h/p?x=%E6%96%87+y&z=a%20b&*=~",
+        "https://h/p?bad=%zz&p=100%&q=a=b=c", "https://h/p?&&a&&", "https://h/p#only?fragment", "https://h/p?ä=ö&t=\u65f6", "", "https://h/p?a=1?b=2",
+    ]
+    for key, value in [("offset", "10"), ("a", "x y&z"), ("\u65f6~*", "")]:
+        assert values(spark, lambda c: C.update_query(c, F.lit(key), F.lit(value)), [*urls, None]) == [plain(u, key, value) for u in urls] + [None]  # noqa: B023
+    assert values(spark, lambda c: C.update_query(c, F.lit("k"), F.lit(None).cast("string")), ["h?a=1"]) == ["h?a=1&k="]
+    assert values(spark, lambda c: C.update_query(c, F.lit(None).cast("string"), F.lit("v")), ["h"]) == [None]
+
+
 def test_files(spark, tmp_path):
     assert files.whole_files(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "links.json").write_text('[" https://a ", {"url": "https://b"}, {"u": 1}, 7, null, ""]')
