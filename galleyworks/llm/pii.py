@@ -1,14 +1,15 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Entities are found by one pattern: e-mail addresses, IPv4 addresses, telephone numbers, card and account
-numbers, social security numbers and names after a title. In a text with titled names, each word of these names is an
+Entities are found by one pattern: e-mail addresses, IPv4 and IPv6 addresses, telephone numbers, card and account
+numbers, social security numbers and names after a title. A bare run of 13 to 19 digits is a card only if its check digit is right: times in milliseconds,
+ISBNs and order numbers stay. In a text with titled names, each word of these names is an
 entity wherever it stands there, with or without a title. An entity is made of values, and each value gets a surrogate that depends on
 a key and the value alone, so that all mentions of a value in the corpus agree, whatever their spelling of case or spacing:
 
 - a number is one value. Digits are drawn by their place among its letters and digits, so that separators, lengths and country codes stay and all
   spellings agree; the exchange 555 of numbers reserved for fiction stays; leading digits other than 0 stay so; valid check digits of cards (Luhn) and accounts (modulo 97) are
   valid again;
-- an IPv4 address moves into 10.0.0.0/8;
+- an IPv4 address moves into 10.0.0.0/8, an IPv6 address into fd00::/8; all spellings of an IPv6 address agree, and its surrogate is written in full;
 - an e-mail address is a local part and a domain: addresses of one domain share a domain under `example`, with as many labels or three;
 - a name is a given name and a family name: the same family name has the same surrogate in "Mr. John Smith", "Mr. Smith" and
   "John Smith". Given names keep the gender of the title (of a title without gender: that of another title in the text before the same name), and script (Latin, Cyrillic).
@@ -18,7 +19,7 @@ their surrogates, and those whose surrogate is shared, or is itself a value in t
 again (a counter goes into the key, and with it forms get longer or ranges wider) until none is; should a range ever be full, it is an error after ROUNDS. The few redrawn values are joined back to the texts that
 hold them; all others get theirs in the row.
 
-Null texts stay null, empty ones empty; texts without entities come back unchanged; n_chars is counted anew where
+A text of any length is searched whole, in one row. Equal values have one surrogate, so there are no ties. Null texts stay null, empty ones empty; texts without entities come back unchanged; n_chars is counted anew where
 a text changed; rows may repeat; an empty table gives an empty one; other columns pass through, whatever their names.
 """
 
@@ -34,9 +35,12 @@ from galleyworks.llm.textkit import free_name
 # Patterns, titles and names.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}(?![\p{L}\p{N}-])"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
+GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![\w:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:[23][0-9A-Fa-f]{{3}}|[fF][c-eC-E][0-9A-Fa-f]{{2}})(?::{GROUP}){{0,6}}::(?:{GROUP}(?::{GROUP}){{0,5}})?)(?![\w:])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<!\d )(?<![\w.,-])[2-9]\d{2} [2-9]\d{2} \d{4}(?![\w-]| \d)"
 CARD = r"(?<![\w.-])\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![\w-])|(?<![\w.])\d{13,19}(?!\w)"
+BARE = r"^\d{13,19}$"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 MALE = "Mr|Herr|Monsieur|Señor|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Señora|Госпожа"
@@ -46,9 +50,9 @@ TITLE = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.?\x20"
 TITLE_BEGIN = "(?=[" + "".join(sorted({w[0] for w in f"{FEMALE}|{MALE}|{NEUTRAL}".split("|")})) + "])"
 WORD = r"(?=\p{Lu}[\p{L}'’-])\p{Lu}\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 NAME = rf"{TITLE_BEGIN}(?<!\w){TITLE}{WORD}(?:\x20{WORD})?"
-ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, SSN, PHONE, CARD, IBAN, NAME))
+ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, IPV6, SSN, PHONE, CARD, IBAN, NAME))
 #: What every entity but a name has, and what every name has; cheap to look for.
-HINT = r"(?=[@0-9)+A-Z])(?:@|\d[.-]\d|\)[ .-]?\d{3}|\+\d|\d{4} \d{4}|\d{13}|[A-Z]{2}\d{2})"
+HINT = r"(?=[@0-9)+A-Z:])(?:@|:[0-9A-Fa-f]{0,4}:|\d{3} \d{3} \d{4}|\d[.-]\d|\)[ .-]?\d{3}|\+\d|\d{4} \d{4}|\d{13}|[A-Z]{2}\d{2})"
 TITLED = rf"{TITLE_BEGIN}{TITLE}\p{{Lu}}"
 NAMES = {
     ("m", "latin"): ("Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Oscar", "Paul", "Simon", "Victor"),
@@ -71,8 +75,9 @@ ROUNDS = 200
 
 
 def kind_of(found: Column) -> Column:
+    """What a mention is; `plain` for a bare number that is no card, which stays as it is."""
     return (
-        F.when(found.contains("@"), "email").when(found.rlike(rf"^{TITLE}"), "name").when(found.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4").when(found.rlike(r"^\p{Lu}"), F.when(found.rlike(rf"^(?:{IBAN})$"), "number").otherwise("word")).otherwise("number")
+        F.when(found.contains("@"), "email").when(found.rlike(rf"^{TITLE}"), "name").when(found.contains(":"), "ipv6").when(found.rlike(BARE) & (luhn(F.filter(F.split(found, ""), lambda c: c != "")) != 0), "plain").when(found.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4").when(found.rlike(r"^\p{Lu}"), F.when(found.rlike(rf"^(?:{IBAN})$"), "number").otherwise("word")).otherwise("number")
     )
 
 
@@ -115,6 +120,8 @@ def entities(found: Column, names: Column) -> Column:
             .when(kind == "name", F.when(F.size(words) > 1, looked_up(words[0], "given:")))
             .when(kind == "word", F.coalesce(looked_up(F.lower(m), "family:"), looked_up(F.lower(m), "given:")))
             .when(kind == "ipv4", F.concat(F.lit("ipv4:"), m))
+            .when(kind == "ipv6", F.concat(F.lit("ipv6:"), written_out(m)))
+            .when(kind == "plain", F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("number:"), F.upper(F.regexp_replace(m, r"(?!^\+)[^A-Za-z0-9]", ""))))
         )
         v2 = F.when(kind == "email", F.concat(F.lit("domain:"), F.lower(F.regexp_extract(m, "@(.*)$", 1)))).when(kind == "name", F.concat(F.lit("family:"), F.element_at(words, -1)))
@@ -123,6 +130,13 @@ def entities(found: Column, names: Column) -> Column:
     return F.transform(kinds, valued)
 
 
+def written_out(address: Column) -> Column:
+    """An IPv6 address as eight groups of four digits."""
+    half = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(F.lower(address), "::"), F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    groups = F.concat(half(0), F.array_repeat(F.lit("0"), F.greatest(8 - F.size(half(0)) - F.size(half(1)), F.lit(0))), half(1))
+    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def values_of(made: Column) -> Column:
     """The distinct values of entities()."""
     return F.array_distinct(F.filter(F.flatten(F.transform(made, lambda e: F.array(e["v1"], e["v2"]))), lambda v: v.isNotNull()))
@@ -171,6 +185,7 @@ def surrogate(value: Column, hexes: Column, attempt: Column) -> Column:
         .when(kind == "given", F.concat(given, F.lit("-"), F.initcap(syllables(2 + more))))
         .when(kind == "family", F.initcap(syllables(4 + more)))
         .when(kind == "ipv4", ipv4)
+        .when(kind == "ipv6", F.concat_ws(":", F.concat(F.lit("fd"), F.substring(hexes, 1, 2)), *[F.substring(hexes, 3 + 4 * i, 4) for i in range(7)]))
         .otherwise(number(body, hexes, attempt))
     )
 
@@ -218,6 +233,7 @@ def rendered(e: Column, s1: Column, s2: Column) -> Column:
         F.when(kind == "email", F.concat(s1, F.lit("@"), F.when(F.size(F.split(found, r"\.")) > 2, F.when(F.regexp_extract(found, "@(.*)$", 1).rlike(r"\..*\."), "mail.").otherwise("")).otherwise(""), s2))
         .when(kind == "name", F.concat(title, F.when(s1.isNotNull(), F.concat(s1, F.lit(" "))).otherwise(""), s2))
         .when(kind == "number", F.array_join(laid, ""))
+        .when(kind == "plain", found)
         .otherwise(s1)
     )
 

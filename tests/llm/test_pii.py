@@ -79,7 +79,7 @@ def test_addresses_share_their_domain(spark):
 
 def test_gate_is_implied_by_every_pattern(spark):
     """An entity is found alone as it is beside others."""
-    alone = ["DE89 ABCD EFGH IJKL", "10.2.3.4", "078-05-1120", "(20) 123 4567", "+49 30 1234", "487.555.7209", "1234 5678 9012 3", "1234567890123", "DE89370400440532013000", "a@b.co", "Mr. Bo"]
+    alone = ["DE89 ABCD EFGH IJKL", "10.2.3.4", "078-05-1120", "(20) 123 4567", "+49 30 1234", "487.555.7209", "1234 5678 9012 3", "4222222222222", "555 234 5678", "2001:db8::7", "1:2:3:4:5:6:7:8", "DE89370400440532013000", "a@b.co", "Mr. Bo"]
     got = replaced(spark, alone + [f"{t} and joe@x.com" for t in alone])
     for t, x, y in zip(alone, got, got[len(alone):]):
         assert x != t and y.startswith(x + " and "), (t, x, y)
@@ -136,3 +136,21 @@ def test_nothing_clear_is_left_behind(spark):
 def test_addresses_in_letters_of_all_scripts(spark):
     got = replaced(spark, ["mail ünal@beispiel.de and иван@почта.рф"])[0]
     assert "ü" not in got and "nal" not in got and "иван" not in got and got.count("@") == 2
+
+
+def test_bare_numbers_are_cards_by_their_check_digit(spark):
+    clean = ["at 1700000000000 ms", "ISBN 9783161484100, order 1234567890123456", "4111111111111112", "in 100 200 3000 steps", "1 555 234 5678 9", "12:30:45, a::b, std::map, 1::2"]
+    # an ISBN's check digit is not a card's; of these numbers none is valid as a card
+    assert replaced(spark, clean) == clean
+    got = replaced(spark, ["pay 4111111111111111 of 1700000000000", "378282246310005"])
+    assert re.fullmatch(r"pay [1-9]\d{15} of 1700000000000", got[0]) and "4111111111111111" not in got[0] and got[1] != "378282246310005"
+
+
+def test_addresses_of_sixteen_bytes_and_spaced_numbers(spark):
+    same = ["2001:db8::ff00:42:8329", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "2001:db8:0:0:0:ff00:42:8329"]
+    got = replaced(spark, [f"from {a}, again" for a in same] + ["fe80::1 and FE80::1 and fe80::2, f:1:2:3:4:5:6:7", "call 555 234 5678 or 555-234-5678"])
+    assert len(set(got[:3])) == 1 and re.fullmatch(r"from fd[0-9a-f]{2}(:[0-9a-f]{4}){7}, again", got[0])
+    a, b, c = got[3].split(", ")[0].split(" and ")
+    assert a == b != c and all(x.startswith("fd") for x in (a, c)) and got[3].split(", ")[1].startswith("fd")
+    m = re.fullmatch(r"call (\d{3}) (\d{3}) (\d{4}) or (\d{3})-(\d{3})-(\d{4})", got[4])
+    assert m and m.groups()[:3] == m.groups()[3:] and "5678" not in got[4]
