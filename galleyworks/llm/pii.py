@@ -36,12 +36,12 @@ from galleyworks.llm.textkit import free_name
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}(?![\p{L}\p{N}-])"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
 GROUP = "[0-9A-Fa-f]{1,4}"
-IPV6 = rf"(?<![\w:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:[23][0-9A-Fa-f]{{3}}|[fF][c-eC-E][0-9A-Fa-f]{{2}})(?::{GROUP}){{0,6}}::(?:{GROUP}(?::{GROUP}){{0,5}})?)(?![\w:])"
+IPV6 = rf"(?={GROUP}+:)(?<![\w:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:[23][0-9A-Fa-f]{{3}}|[fF][c-eC-E][0-9A-Fa-f]{{2}})(?::{GROUP}){{0,6}}::(?:{GROUP}(?::{GROUP}){{0,5}})?)(?![\w:])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<!\d )(?<![\w.,-])[2-9]\d{2} [2-9]\d{2} \d{4}(?![\w-]| \d)"
 CARD = r"(?<![\w.-])\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![\w-])|(?<![\w.])\d{13,19}(?!\w)"
 BARE = r"^\d{13,19}$"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+IBAN = r"(?=[A-Z]{2}\d)(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 MALE = "Mr|Herr|Monsieur|Señor|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Señora|Госпожа"
 NEUTRAL = "Dr|Prof"
@@ -50,7 +50,9 @@ TITLE = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.?\x20"
 TITLE_BEGIN = "(?=[" + "".join(sorted({w[0] for w in f"{FEMALE}|{MALE}|{NEUTRAL}".split("|")})) + "])"
 WORD = r"(?=\p{Lu}[\p{L}'’-])\p{Lu}\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 NAME = rf"{TITLE_BEGIN}(?<!\w){TITLE}{WORD}(?:\x20{WORD})?"
-ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, IPV6, SSN, PHONE, CARD, IBAN, NAME))
+#: Most places of a text are settled by a look at the sign there, before any look at those in front of it.
+NUMBER = rf"(?=[0-9+(])(?:{IPV4}|{SSN}|{PHONE}|{CARD})"
+ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, NUMBER, IPV6, IBAN, NAME))
 #: What every entity but a name has, and what every name has; cheap to look for.
 HINT = r"(?=[@0-9)+A-Z:])(?:@|:[0-9A-Fa-f]{0,4}:|\d{3} \d{3} \d{4}|\d[.-]\d|\)[ .-]?\d{3}|\+\d|\d{4} \d{4}|\d{13}|[A-Z]{2}\d{2})"
 TITLED = rf"{TITLE_BEGIN}{TITLE}\p{{Lu}}"
