@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as hypertext
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,8 +56,11 @@ def tail_pruned(parts: Column) -> Column:
 ARTICLE = ("title", "account_name", "publish_time", "content_text", "content_html", "success", "error", "source_name", "source_host")
 
 
-def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """pages with the fields of ARTICLE; archive urls go by ids of the archive's pages, others by the selectors above. A page is parsed once, into its table of elements (see nodes.nodes)."""
+def articles(pages: DataFrame, html: str = "html", url: str = "url", unescape: Callable[[str], str] = hypertext.unescape) -> DataFrame:
+    """pages with the fields of ARTICLE; archive urls go by ids of the archive's pages, others by the selectors above. A page is parsed once, into its table of elements (see nodes.nodes).
+
+    unescape: decodes the character references of titles, accounts and texts; by default as browsers do, `&amp` without a semicolon too (see text.unescape_closed).
+    """
     page, archive = F.coalesce(F.col(html), F.lit("")), F.coalesce(T.is_archive_url(F.col(url)), F.lit(False))
     own = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ARTICLE]).alias("_own")  # so that no name clashes
     df = N.with_nodes(pages.select(own, F.col(url).alias("_url"), page.alias("_page"), archive.alias("_archive")), "_page", "_nodes")
@@ -79,7 +83,7 @@ def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
     df = N.with_edited(df, ("_page", "_from", "_to", "_edits", "_tops"), "_parts").drop("_page", "_from", "_to", "_edits", "_tops")
     # archive pages lose their promotional tail
     df = df.withColumn("_inner", N.joined(F.when(archive, tail_pruned(F.col("_parts"))).otherwise(F.col("_parts")))).drop("_parts").withColumn("_text", T.tagless("_inner"))
-    df = _in_arrow(df, {c: hypertext.unescape for c in ("_title", "_account", "_head", "_text")})
+    df = _in_arrow(df, {c: unescape for c in ("_title", "_account", "_head", "_text")})
     first = lambda *values: F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
     clean = lambda c: T.clean_text(F.coalesce(c, F.lit("")))
     success, host = body.isNotNull(), T.source_host(u)

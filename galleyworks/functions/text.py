@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -68,6 +70,14 @@ def unescape_all(value: Column) -> Column:
     return F.arrow_udf(decode, "string")(value)
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def unescape_closed(text: str) -> str:
+    """Every character reference of HTML5 that ends in a semicolon decoded; what lacks one, as the `&amp` of a text that was cut, stays."""
+    return _REFERENCE.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), text)
+
+
 def tagless(markup: Column) -> Column:
     """Markup with a space for each tag, comment, script, style and noscript; character references stay."""
     for tag in ("script", "style", "noscript"):
