@@ -101,14 +101,18 @@ def articles(pages: DataFrame, html: str = "html", url: str = "url", unescape: C
     return df.select("_own.*", *[values[n].alias(n) for n in ARTICLE])
 
 
-def fetched(links: DataFrame, responses: DataFrame, fetched_at: Column) -> DataFrame:
-    """The thirteen fields of an article for every link (url): of its response (url, html, error), or a failure that names the error. One row for each link, never an exception; of a link's responses one without an error counts (the first by its text)."""
-    rows = links.select("url").join(A.one_answer(responses, "url", "html").withColumnRenamed("error", "fault"), "url", "left")
+def fetched(links: DataFrame, responses: DataFrame, fetched_at: Column, key: str = "url") -> DataFrame:
+    """The thirteen fields of an article for every link (url): of its response (url, html, error), or a failure that names the error. One row for each link, never an exception; of a link's responses one without an error counts (the first by its text).
+
+    key: the column of links and responses that tells whose response it is, for links that share a url and were asked each for itself; another one than the url stands before the fields.
+    """
+    own = [c for c in (key,) if c != "url"]
+    rows = links.select(*own, "url").join(A.one_answer(responses, key, "html").withColumnRenamed("error", "fault"), key, "left")
     made = articles(rows)
     bad = F.col("html").isNull() | F.col("fault").isNotNull()
-    own = {n: F.when(bad, F.lit("")).otherwise(F.col(n)).alias(n) for n in ("title", "account_name", "source_name", "publish_time", "content_text", "content_html")}
+    told = {n: F.when(bad, F.lit("")).otherwise(F.col(n)).alias(n) for n in ("title", "account_name", "source_name", "publish_time", "content_text", "content_html")}
     ident = T.article_id(F.col("url"))
     return made.select(
-        ident.alias("id"), "url", F.concat(ident, F.lit(".html")).alias("filename"), *own.values(), "source_host", fetched_at.cast("string").alias("fetched_at"),
+        *own, ident.alias("id"), "url", F.concat(ident, F.lit(".html")).alias("filename"), *told.values(), "source_host", fetched_at.cast("string").alias("fetched_at"),
         (F.col("success") & ~bad).alias("success"), F.when(bad, F.concat(F.lit(REQUEST_FAILED), F.coalesce("fault", F.lit("ConnectionError")))).otherwise(F.col("error")).alias("error"),
     )

@@ -29,3 +29,8 @@ def test_cut_references(spark, tmp_path):
     made, sql = compared(spark, tmp_path, "q_extract_selectors", pages=pages(spark, *((k, f"https://h.example/{k}", page) for k in range(12))))
     assert made == sql
     assert T.unescape_closed("&amp &amp; &notit; &not; &#65 &#65; &#x42; &nosuch; &eacute;") == "&amp & &notit; ¬ &#65 A B &nosuch; é"
+
+
+def test_fetched_pages_that_share_a_url(spark, tmp_path):
+    made, sql = compared(spark, tmp_path, "q_fetch_rows", pages=pages(spark, *((k, f"https://h.example/{k // 4}", "") for k in range(12))))
+    assert made == sql and len(made) == 12
