@@ -27,18 +27,20 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*df.columns)
 
 
-def incremental_merge(links: DataFrame, cache: DataFrame, fetched: DataFrame, refetch: bool = False) -> DataFrame:
-    """url and the row that a build uses: a cached success unless `refetch`, else the fetch, else the cached one.
+def incremental_merge(links: DataFrame, cache: DataFrame, fetched: DataFrame, refetch: bool = False, key: str = "url") -> DataFrame:
+    """links (with key) and the row that a build uses: a cached success unless `refetch`, else the fetch, else the cached one.
 
-    cache and fetched: url, ok, payload. origin: cache, fetch, fallback or missing.
+    cache and fetched: key, ok, payload; of rows that repeat a key one counts, a success before others, then the first by its payload, so that links never multiply.
+    Links that share a url but were cached and fetched each for itself need a key of their own. origin: cache, fetch, fallback or missing.
     """
-    c = cache.filter("ok").select("url", F.col("payload").alias("cached"))
-    f = fetched.select("url", F.col("ok").alias("fetch_ok"), F.col("payload").alias("fetch"))
-    both = links.join(c, "url", "left").join(f, "url", "left")
+    c = cache.filter("ok").groupBy(key).agg(F.min("payload").alias("cached"))
+    best = F.min(F.struct((~F.coalesce("ok", F.lit(False))).alias("bad"), F.col("payload").alias("payload"))).alias("best")
+    f = fetched.groupBy(key).agg(best).select(key, (~F.col("best.bad")).alias("fetch_ok"), F.col("best.payload").alias("fetch"))
+    both = links.join(c, key, "left").join(f, key, "left")
     use_cache = F.col("cached").isNotNull() & F.lit(not refetch)
     origin = F.when(use_cache, "cache").when(F.coalesce("fetch_ok", F.lit(False)), "fetch").when(F.col("cached").isNotNull(), "fallback").otherwise("missing")
     payload = F.when(use_cache, F.col("cached")).when(F.coalesce("fetch_ok", F.lit(False)), F.col("fetch")).otherwise(F.coalesce("cached", F.col("fetch")))
-    return both.select("url", origin.alias("origin"), payload.alias("payload"))
+    return both.select(*[F.col(f"`{n}`") for n in links.columns], origin.alias("origin"), payload.alias("payload"))
 
 
 def promo_score(text: Column, hard: list[str], soft: list[str]) -> Column:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galleyworks.functions import text as T
+from galleyworks.operators import archive as A
 from galleyworks.plans import article_queries, client_queries, store_queries  # noqa: F401, add their queries
 from galleyworks.plans import queries as Q
 
@@ -34,3 +35,11 @@ def test_cut_references(spark, tmp_path):
 def test_fetched_pages_that_share_a_url(spark, tmp_path):
     made, sql = compared(spark, tmp_path, "q_fetch_rows", pages=pages(spark, *((k, f"https://h.example/{k // 4}", "") for k in range(12))))
     assert made == sql and len(made) == 12
+
+
+def test_merged_pages_that_share_a_url(spark, tmp_path):
+    made, sql = compared(spark, tmp_path, "q_incremental_merge", pages=pages(spark, *((k, f"https://h.example/{k // 4}", "") for k in range(30))))
+    assert made == sql and len(made) == 30
+    links, cache = spark.createDataFrame([("u",), ("v",)], "url string"), spark.createDataFrame([("u", True, "b"), ("u", True, "a"), ("u", False, "0")], "url string, ok boolean, payload string")
+    fetched = spark.createDataFrame([("v", False, "e"), ("v", True, "x"), ("v", None, "n")], "url string, ok boolean, payload string")
+    assert sorted(A.incremental_merge(links, cache, fetched).collect()) == [("u", "cache", "a"), ("v", "fetch", "x")]
