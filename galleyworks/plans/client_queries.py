@@ -10,7 +10,7 @@ from galleyworks.functions import markup as M
 from galleyworks.functions import visits as V
 from galleyworks.operators import archive as A
 from galleyworks.operators import images
-from galleyworks.plans.queries import ORACLES, VISITS, counted_visits, query, table
+from galleyworks.plans.queries import ORACLES, VISITS, counted_visits, nearest_second, query, table
 from galleyworks.sources import files
 from galleyworks.streaming import streams
 
@@ -115,7 +115,7 @@ def q_stream_page_counts(spark, sf_dir):
 
 @query(ORACLES["q_ip_cache_ttl"])
 def q_stream_cache(spark, sf_dir):
-    requests = events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("ip"), F.col("event_id").cast("long").alias("request"), "ts", F.lit(False).alias("debug"))
+    requests = events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("ip"), F.col("event_id").cast("long").alias("request"), F.timestamp_seconds(nearest_second(F.col("ts"))).alias("ts"), F.lit(False).alias("debug"))
     looked = streams.run_to_table(streams.cached_lookups(requests), "lookups")
     return looked.groupBy(F.col("ip").cast("long").alias("user_id")).agg(F.count("*").alias("misses"))
 

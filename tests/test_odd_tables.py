@@ -56,7 +56,7 @@ def events(spark, *seconds):
 HOURS = ("10.4", "3609.6", "7300.6", "10900.4", "20000.5", "23599.5", "30001.5")
 
 
-@pytest.mark.parametrize("name", ["q_ip_cache_ttl"])
+@pytest.mark.parametrize("name", ["q_ip_cache_ttl", "q_stream_cache"])
 def test_times_between_seconds(spark, tmp_path, name):
     made, sql = compared(spark, tmp_path, name, events=events(spark, *map(Decimal, HOURS)))
     assert made == sql
