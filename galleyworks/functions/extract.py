@@ -25,12 +25,15 @@ ARCHIVE_SOURCE, REQUEST_FAILED = "微信公众号", "请求失败："
 
 
 def _in_arrow(df: DataFrame, changes: dict) -> DataFrame:
-    """df with columns replaced by what a function of one value makes of them; nulls stay."""
+    """df with columns replaced by what a function of one value makes of them; nulls stay. The last of them is the longest, by which batches are cut."""
+    *_, longest = changes
 
     def run(batches):
         for batch in batches:
-            columns = [pa.array([None if v is None else changes[n](v) for v in c.to_pylist()], c.type) if n in changes else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for p in N.pieces(batch.column(longest)):
+                own = batch[p]
+                columns = [pa.array([None if v is None else changes[n](v) for v in c.to_pylist()], c.type) if n in changes else c for n, c in zip(own.schema.names, own.columns, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=own.schema)
 
     return df.mapInArrow(run, df.schema)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html as hypertext
 import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -32,6 +34,8 @@ _INTS = ("start", "inner", "inner_end", "end", "depth", "parent", "texts", "medi
 _NODES = pa.list_(pa.struct([("name", pa.string()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), *((n, pa.int32()) for n in _INTS)]))
 PARTS = "array<struct<html:string,nth:int>>"
 _PARTS = pa.list_(pa.struct([("html", pa.string()), ("nth", pa.int32())]))
+#: Bytes of markup of which a worker holds the elements as Python's objects at once, and rows of them; a longer page is alone.
+PIECE, PIECE_ROWS = 1 << 20, 512
 
 
 def _attributes(inside: str) -> dict[str, str]:
@@ -110,7 +114,7 @@ def nodes(html: Column) -> Column:
     Scripts, styles, noscripts and widgets count no text or media. An element that is never closed ends where its parent does; a p ends where a block begins, list items and cells where the next does; closing tags without an
     opening one are passed over. Null for null, an empty array for a page without elements. One pass over the page; the work grows with its length, times the depth of what stays open where tags are wrongly nested.
     """
-    return F.arrow_udf(_parsed_column, NODES)(html)
+    return F.arrow_udf(_parsed_batches, NODES)(html)
 
 
 def with_nodes(df: DataFrame, html: str, name: str) -> DataFrame:
@@ -123,14 +127,34 @@ def _parsed_column(column: pa.Array) -> pa.Array:
     return pa.array([None if h is None else [typed(n) for n in _parsed(h)] for h in column.to_pylist()], _NODES)
 
 
-def _added(df: DataFrame, inputs: tuple[str, ...], name: str, kind: str, make) -> DataFrame:
-    """df with a column that `make` makes of the input columns' arrays."""
+def pieces(markup: pa.Array) -> Iterator[slice]:
+    """A batch's rows in pieces that bound what is made of each, whatever the number and the length of its pages."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.binary_length(markup).to_pylist()):
+        if i > start and (held + (n or 0) > PIECE or i - start == PIECE_ROWS):
+            yield slice(start, i)
+            start, held = i, 0
+        held += n or 0
+    if start < len(markup):
+        yield slice(start, len(markup))
+
+
+def _parsed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        for p in pieces(column):
+            yield _parsed_column(column[p])
+
+
+def _added(df: DataFrame, inputs: tuple[str, ...], name: str, kind: str, make: Callable[..., pa.Array]) -> DataFrame:
+    """df with a column that `make` makes of the input columns' arrays, the first of which is markup; piece by piece."""
     schema = StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))])
 
     def run(batches):
         for batch in batches:
-            made = make(*[batch.column(n) for n in inputs])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+            for p in pieces(batch.column(inputs[0])):
+                own = batch[p]
+                made = make(*[own.column(n) for n in inputs])
+                yield pa.RecordBatch.from_arrays([*own.columns, made], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
@@ -240,7 +264,7 @@ def _edited(html: str, start: int, end: int, edits: list[dict], tops: list[dict]
 def edited(html: Column, start: Column, end: Column, edits: Column, tops: Column) -> Column:
     """The markup between two places after edits (start, end, text; in order; those within one that removes their place are passed over), as the elements `tops` (start, end; in order, none within another) with their
     numbers `nth` and what stands between them (nth null). Null if any argument is; what is left empty is no part."""
-    return F.arrow_udf(_edited_columns, PARTS)(html, start, end, edits, spans(tops))
+    return F.arrow_udf(_edited_batches, PARTS)(html, start, end, edits, spans(tops))
 
 
 def with_edited(df: DataFrame, columns: tuple[str, str, str, str, str], name: str) -> DataFrame:
@@ -257,6 +281,12 @@ def _edited_columns(*columns: pa.Array) -> pa.Array:
     return pa.array([None if any(v is None for v in row) else _edited(*row) for row in rows], _PARTS)
 
 
+def _edited_batches(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        for p in pieces(columns[0]):
+            yield _edited_columns(*[c[p] for c in columns])
+
+
 def joined(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: p["html"]), "")
 
