@@ -1,5 +1,8 @@
 import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import functions as F
 
 from galleyworks.functions import extract as X
@@ -77,3 +80,13 @@ def test_long_and_hostile_pages(spark):
     assert len(parsed(spark, deep)) == 20_000 and len(parsed(spark, wide)) == 200_000 and parsed(spark, quotes) is not None
     assert cleaned(spark, "<section>" * 3000 + "</section>" * 3000) == ""
     assert time.perf_counter() - began < 60
+
+
+def test_batches_are_cut_by_bytes_and_rows():
+    pages = ["<p>a</p>"] * 1200 + [None, "", "<b>" + "x" * 2 * N.PIECE + "</b>", "<i>y</i>"]
+    column = pa.array(pages, pa.string())
+    cut = list(N.pieces(column))
+    assert [i for p in cut for i in range(p.start, p.stop)] == list(range(len(pages))) and list(N.pieces(column[:0])) == []
+    assert all(p.stop - p.start <= N.PIECE_ROWS and (p.stop - p.start == 1 or pc.sum(pc.binary_length(column[p])).as_py() <= N.PIECE) for p in cut)
+    made = list(N._parsed_batches(iter([column, column[:1]])))
+    assert len(made) == len(cut) + 1 and pa.concat_arrays(made[:-1]).equals(N._parsed_column(column))
