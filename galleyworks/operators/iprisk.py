@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyworks.functions.client import UNKNOWN
+from galleyworks.functions.markup import let
 from galleyworks.operators import archive as A
 
 # Codes, flags and wordings.
@@ -44,7 +45,10 @@ def flag_counts(flags: dict[str, Column], top: Column) -> tuple[Column, Column]:
 
 def risk(flags: dict[str, Column], top: Column) -> Column:
     """High for any hard flag, middle for any soft one, else low; only true counts, missing ones do not."""
-    hard, soft = flag_counts(flags, top)
+    return _level(*flag_counts(flags, top))
+
+
+def _level(hard: Column, soft: Column) -> Column:
     return F.when(hard > 0, HIGH).when(soft > 0, MIDDLE).otherwise(LOW)
 
 
@@ -72,15 +76,14 @@ def provider_summary(checks: list[Column]) -> Column:
 
 def _object(body: Column, path: str) -> Column:
     """Members of a JSON object as text; a JSON null is a member without a value. Empty if it is no object."""
-    part = F.get_json_object(body, path)
-    return F.coalesce(F.when(part.startswith("{"), F.from_json(part, OBJECT)), F.create_map().cast(OBJECT))
+    return let(F.get_json_object(body, path), lambda part: F.coalesce(F.when(part.startswith("{"), F.from_json(part, OBJECT)), F.create_map().cast(OBJECT)))
 
 
 def _number(members: Column, name: str) -> Column:
     """A member as a number: text is read, null and blanks are 0, what is missing or no number is null."""
-    text = F.trim(F.try_element_at(members, F.lit(name)))
-    value = F.when(F.coalesce(text, F.lit("")) == "", 0.0).when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
-    return F.when(F.map_contains_key(members, name) & ~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    value = lambda text: F.when(F.coalesce(text, F.lit("")) == "", 0.0).when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
+    finite = lambda v: F.when(F.map_contains_key(members, name) & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    return let(let(F.trim(F.try_element_at(members, F.lit(name))), value), finite)
 
 
 def _shown(value: Column) -> Column:
@@ -99,35 +102,53 @@ def _named(label: str, value: Column) -> Column:
     return F.when(value != "", F.concat(F.lit(label), value))
 
 
+def _let(values: dict[str, Column], use) -> Column:
+    """use(values), each of them computed once."""
+    return let(F.struct(*[c.alias(n) for n, c in values.items()]), lambda v: use({n: v[n] for n in values}))
+
+
 def abuse_result(body: Column) -> Column:
     """The answer of the abuse lookup (JSON) as a check."""
-    m = _object(body, "$.data")
-    score, reports, last = _number(m, "abuseConfidenceScore"), _number(m, "totalReports"), _text(m, "lastReportedAt")
-    bad = abusive(score, reports)
-    summary = _summary(NO_DETAILS, F.when(score.isNotNull(), F.concat(F.lit("置信分 "), _shown(score))), F.when(reports.isNotNull(), F.concat(F.lit("报告 "), _shown(reports), F.lit(" 次"))), _named("最近上报 ", last))
-    return _check("abuse", F.when(bad, RECORDED).when(~bad, CLEAN).otherwise(UNKNOWN), summary, is_abusive=bad, score=score, reports=reports, last_reported_at=last, country_code=_text(m, "countryCode"), usage_type=_text(m, "usageType"), isp=_text(m, "isp"))
+
+    def made(m: Column) -> Column:
+        read = {"score": _number(m, "abuseConfidenceScore"), "reports": _number(m, "totalReports"), "last": _text(m, "lastReportedAt")}
+        more = {"country_code": _text(m, "countryCode"), "usage_type": _text(m, "usageType"), "isp": _text(m, "isp")}
+        return _let(read, lambda v: let(abusive(v["score"], v["reports"]), lambda bad: checked(v["score"], v["reports"], v["last"], bad, more)))
+
+    def checked(score: Column, reports: Column, last: Column, bad: Column, more: dict[str, Column]) -> Column:
+        summary = _summary(NO_DETAILS, F.when(score.isNotNull(), F.concat(F.lit("置信分 "), _shown(score))), F.when(reports.isNotNull(), F.concat(F.lit("报告 "), _shown(reports), F.lit(" 次"))), _named("最近上报 ", last))
+        return _check("abuse", F.when(bad, RECORDED).when(~bad, CLEAN).otherwise(UNKNOWN), summary, is_abusive=bad, score=score, reports=reports, last_reported_at=last, **more)
+
+    return let(_object(body, "$.data"), made)
 
 
 def residential_result(body: Column) -> Column:
     """The answer of the usage lookup (JSON) as a check."""
-    m = _object(body, "$")
-    usage, category = _text(m, "usage_type", "usageType"), _text(m, "category")
-    home = residential(usage, category)
-    parts = [_named(f"{label} ", value) for label, value in (("用途类型", usage), ("分类", category), ("连接类型", _text(m, "connection_type")), ("ISP", _text(m, "isp")), ("ASN", _text(m, "asn")))]
-    more = {"usage_type": usage, "category": category, "connection_type": _text(m, "connection_type"), "isp": _text(m, "isp"), "asn": _text(m, "asn"), "country_name": _text(m, "country_name", "countryName")}
-    return _check("residential", F.when(home, YES).when(~home, NO).otherwise(UNKNOWN), _summary(NO_DETAILS, *parts), is_residential=home, **more)
+
+    def made(m: Column) -> Column:
+        read = {"usage_type": _text(m, "usage_type", "usageType"), "category": _text(m, "category"), "connection_type": _text(m, "connection_type"), "isp": _text(m, "isp"), "asn": _text(m, "asn"), "country_name": _text(m, "country_name", "countryName")}
+        return _let(read, lambda v: let(residential(v["usage_type"], v["category"]), lambda home: checked(v, home)))
+
+    def checked(v: dict[str, Column], home: Column) -> Column:
+        parts = [_named(f"{label} ", v[name]) for label, name in (("用途类型", "usage_type"), ("分类", "category"), ("连接类型", "connection_type"), ("ISP", "isp"), ("ASN", "asn"))]
+        return _check("residential", F.when(home, YES).when(~home, NO).otherwise(UNKNOWN), _summary(NO_DETAILS, *parts), is_residential=home, **v)
+
+    return let(_object(body, "$"), made)
 
 
 def risk_result(body: Column) -> Column:
     """The answer of the threat lookup (JSON) as a check. Flags count if they are JSON's true; a threat that is null is an error, one that is missing or no object has no flags."""
     names = [*HARD, *(n for n in SOFT)]
-    data = F.from_json(body, f"is_threat boolean, threat struct<{','.join(f'{n}:boolean' for n in names)}>")
-    flags = {n: data["threat"][n] for n in names}
-    hard, soft = flag_counts(flags, data["is_threat"])
-    shown = F.array_compact(F.array(*[F.when(flags[n], label) for n, label in FLAG_NAMES.items()]))
-    level = risk(flags, data["is_threat"])
-    ok = _check("risk", level, _summary(NO_FLAGS, *[F.when(flags[n], F.lit(label)) for n, label in FLAG_NAMES.items()]), is_threat=hard > 0, hard=hard, soft=soft, flags=shown)
-    null_threat = F.map_contains_key(_object(body, "$"), "threat") & F.try_element_at(_object(body, "$"), F.lit("threat")).isNull()
+
+    def made(data: Column) -> Column:
+        flags = {n: data["threat"][n] for n in names}
+        hard, soft = flag_counts(flags, data["is_threat"])
+        shown = F.array_compact(F.array(*[F.when(flags[n], label) for n, label in FLAG_NAMES.items()]))
+        summary = _summary(NO_FLAGS, *[F.when(flags[n], F.lit(label)) for n, label in FLAG_NAMES.items()])
+        return _let({"hard": hard, "soft": soft}, lambda v: _check("risk", _level(v["hard"], v["soft"]), summary, is_threat=v["hard"] > 0, hard=v["hard"], soft=v["soft"], flags=shown))
+
+    ok = let(F.from_json(body, f"is_threat boolean, threat struct<{','.join(f'{n}:boolean' for n in names)}>"), made)
+    null_threat = let(_object(body, "$"), lambda m: F.map_contains_key(m, "threat") & F.try_element_at(m, F.lit("threat")).isNull())
     bad = _check("risk", F.lit(FAILED), F.lit(NO_THREAT), "error", is_threat=F.lit(None).cast("boolean"), hard=F.lit(None).cast("int"), soft=F.lit(None).cast("int"), flags=F.lit(None).cast("array<string>"))
     return F.when(null_threat, bad).otherwise(ok)
 
@@ -154,9 +175,8 @@ def lookups(addresses: DataFrame, answers: dict[str, DataFrame | None], debug: b
             continue
         df = df.join(A.one_answer(table, "ip", "body").select("ip", F.struct("body", "error").alias(f"{name}_answer")), "ip", "left")
         answer = F.col(f"{name}_answer")
-        made = RESULTS[name](answer["body"])
         failed = fields("error", F.lit(FAILED), F.coalesce(answer["error"], F.lit(FAILED)))
-        good = F.struct(*[made[f].alias(f) for f in ("status", "provider", "label", "summary")])
+        good = let(RESULTS[name](answer["body"]), lambda made: F.struct(*[made[f].alias(f) for f in ("status", "provider", "label", "summary")]))
         df = df.withColumn(name, F.when(answer["body"].isNotNull() & answer["error"].isNull(), good).otherwise(failed))
         if debug:
             df = df.withColumn(name, F.struct(f"{name}.*", answer["body"].alias("raw")))

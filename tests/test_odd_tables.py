@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from galleyworks.functions import text as T
 from galleyworks.operators import archive as A
+from galleyworks.operators import iprisk
 from galleyworks.plans import article_queries, client_queries, store_queries  # noqa: F401, add their queries
 from galleyworks.plans import queries as Q
 
@@ -60,3 +61,9 @@ HOURS = ("10.4", "3609.6", "7300.6", "10900.4", "20000.5", "23599.5", "30001.5")
 def test_times_between_seconds(spark, tmp_path, name):
     made, sql = compared(spark, tmp_path, name, events=events(spark, *map(Decimal, HOURS)))
     assert made == sql
+
+
+def test_an_answer_is_parsed_once(spark):
+    answers = spark.createDataFrame([("a", "{}", None)], "ip string, body string, error string")
+    plan = iprisk.lookups(answers.select("ip"), dict.fromkeys(iprisk.PROVIDERS, answers))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 4
