@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galleyworks.functions import text as T
 from galleyworks.operators.order import numbered
+from galleyworks.shared import written
 
 # After so many characters a block of so high a score, or a run of blocks of so high a sum, ends an article.
 CUT_AFTER, CUT_SCORE, CUT_RUN = 1200, 5, 8
@@ -107,14 +108,15 @@ def ttl_misses(times: Column, ttl: int) -> Column:
     return F.aggregate(times, start, step, lambda acc: acc["n"])
 
 
-def running_totals(df: DataFrame, keys: list[str], values: dict[str, Column], time: str, tie: str) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], values: dict[str, Column], time: str, tie: str, table: DataFrame | None = None) -> DataFrame:
     """df with the running sum of each value by (time, tie) within keys, the row's own included.
 
     Sums of minutes run first, a row for each minute and key; then each minute's rows run among themselves. So no key, and no day, is one task.
+    table: the same rows, from which the minutes are summed; where totals follow one another, a stored one spares the making of df twice for each.
     """
-    minute = F.date_trunc("minute", F.col(time))
-    rows = df.select("*", minute.alias("_minute"), *[v.alias(f"_own_{n}") for n, v in values.items()])
-    minutes = rows.groupBy(*keys, "_minute").agg(*[F.sum(f"_own_{n}").alias(f"_sum_{n}") for n in values])
+    told = lambda t: t.select("*", F.date_trunc("minute", F.col(time)).alias("_minute"), *[v.alias(f"_own_{n}") for n, v in values.items()])
+    rows, summed = told(df), told(df if table is None else table)
+    minutes = summed.groupBy(*keys, "_minute").agg(*[F.sum(f"_own_{n}").alias(f"_sum_{n}") for n in values])
     earlier = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
     minutes = minutes.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_minute").alias("_of_minute"), *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values])
     at = F.col("_minute").eqNullSafe(F.col("_of_minute"))
@@ -138,10 +140,9 @@ def snapshots(visits: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     if seen is not None:
         counted = counted.join(seen, ["day", "visitor"], "left_anti")
     first = first_visits(counted, ["day", "visitor"], "ts", "event_id").withColumn("_first", F.lit(1))
-    df = visits.join(first, "event_id", "left")
-    one = F.col("counted").cast("int")
-    df = running_totals(df, [], {"site_pv": one}, "ts", "event_id")
-    df = running_totals(df, ["day"], {"site_uv": F.coalesce("_first", F.lit(0))}, "ts", "event_id")
-    article = F.col("page") == "article"
-    df = running_totals(df.withColumn("_article", F.when(article, F.col("article_id"))), ["_article"], {"article_pv": one}, "ts", "event_id")
+    one, article = F.col("counted").cast("int"), F.col("page") == "article"
+    table = written(visits.join(first, "event_id", "left").withColumn("_article", F.when(article, F.col("article_id"))), "snapshots")
+    df = running_totals(table, [], {"site_pv": one}, "ts", "event_id")
+    df = running_totals(df, ["day"], {"site_uv": F.coalesce("_first", F.lit(0))}, "ts", "event_id", table)
+    df = running_totals(df, ["_article"], {"article_pv": one}, "ts", "event_id", table)
     return df.withColumn("article_pv", F.when(article, F.col("article_pv"))).drop("_first", "_article")

@@ -67,3 +67,10 @@ def test_an_answer_is_parsed_once(spark):
     answers = spark.createDataFrame([("a", "{}", None)], "ip string, body string, error string")
     plan = iprisk.lookups(answers.select("ip"), dict.fromkeys(iprisk.PROVIDERS, answers))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") <= 4
+
+
+def test_snapshots_make_their_rows_once(spark):
+    rows = spark.createDataFrame([(1, 0, "2024-01-01", "v", "site", None, True)], "event_id long, s long, day string, visitor string, page string, article_id string, counted boolean")
+    hits = rows.select("*", F.timestamp_seconds("s").alias("ts")).drop("s")
+    plan = A.snapshots(hits)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4 and "LocalRelation" not in plan and "LogicalRDD" not in plan  # one for the rows, one for the sums of each counter
