@@ -2,7 +2,6 @@ import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
-
 from pyspark.sql import functions as F
 
 from galleyworks.functions import extract as X
