@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from galleyworks.functions import markup as M
+from galleyworks.session import small_batches
 
 # Names of elements by the rules of HTML, and those that a clean-up removes or looks for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,7 +147,8 @@ def _parsed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _added(df: DataFrame, inputs: tuple[str, ...], name: str, kind: str, make: Callable[..., pa.Array]) -> DataFrame:
-    """df with a column that `make` makes of the input columns' arrays, the first of which is markup; piece by piece."""
+    """df with a column that `make` makes of the input columns' arrays, the first of which is markup; piece by piece, of small batches."""
+    small_batches(df.sparkSession)
     schema = StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))])
 
     def run(batches):

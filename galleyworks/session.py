@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 #: Settings that results depend on.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
+#: Bytes of rows that Spark sends a Python worker at once, where the rows hold pages (Spark's own: 64 MB); a longer row is alone.
+BATCH = 4 << 20
 _shipped: set[str] = set()
 
 
@@ -28,3 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(packed))
         _shipped.add(context.applicationId)
     return spark
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers hold BATCH bytes of rows at once. It holds for the session, from the plans made after it; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from galleyworks.functions import extract as X
 from galleyworks.functions import nodes as N
-from galleyworks.session import prepare
+from galleyworks.session import BATCH, prepare
 from tests.test_archive import values
 
 
@@ -89,3 +89,22 @@ def test_batches_are_cut_by_bytes_and_rows():
     assert all(p.stop - p.start <= N.PIECE_ROWS and (p.stop - p.start == 1 or pc.sum(pc.binary_length(column[p])).as_py() <= N.PIECE) for p in cut)
     made = list(N._parsed_batches(iter([column, column[:1]])))
     assert len(made) == len(cut) + 1 and pa.concat_arrays(made[:-1]).equals(N._parsed_column(column))
+
+
+def test_workers_get_small_batches_of_pages(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    page = F.concat(F.lit("<article><p>"), F.repeat(F.lit("long text "), 10_000), F.col("id").cast("string"), F.lit("</p></article>"))
+    pages = spark.range(200, numPartitions=1).select("id", F.lit("https://h.example/a").alias("url"), page.alias("html"))
+    try:
+        made = X.articles(pages).select("id", "html", "content_text")
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+        got = made.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 200 and max(r.bytes for r in got) < BATCH + 1_000_000
+        assert {r.n for r in made.select(F.length("content_text").alias("n")).collect()} <= {100_001, 100_002, 100_003}
+    finally:
+        spark.conf.unset(limit)
