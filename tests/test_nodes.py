@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -91,6 +92,26 @@ def test_batches_are_cut_by_bytes_and_rows():
     assert len(made) == len(cut) + 1 and pa.concat_arrays(made[:-1]).equals(N._parsed_column(column))
 
 
+def test_what_a_worker_holds_does_not_grow_with_its_batch():
+    """Both steps of without_empty_blocks, over a full batch of Spark's and one a tenth as long."""
+    page, empty = "<div><section><div> <p>&nbsp;</p></div></section><p>x</p><p><b> </b></p></div>", [{"start": 5, "end": 49, "text": ""}, {"start": 57, "end": 72, "text": ""}]
+
+    def peak(step, columns):
+        tracemalloc.start()
+        try:
+            rows = sum(len(made) for made in step(iter([columns])))
+            return rows, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    for step, of in ((N._parsed_batches, lambda n: pa.array([page] * n)), (N._edited_batches, lambda n: tuple(pa.array([v] * n) for v in (page, 0, len(page), empty, empty[:1])))):
+        (few, small), (many, large) = peak(step, of(1_000)), peak(step, of(10_000))
+        assert (few, many) == (1_000, 10_000) and large < 2 * small
+    columns = tuple(pa.array([v] * 1_200) for v in (page, 0, len(page), empty, empty[:1]))
+    made = list(N._edited_batches(iter([columns])))
+    assert pa.concat_arrays(made).equals(N._edited_columns(*columns)) and "".join(x["html"] for x in made[-1][-1].as_py()) == "<div><p>x</p></div>"
+
+
 def test_workers_get_small_batches_of_pages(spark):
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(limit)
